@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glenfare.functions import expr as X
-from glenfare.sources.schema import TRIP_COLUMNS
+from glenfare.plans.joins import attach_scalars, bounded_broadcast
+from glenfare.sources.schema import TRIP_COLUMNS, read_trips_csv, write_trips_csv
 
 COUNTRY = "United Kingdom"
 
@@ -110,9 +111,209 @@ def trip_flags(features: DataFrame, short_km: float = 5.0, long_km: float = 20.0
     one-row result is attached with a broadcast join (size 1 by construction).
     """
     bound = features.agg(F.percentile("total_amount", high_value_pct).alias("_p80"))
-    return (features.join(F.broadcast(bound), how="inner", on=F.lit(True))
+    return (attach_scalars(features, bound)
             .withColumns({
                 "is_short": (F.col("distance_km") <= short_km).cast("int"),
                 "is_long": (F.col("distance_km") >= long_km).cast("int"),
                 "is_high_value": (F.col("total_amount") >= F.col("_p80")).cast("int"),
             }).drop("_p80"))
+
+
+# --- registered expression queries (EXP1-EXP16, FIL1, SRC1/4/5, FIL6) ----------------------------
+
+def _r(c, n=4):
+    return F.round(c, n)
+
+
+def parse_tip_pct(trips: DataFrame) -> DataFrame:
+    """Every distinct raw tip string, its parsed value and its trip count (EXP1)."""
+    return (trips.groupBy("tip_pct_raw").agg(F.count(F.lit(1)).alias("trip_count"))
+            .select("tip_pct_raw", X.parse_pct("tip_pct_raw").alias("tip_pct"), "trip_count"))
+
+
+def time_of_day_counts(features: DataFrame) -> DataFrame:
+    """Trips per time-of-day band (EXP6)."""
+    return (features.filter(F.col("time_of_day").isNotNull())
+            .groupBy("time_of_day").agg(F.count(F.lit(1)).alias("trip_count")))
+
+
+def holiday_calendar(trips: DataFrame) -> DataFrame:
+    """The holiday dimension ``(date, name)`` for every date the trips span.
+
+    Built from the distinct trip dates (a few hundred per year whatever the
+    row count) with the rule-based calendar; a user-supplied table of the
+    same shape can be passed to ``flag_holidays`` instead.
+    """
+    d = trips.select(F.to_date("ts").alias("date")).filter(F.col("date").isNotNull()).distinct()
+    return (d.select("date", X.scottish_holiday_name(F.col("date")).alias("name"))
+            .filter(F.col("name").isNotNull()))
+
+
+def flag_holidays(features: DataFrame, holidays: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Left join trips to a holiday dimension; ``is_holiday`` = 1 on a match (EXP7/JOI1).
+
+    The dimension is broadcast only after its size is checked; a holiday
+    table is tens of rows per year, far below ``max_rows``.
+    """
+    h = holidays.select(F.col("date").alias("_hdate"), F.col("name").alias("holiday_name")).dropDuplicates(["_hdate"])
+    j = features.join(bounded_broadcast(h, max_rows), F.to_date("ts") == F.col("_hdate"), "left")
+    return j.withColumn("is_holiday", F.col("_hdate").isNotNull().cast("int")).drop("_hdate")
+
+
+def holiday_flag(features: DataFrame) -> DataFrame:
+    """Trips per holiday date via the holiday-dimension join (EXP7)."""
+    flagged = flag_holidays(features, holiday_calendar(features))
+    return (flagged.filter(F.col("is_holiday") == 1)
+            .groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date"), "holiday_name")
+            .agg(F.count(F.lit(1)).alias("trip_count")))
+
+
+def postcode_area_counts(features: DataFrame) -> DataFrame:
+    """Each pickup postcode, its extracted area and trip count (EXP8)."""
+    return (features.filter(F.col("pickup_postcode").isNotNull())
+            .groupBy("pickup_postcode", "pickup_area").agg(F.count(F.lit(1)).alias("trip_count")))
+
+
+def area_type_counts(features: DataFrame) -> DataFrame:
+    """Trips per area type, pickup and dropoff side, in one pass (EXP9)."""
+    long = features.selectExpr("stack(2, 'pickup', pickup_area_type, 'dropoff', dropoff_area_type) AS (side, area_type)")
+    return long.groupBy("side", "area_type").agg(F.count(F.lit(1)).alias("trip_count"))
+
+
+def revenue_per_km_stats(features: DataFrame) -> DataFrame:
+    """revenue_per_km: defined / undefined (zero distance) counts and moments (EXP10)."""
+    v = F.col("revenue_per_km")
+    return features.agg(F.count(v).alias("n_defined"), F.count_if(v.isNull()).alias("n_undefined"),
+                        _r(F.avg(v)).alias("avg_revenue_per_km"), _r(F.min(v)).alias("min_revenue_per_km"),
+                        _r(F.max(v)).alias("max_revenue_per_km"))
+
+
+def price_metric_stats(features: DataFrame) -> DataFrame:
+    """price_per_km and tip_rate counts and means (EXP12)."""
+    pm = price_metrics(features)
+    return pm.agg(F.count("price_per_km").alias("n_price_per_km"), _r(F.avg("price_per_km")).alias("avg_price_per_km"),
+                  F.count("tip_rate").alias("n_tip_rate"), _r(F.avg("tip_rate"), 6).alias("avg_tip_rate"))
+
+
+def peak_flag_counts(features: DataFrame) -> DataFrame:
+    """Trips in and out of the 7-9 / 17-19 peak hours (EXP13)."""
+    return (features.filter(F.col("hour").isNotNull())
+            .groupBy(X.is_peak("hour").cast("int").alias("is_peak")).agg(F.count(F.lit(1)).alias("trip_count")))
+
+
+def trip_flag_counts(features: DataFrame) -> DataFrame:
+    """Counts of short, long and high-value trips and the high-value bound (EXP14)."""
+    t = trip_flags(features)
+    return t.agg(F.sum("is_short").alias("short_trips"), F.sum("is_long").alias("long_trips"),
+                 F.sum("is_high_value").alias("high_value_trips"))
+
+
+def sample_rows(trips: DataFrame, n: int = 10) -> DataFrame:
+    """First n rows in a total order over every column (SRC4)."""
+    return trips.orderBy(*trips.columns).limit(n)
+
+
+def processed_dataset(trips: DataFrame) -> DataFrame:
+    return processed(trips)
+
+
+def csv_roundtrip(trips: DataFrame, path: str | None = None) -> DataFrame:
+    """Write the trips as CSV in the export layout and scan them back (SRC1).
+
+    The folder defaults to a fresh subfolder of the session's shared
+    checkpoint folder, never a machine-local temporary folder.
+    """
+    import uuid
+    from glenfare.session import checkpoint_dir
+    spark = trips.sparkSession
+    path = path or f"{checkpoint_dir(spark).rstrip('/')}/csv_roundtrip/{uuid.uuid4().hex}"
+    write_trips_csv(trips, path)
+    return read_trips_csv(spark, path)
+
+
+def sample_trips(trips: DataFrame, n: int = 2000, seed: int = 42) -> DataFrame:
+    """Deterministic bounded sample (FIL6): the n rows with the smallest
+    seeded hash of all columns.  Opt-in only: operators run on all rows.
+    ``orderBy(...).limit(n)`` plans a per-task top-n, so at most n rows per
+    task reach the final merge."""
+    return (trips.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in trips.columns]))
+            .orderBy("_h", *trips.columns).limit(n).drop("_h"))
+
+
+# --- DuckDB oracle -----------------------------------------------------------------------------
+
+def _sql():
+    from glenfare.oracle import with_ctes
+    tc = ", ".join(TRIP_COLUMNS)
+    return {
+        "parse_tip_pct": with_ctes("""SELECT tip_pct_raw,
+          CASE WHEN isnan(try_cast(nullif(replace(tip_pct_raw, '%', ''), '') AS DOUBLE)) THEN NULL
+               ELSE try_cast(nullif(replace(tip_pct_raw, '%', ''), '') AS DOUBLE) END AS tip_pct,
+          count(*) AS trip_count FROM trips GROUP BY tip_pct_raw"""),
+        "temporal_features": with_ctes("""SELECT ts, CAST(hour(ts) AS INTEGER) AS hour,
+          CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week, dayname(ts) AS day_name,
+          CAST(weekofyear(ts) AS INTEGER) AS week_of_year, CAST(month(ts) AS INTEGER) AS month,
+          CAST(day(ts) AS INTEGER) AS day_of_month, strftime(ts, '%Y-%m-%d') AS date,
+          CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS is_weekend FROM trips"""),
+        "time_of_day_counts": with_ctes("SELECT time_of_day, count(*) AS trip_count FROM f GROUP BY time_of_day"),
+        "holiday_flag": with_ctes("""SELECT strftime(ts, '%Y-%m-%d') AS date, h.name AS holiday_name,
+          count(*) AS trip_count FROM f JOIN h ON CAST(f.ts AS DATE) = h.d GROUP BY 1, 2""",
+          "h AS (SELECT * FROM (SELECT d, " + _holiday("d") + " AS name FROM (SELECT DISTINCT CAST(ts AS DATE) AS d "
+          "FROM trips WHERE ts IS NOT NULL)) WHERE name IS NOT NULL)"),
+        "postcode_area": with_ctes("""SELECT pickup_postcode, pickup_area, count(*) AS trip_count FROM f
+          WHERE pickup_postcode IS NOT NULL GROUP BY 1, 2"""),
+        "area_type_counts": with_ctes("""SELECT side, area_type, count(*) AS trip_count FROM (
+          SELECT 'pickup' AS side, pickup_area_type AS area_type FROM f
+          UNION ALL SELECT 'dropoff', dropoff_area_type FROM f) GROUP BY 1, 2"""),
+        "revenue_per_km": with_ctes("""SELECT count(revenue_per_km) AS n_defined,
+          count(*) FILTER (WHERE revenue_per_km IS NULL) AS n_undefined,
+          round(avg(revenue_per_km), 4) AS avg_revenue_per_km, round(min(revenue_per_km), 4) AS min_revenue_per_km,
+          round(max(revenue_per_km), 4) AS max_revenue_per_km FROM f"""),
+        "price_metrics": with_ctes("""SELECT count(total_amount / nullif(distance_km, 0)) AS n_price_per_km,
+          round(avg(total_amount / nullif(distance_km, 0)), 4) AS avg_price_per_km,
+          count(tip_amount / nullif(total_amount, 0)) AS n_tip_rate,
+          round(avg(tip_amount / nullif(total_amount, 0)), 6) AS avg_tip_rate FROM f"""),
+        "peak_flag_counts": with_ctes("""SELECT CASE WHEN hour BETWEEN 7 AND 9 OR hour BETWEEN 17 AND 19 THEN 1 ELSE 0 END
+          AS is_peak, count(*) AS trip_count FROM f WHERE hour IS NOT NULL GROUP BY 1"""),
+        "trip_flags": with_ctes("""SELECT sum(CASE WHEN distance_km <= 5 THEN 1 ELSE 0 END) AS short_trips,
+          sum(CASE WHEN distance_km >= 20 THEN 1 ELSE 0 END) AS long_trips,
+          sum(CASE WHEN total_amount >= (SELECT quantile_cont(total_amount, 0.8) FROM f) THEN 1 ELSE 0 END)
+            AS high_value_trips FROM f"""),
+        "engineered_features": with_ctes("SELECT * FROM f"),
+        "clean_short_trips": with_ctes("SELECT * FROM trips WHERE duration_min >= 1"),
+        "short_trips": with_ctes("SELECT * FROM trips WHERE duration_min < 1"),
+        "processed_dataset": with_ctes("SELECT * FROM f WHERE duration_min >= 1"),
+        "processed_shape": with_ctes("""SELECT count(*) AS n_rows, 26 AS n_columns, 15 AS n_added_columns
+          FROM trips WHERE duration_min >= 1"""),
+        "sample_rows": with_ctes(f"SELECT * FROM trips ORDER BY {', '.join(c + ' NULLS FIRST' for c in TRIP_COLUMNS)} LIMIT 10"),
+        "csv_roundtrip": with_ctes(f"SELECT {tc} FROM trips"),
+    }
+
+
+def _holiday(d):
+    from glenfare.oracle import holiday_case
+    return holiday_case(d)
+
+
+SQL = _sql()
+
+QUERIES = {
+    "parse_tip_pct": ("trips", parse_tip_pct),
+    "temporal_features": ("trips", temporal_features),
+    "time_of_day_counts": ("features", time_of_day_counts),
+    "holiday_flag": ("features", holiday_flag),
+    "postcode_area": ("features", postcode_area_counts),
+    "area_type_counts": ("features", area_type_counts),
+    "revenue_per_km": ("features", revenue_per_km_stats),
+    "price_metrics": ("features", price_metric_stats),
+    "peak_flag_counts": ("features", peak_flag_counts),
+    "trip_flags": ("features", trip_flag_counts),
+    "engineered_features": ("features", lambda f: f),
+    "clean_short_trips": ("trips", clean),
+    "short_trips": ("trips", short_trips),
+    "processed_dataset": ("trips", processed_dataset),
+    "processed_shape": ("trips", processed_shape),
+    "sample_rows": ("trips", sample_rows),
+    "csv_roundtrip": ("trips", csv_roundtrip),
+    "sample_trips": ("trips", sample_trips),
+}

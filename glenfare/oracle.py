@@ -105,7 +105,7 @@ def with_ctes(body: str, *extra: str) -> str:
 def all_sql() -> dict[str, str]:
     import importlib
     out: dict[str, str] = {}
-    for modname in ["features_sql", "quality", "demand", "revenue", "pricing", "stats", "series",
+    for modname in ["features", "quality", "demand", "revenue", "pricing", "stats", "series",
                     "segment", "forecast"]:
         try:
             mod = importlib.import_module(f"glenfare.operators.{modname}")

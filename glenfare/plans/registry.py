@@ -48,7 +48,7 @@ def build() -> dict[str, Query]:
 def _extend(q: dict[str, Query]) -> None:
     """Hook for the other operator families (filled in as they are added)."""
     import importlib
-    for modname in ["features_sql", "quality", "revenue", "pricing", "stats", "series",
+    for modname in ["features", "quality", "revenue", "pricing", "stats", "series",
                     "segment", "forecast"]:
         try:
             mod = importlib.import_module(f"glenfare.operators.{modname}")
