@@ -99,7 +99,7 @@ def is_weekend(ts) -> Column:
 
 # Right-closed distance bins (km) and their labels.
 DISTANCE_BINS = [(0.0, 5.0, "0-5km"), (5.0, 10.0, "5-10km"), (10.0, 20.0, "10-20km"),
-                 (20.0, 50.0, "20-50km"), (50.0, 100.0, "50km+")]
+                 (20.0, 50.0, "20-50km"), (50.0, 100.0, "50+km")]
 
 
 def distance_bin(c) -> Column:
@@ -156,3 +156,18 @@ def scottish_holiday_name(date) -> Column:
 
 def is_holiday(ts) -> Column:
     return scottish_holiday_name(F.to_date(col(ts))).isNotNull().cast("int")
+
+
+def quantiles(c, probs, accuracy: int | None = None) -> Column:
+    """Array of quantiles of ``c`` with linear interpolation.
+
+    ``accuracy=None`` is the exact ``percentile`` aggregate (its partial
+    state is a value -> count map, so memory follows the number of distinct
+    values, not rows); an integer switches to the mergeable sketch
+    ``percentile_approx`` with relative rank error ``1/accuracy``, the choice
+    for high-cardinality columns at scale.
+    """
+    probs = list(probs)
+    if accuracy is None:
+        return F.percentile(col(c), probs)
+    return F.percentile_approx(col(c), probs, accuracy)
