@@ -1,0 +1,22 @@
+"""Shipping library code used inside Python UDFs to the executors.
+
+Executors need not have this package installed: the modules whose functions
+run inside pandas UDFs are registered with cloudpickle to be serialised by
+value together with the UDF, so only the code a task runs travels with it.
+"""
+
+from __future__ import annotations
+
+import importlib
+
+from pyspark import cloudpickle
+
+_done: set[str] = set()
+
+
+def ship_by_value(*module_names: str) -> None:
+    for name in module_names:
+        if name in _done:
+            continue
+        cloudpickle.register_pickle_by_value(importlib.import_module(name))
+        _done.add(name)
