@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from glenfare.functions import expr as X
 from glenfare.plans.joins import attach_scalars, bounded_broadcast
+from glenfare.sources.dims import holiday_dim
 from glenfare.sources.schema import TRIP_COLUMNS, read_trips_csv, write_trips_csv
 
 COUNTRY = "United Kingdom"
@@ -41,7 +42,7 @@ def with_features(trips: DataFrame, commercial=X.COMMERCIAL_AREAS,
                 X.is_weekend(ts).alias("is_weekend"),
                 F.month(ts).alias("month"),
                 X.time_of_day(hour).alias("time_of_day"),
-                X.is_holiday(ts).alias("is_holiday")]
+                F.col("_hday").isNotNull().cast("int").alias("is_holiday")]
     if "pickup_postcode" in cols:
         pa = X.postcode_area("pickup_postcode", strip_inner)
         out += [pa.alias("pickup_area")]
@@ -57,7 +58,12 @@ def with_features(trips: DataFrame, commercial=X.COMMERCIAL_AREAS,
     if {"total_amount", "distance_km"} <= cols:
         out.append(X.safe_ratio("total_amount", "distance_km").alias("revenue_per_km"))
     out.append(F.lit(COUNTRY).alias("country"))
-    return trips.select(*out)
+    if "ts" not in cols:
+        return trips.select(*out)
+    # Holiday flag: broadcast hash join to the rule-built holiday dimension
+    # (about 1,800 rows) on the trip date.
+    hd = F.broadcast(holiday_dim(trips.sparkSession).select(F.col("date").alias("_hday")))
+    return trips.join(hd, F.to_date("ts") == F.col("_hday"), "left").select(*out)
 
 
 def short_trips(trips: DataFrame, min_minutes: float = 1.0) -> DataFrame:
@@ -138,15 +144,9 @@ def time_of_day_counts(features: DataFrame) -> DataFrame:
 
 
 def holiday_calendar(trips: DataFrame) -> DataFrame:
-    """The holiday dimension ``(date, name)`` for every date the trips span.
-
-    Built from the distinct trip dates (a few hundred per year whatever the
-    row count) with the rule-based calendar; a user-supplied table of the
-    same shape can be passed to ``flag_holidays`` instead.
-    """
-    d = trips.select(F.to_date("ts").alias("date")).filter(F.col("date").isNotNull()).distinct()
-    return (d.select("date", X.scottish_holiday_name(F.col("date")).alias("name"))
-            .filter(F.col("name").isNotNull()))
+    """The holiday dimension ``(date, name)``: the rule-built calendar; a
+    user-supplied table of the same shape can be passed to ``flag_holidays``."""
+    return holiday_dim(trips.sparkSession)
 
 
 def flag_holidays(features: DataFrame, holidays: DataFrame, max_rows: int = 100_000) -> DataFrame:
@@ -162,7 +162,7 @@ def flag_holidays(features: DataFrame, holidays: DataFrame, max_rows: int = 100_
 
 def holiday_flag(features: DataFrame) -> DataFrame:
     """Trips per holiday date via the holiday-dimension join (EXP7)."""
-    flagged = flag_holidays(features, holiday_calendar(features))
+    flagged = flag_holidays(features.drop("is_holiday"), holiday_calendar(features))
     return (flagged.filter(F.col("is_holiday") == 1)
             .groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date"), "holiday_name")
             .agg(F.count(F.lit(1)).alias("trip_count")))

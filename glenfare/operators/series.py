@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from glenfare.functions import expr as X
 from glenfare.oracle import holiday_case, with_ctes
+from glenfare.sources.dims import holiday_dim
 
 LAGS = (1, 2, 3, 24)
 ROLLING = ((3, "mean"), (24, "mean"), (24, "std"))
@@ -112,10 +113,9 @@ def add_calendar(series: DataFrame, holidays: DataFrame | None = None, events: D
         "is_festival_season": F.month(ts).isin(*FESTIVAL).cast("int"),
     })
     if holidays is None:
-        s = s.withColumn("is_holiday", X.scottish_holiday_name(d).isNotNull().cast("int"))
-    else:
-        hd = F.broadcast(holidays.select(F.col("date").cast("date").alias("_hd")).distinct())
-        s = s.join(hd, d == F.col("_hd"), "left").withColumn("is_holiday", F.col("_hd").isNotNull().cast("int")).drop("_hd")
+        holidays = holiday_dim(series.sparkSession)
+    hd = F.broadcast(holidays.select(F.col("date").cast("date").alias("_hd")).distinct())
+    s = s.join(hd, d == F.col("_hd"), "left").withColumn("is_holiday", F.col("_hd").isNotNull().cast("int")).drop("_hd")
     s = s.withColumn("is_bank_holiday", F.col("is_holiday"))
     if events is None and not keys:
         # The series span is one row, attached by broadcast (no unpartitioned window).
