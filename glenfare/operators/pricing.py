@@ -132,12 +132,12 @@ def pricing_opportunities(features: DataFrame) -> DataFrame:
 # --- DuckDB oracle -----------------------------------------------------------------------------
 
 _NOT_NULL = " AND ".join(f"{c} IS NOT NULL" for c in PRICED_COLUMNS)
-_P = (f"p AS (SELECT * FROM (SELECT *, total_amount / nullif(distance_km, 0) AS price_per_km, "
+_P = (f"p AS MATERIALIZED (SELECT * FROM (SELECT *, total_amount / nullif(distance_km, 0) AS price_per_km, "
       f"tip_amount / nullif(total_amount, 0) AS tip_rate, "
       f"CAST(hour BETWEEN 7 AND 9 OR hour BETWEEN 17 AND 19 AS INTEGER) AS is_peak FROM f) WHERE {_NOT_NULL})")
-_T1 = ("t1 AS (SELECT * FROM p WHERE price_per_km >= (SELECT quantile_cont(price_per_km, 0.01) FROM p) "
+_T1 = ("t1 AS MATERIALIZED (SELECT * FROM p WHERE price_per_km >= (SELECT quantile_cont(price_per_km, 0.01) FROM p) "
        "AND price_per_km <= (SELECT quantile_cont(price_per_km, 0.99) FROM p))")
-_T2 = ("t AS (SELECT * FROM t1 WHERE tip_rate >= (SELECT quantile_cont(tip_rate, 0.01) FROM t1) "
+_T2 = ("t AS MATERIALIZED (SELECT * FROM t1 WHERE tip_rate >= (SELECT quantile_cont(tip_rate, 0.01) FROM t1) "
        "AND tip_rate <= (SELECT quantile_cont(tip_rate, 0.99) FROM t1))")
 _PEAK = "(hour BETWEEN 7 AND 9 OR hour BETWEEN 17 AND 19)"
 _BIN = ("CASE WHEN distance_km > 0 AND distance_km <= 5 THEN '0-5km' WHEN distance_km > 5 AND distance_km <= 10 "

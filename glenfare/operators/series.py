@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from glenfare.functions import expr as X
 from glenfare.oracle import holiday_case, with_ctes
+from glenfare.plans.joins import attach_scalars
 from glenfare.sources.dims import holiday_dim
 
 LAGS = (1, 2, 3, 24)
@@ -118,9 +119,9 @@ def add_calendar(series: DataFrame, holidays: DataFrame | None = None, events: D
     s = s.join(hd, d == F.col("_hd"), "left").withColumn("is_holiday", F.col("_hd").isNotNull().cast("int")).drop("_hd")
     s = s.withColumn("is_bank_holiday", F.col("is_holiday"))
     if events is None and not keys:
-        # The series span is one row, attached by broadcast (no unpartitioned window).
+        # The series span is one row, attached as scalars (no unpartitioned window).
         b = series.agg(F.min("ts_hour").alias("_lo"), F.max("ts_hour").alias("_hi"))
-        s = s.join(F.broadcast(b), how="inner", on=F.lit(True))
+        s = attach_scalars(s, b)
         days = F.datediff(d, F.to_date("_lo"))
         event = (days % 7 == 0) & ((F.col("_lo") + F.make_dt_interval(days=days)) <= F.col("_hi"))
         s = s.withColumn("is_major_event", event.cast("int")).drop("_lo", "_hi")
@@ -198,7 +199,7 @@ def forecast_mean_baseline(split: DataFrame, keys: list[str] | None = None) -> D
     keys = keys or []
     m = split.filter(F.col("split") == "train").groupBy(*keys).agg(F.avg("trip_count").alias("prediction"))
     test = split.filter(F.col("split") == "test").select(*keys, "ts_hour", F.col("trip_count").alias("actual"))
-    j = test.join(F.broadcast(m), keys, "left") if keys else test.join(F.broadcast(m), how="inner", on=F.lit(True))
+    j = test.join(F.broadcast(m), keys, "left") if keys else attach_scalars(test, m)
     return j.select(*keys, "ts_hour", "actual", F.round("prediction", 4).alias("prediction"))
 
 
@@ -211,7 +212,7 @@ def forecast_seasonal_naive(split: DataFrame, keys: list[str] | None = None, per
     drift = (s.filter((F.col("split") == "train") & F.col("_prev").isNotNull()).groupBy(*keys)
              .agg(F.avg(F.col("trip_count") - F.col("_prev")).alias("_drift")))
     test = s.filter(F.col("split") == "test")
-    j = test.join(F.broadcast(drift), keys, "left") if keys else test.join(F.broadcast(drift), how="left", on=F.lit(True))
+    j = test.join(F.broadcast(drift), keys, "left") if keys else attach_scalars(test, drift)
     return j.select(*keys, "ts_hour", F.col("trip_count").alias("actual"),
                     F.round(F.col("_prev") + F.coalesce("_drift", F.lit(0.0)), 4).alias("prediction"))
 

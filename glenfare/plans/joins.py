@@ -1,9 +1,10 @@
 """Join helpers with explicit size reasoning.
 
-* ``attach_scalars``: attach a one-row aggregate (means, bounds, quantiles) to
-  every row.  The right side is a global aggregate, so it has exactly one row
-  whatever the input size; broadcasting it is always safe and the join emits
-  exactly the left rows.
+* ``attach_scalars``: attach the columns of a one-row aggregate (means,
+  bounds, quantiles) to every row.  The one-row side is a global aggregate,
+  so broadcasting it is always safe; it is joined on a constant key so that
+  Spark plans a broadcast *hash* join (whole-stage codegen) and not a
+  nested-loop join (measured about 10x slower on the trip projection).
 * ``bounded_broadcast``: broadcast a user-supplied dimension only after
   proving it is at most ``max_rows`` rows; beyond that the hint is dropped and
   Spark plans a shuffle join (AQE may still pick broadcast from runtime stats).
@@ -18,8 +19,13 @@ DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Left rows x a single-row frame, broadcast (never a many-to-many join)."""
-    return df.join(F.broadcast(one_row), on=F.lit(True), how="inner")
+    """``df`` plus every column of the global aggregate ``one_row`` (exactly
+    one row by construction): a broadcast hash join on a constant key, so the
+    probe stays inside whole-stage codegen and the output is exactly the
+    rows of ``df``."""
+    key = "_one_row_key"
+    right = F.broadcast(one_row.withColumn(key, F.lit(1)))
+    return df.withColumn(key, F.lit(1)).join(right, key, "inner").drop(key)
 
 
 def bounded_broadcast(side: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
