@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from glenfare.functions import expr as X
 from glenfare.oracle import with_ctes
-from glenfare.plans.joins import attach_scalars
 from glenfare.operators.features import ENGINEERED_COLUMNS, price_metrics
 from glenfare.sources.schema import TRIP_COLUMNS
 
@@ -26,17 +25,44 @@ def _r(c, n=3):
     return F.round(c, n)
 
 
+# Engineered columns that can be null while every trip column is set; all
+# other engineered columns are null only when a trip column is.
+_DERIVED_NULLABLE = ["tip_pct", "pickup_area", "dropoff_area", "revenue_per_km", "price_per_km", "tip_rate"]
+
+
+def _all_set(cols):
+    cond = None
+    for c in cols:
+        cond = F.col(c).isNotNull() if cond is None else cond & F.col(c).isNotNull()
+    return cond
+
+
 def priced(features: DataFrame) -> DataFrame:
-    """features + price_per_km + tip_rate, rows with any null removed (EXP12, FIL2)."""
-    return price_metrics(features).dropna(subset=[c for c in PRICED_COLUMNS if c in features.columns
-                                                  or c in ("price_per_km", "tip_rate")])
+    """features + price_per_km + tip_rate, rows with any null removed (EXP12, FIL2, D11).
+
+    Same rows as ``dropna()`` over every column, evaluated cheaply: a
+    conjunction of null checks on the trip columns and on the engineered
+    columns that can be null on their own (the others are null only when a
+    trip column is).  ``dropna`` compiles to one ``atleastnnonnulls`` over
+    every inlined engineered expression, measured 3x slower; the
+    conjunction short-circuits and its trip-column checks are planned first.
+    """
+    pm = price_metrics(features)
+    cols = [c for c in TRIP_COLUMNS + _DERIVED_NULLABLE if c in pm.columns]
+    return pm.filter(_all_set(cols))
 
 
 def trim(df: DataFrame, c: str, lo: float = 0.01, hi: float = 0.99, accuracy: int | None = None) -> DataFrame:
-    """Keep rows with ``c`` inside its [lo, hi] quantiles (inclusive)."""
-    b = df.agg(X.quantiles(c, [lo, hi], accuracy).alias("_b"))
-    j = attach_scalars(df, b)
-    return j.filter((F.col(c) >= F.col("_b")[0]) & (F.col(c) <= F.col("_b")[1])).drop("_b")
+    """Keep rows with ``c`` inside its [lo, hi] quantiles (inclusive).
+
+    The two bounds are one global aggregate fetched as two numbers and
+    applied as literals, so the filter is a plain comparison inside the
+    scan's generated code (no join back to a one-row side).
+    """
+    b = df.agg(X.quantiles(c, [lo, hi], accuracy).alias("_b")).first()["_b"]
+    if b is None:
+        return df.limit(0)
+    return df.filter((F.col(c) >= F.lit(b[0])) & (F.col(c) <= F.lit(b[1])))
 
 
 def price_trimmed(features: DataFrame, accuracy: int | None = None) -> DataFrame:

@@ -145,7 +145,7 @@ def numeric_stats(features: DataFrame, cols: list[str] | None = None, accuracy:
                 _r(q[0]).alias(f"{c}__q1"), _r(q[2]).alias(f"{c}__q3"), _r(q[2] - q[0]).alias(f"{c}__iqr"),
                 _r(skew).alias(f"{c}__skewness"), _r(kurt).alias(f"{c}__kurtosis"),
                 _r(F.try_divide(F.col(f"{c}__std"), F.col(f"{c}__mean")) * 100).alias(f"{c}__cv_pct"),
-                _r(F.col(f"{c}__lo")).alias(f"{c}__lower_bound"), _r(F.col(f"{c}__hi")).alias(f"{c}__upper_bound"),
+                _r(F.col(f"{c}__lo"), 6).alias(f"{c}__lower_bound"), _r(F.col(f"{c}__hi"), 6).alias(f"{c}__upper_bound"),
                 F.col(f"{c}__outliers").cast("double").alias(f"{c}__outlier_count"),
                 _r(F.try_divide(F.col(f"{c}__outliers"), F.col("_rows")) * 100).alias(f"{c}__outlier_pct")]
     return _stack(row.select(*sel), cols, fields)
@@ -363,7 +363,7 @@ def _numeric_sql(cols):
         parts.append(f"""SELECT '{c}' AS column_name, round(mean, 4) AS mean, round(median, 4) AS median,
           round(std, 4) AS std, min, max, round(q1, 4) AS q1, round(q3, 4) AS q3, round(q3 - q1, 4) AS iqr,
           round(skew, 4) AS skewness, round(kurt, 4) AS kurtosis, round(std / nullif(mean, 0) * 100, 4) AS cv_pct,
-          round(lo, 4) AS lower_bound, round(hi, 4) AS upper_bound, CAST({out} AS DOUBLE) AS outlier_count,
+          round(lo, 6) AS lower_bound, round(hi, 6) AS upper_bound, CAST({out} AS DOUBLE) AS outlier_count,
           round({out} / nullif(n, 0) * 100, 4) AS outlier_pct
           FROM (SELECT *, q1 - (q3 - q1) * 1.5 AS lo, q3 + (q3 - q1) * 1.5 AS hi FROM (
             SELECT avg({x}) AS mean, quantile_cont({x}, 0.5) AS median, stddev_samp({x}) AS std, min({x}) AS min,

@@ -64,7 +64,7 @@ def outliers_iqr(features: DataFrame, cols: list[str] | None = None, accuracy: i
     sel = [e for c in cols for e in (
         F.col(f"{c}__n").cast("bigint").alias(f"{c}__n"),
         _r(F.col(f"{c}__q")[0]).alias(f"{c}__q1"), _r(F.col(f"{c}__q")[1]).alias(f"{c}__q3"),
-        _r(F.col(f"{c}__lo")).alias(f"{c}__lower_bound"), _r(F.col(f"{c}__hi")).alias(f"{c}__upper_bound"),
+        _r(F.col(f"{c}__lo"), 6).alias(f"{c}__lower_bound"), _r(F.col(f"{c}__hi"), 6).alias(f"{c}__upper_bound"),
         F.col(f"{c}__iqr_out").alias(f"{c}__outlier_count"),
         _r(F.try_divide(F.col(f"{c}__iqr_out"), F.col("_rows")) * 100).alias(f"{c}__outlier_pct"))]
     out = _stack(row.select(*sel), cols, ["n", "q1", "q3", "lower_bound", "upper_bound", "outlier_count", "outlier_pct"])
@@ -226,12 +226,21 @@ def correlation_pearson(features: DataFrame, cols: list[str] | None = None, digi
     complete rows divided by the two population stds over the same rows.
     """
     cols = cols or NUMERIC_MEASURES
-    aggs = []
+    # Plain co-moment sums over each pair's complete rows (6 sum buffers per
+    # pair keeps the wide aggregate inside generated code).
+    aggs, rs = [], []
     for i, (a, b) in enumerate(_pairs(cols)):
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-        aggs.append(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"p{i}"))
-    row = features.agg(*aggs)
+        aggs += [F.count(x).alias(f"n{i}"), F.sum(x).alias(f"sx{i}"), F.sum(y).alias(f"sy{i}"),
+                 F.sum(x * x).alias(f"sxx{i}"), F.sum(y * y).alias(f"syy{i}"), F.sum(x * y).alias(f"sxy{i}")]
+        n, sx, sy = F.col(f"n{i}"), F.col(f"sx{i}"), F.col(f"sy{i}")
+        cov = F.col(f"sxy{i}") - sx * sy / n
+        vx, vy = F.col(f"sxx{i}") - sx * sx / n, F.col(f"syy{i}") - sy * sy / n
+        # A (numerically) constant column has no correlation: null, not noise.
+        ok = (vx > F.abs(F.col(f"sxx{i}")) * 1e-12) & (vy > F.abs(F.col(f"syy{i}")) * 1e-12)
+        rs.append(F.try_divide(cov, F.sqrt(F.when(ok, vx * vy))).alias(f"p{i}"))
+    row = features.agg(*aggs).select(*rs)
     parts = ", ".join(f"'{a}', '{b}', p{i}" for i, (a, b) in enumerate(_pairs(cols)))
     long = row.selectExpr(f"stack({len(_pairs(cols))}, {parts}) AS (var1, var2, r)")
     return _matrix(long.withColumn("r", _r(F.col("r"), digits)))
@@ -409,7 +418,7 @@ def _outlier_sql(cols, kind):
         z = f"(SELECT count(*) FROM f WHERE abs((f.{c} - s.mean) / nullif(s.sd, 0)) > 3)"
         if kind == "iqr":
             parts.append(f"""SELECT '{c}' AS column_name, round(q1, 4) AS q1, round(q3, 4) AS q3,
-              round({lo}, 4) AS lower_bound, round({hi}, 4) AS upper_bound, {iqr} AS outlier_count,
+              round({lo}, 6) AS lower_bound, round({hi}, 6) AS upper_bound, {iqr} AS outlier_count,
               round({iqr} / rows * 100, 4) AS outlier_pct FROM {stats} s WHERE n > 0""")
         elif kind == "z":
             parts.append(f"""SELECT '{c}' AS column_name, round(mean, 4) AS mean, round(sd, 4) AS std_pop,
