@@ -112,4 +112,6 @@ def all_sql() -> dict[str, str]:
         except ModuleNotFoundError:
             continue
         out.update(getattr(mod, "SQL", {}))
+    from glenfare.plans.report import summary_sql
+    out["report_summary"] = summary_sql()
     return out

@@ -42,6 +42,8 @@ def build() -> dict[str, Query]:
                  "fare_variation", "weekly_stats", "weekly_best"]:
         q[name] = _on_features(getattr(demand, name))
     _extend(q)
+    from glenfare.plans.report import report_summary
+    q["report_summary"] = _on_trips(report_summary)
     return q
 
 
