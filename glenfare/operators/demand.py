@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from glenfare.functions import expr as X
 from glenfare.oracle import with_ctes
+from glenfare.plans.joins import attach_scalars
 
 # Weekday names Monday-first and short month names.
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
@@ -215,7 +216,7 @@ def fleet_summary(features: DataFrame, top_n: int = 5) -> DataFrame:
     top = (area.withColumn("_rn", F.row_number().over(w))
            .agg(F.sum(F.when(F.col("_rn") <= top_n, F.col("rev"))).alias("_top"),
                 F.sum("rev").alias("_all")))
-    return glob.crossJoin(top).select(
+    return attach_scalars(glob, top).select(
         "total_trips",
         F.round(F.try_divide(F.col("total_trips"), F.col("_nh") * F.col("_nd")), 4).alias("avg_trips_per_cell"),
         F.round(F.try_divide(F.col("_peak"), F.col("total_trips")), 6).alias("peak_demand_ratio"),
