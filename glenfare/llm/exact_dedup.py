@@ -68,6 +68,8 @@ def keyed_state(log: DataFrame, path: str, batch_bytes: int = BATCH_BYTES) -> Da
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id:09d}")
 
     with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB,
+                  # many small stores: no disk is reserved ahead for their logs
+                  spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
                   spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
                   spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="300"):
         query = (state.writeStream.outputMode("update").foreachBatch(emit).trigger(availableNow=True)
