@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glenfare.llm import exact_dedup, quality_rules, sharding, url_filter
+from glenfare.llm import exact_dedup, quality_rules, sharding, simhash, url_filter
 
-MODULES = [exact_dedup, quality_rules, sharding, url_filter]
+MODULES = [exact_dedup, quality_rules, sharding, simhash, url_filter]
 
 
 def queries() -> dict:
