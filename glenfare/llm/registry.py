@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glenfare.llm import exact_dedup, html_text, language_id, packing, quality_rules, sharding, simhash, url_filter
+from glenfare.llm import exact_dedup, html_text, language_id, license_scan, packing, quality_rules, sharding, simhash, url_filter
 
-MODULES = [exact_dedup, html_text, language_id, packing, quality_rules, sharding, simhash, url_filter]
+MODULES = [exact_dedup, html_text, language_id, license_scan, packing, quality_rules, sharding, simhash, url_filter]
 
 
 def queries() -> dict:
