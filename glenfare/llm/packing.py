@@ -53,7 +53,7 @@ RUNS = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 WORDS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 LATIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\u024f]*\Z")
 
-_encoders: dict[str, "ChunkEncoder"] = {}  # one for each worker process
+_encoders: dict[int, "ChunkEncoder"] = {}  # one for each worker process
 
 
 class ChunkEncoder:
@@ -64,9 +64,9 @@ class ChunkEncoder:
     plain Latin text it also cuts between letters, digits and other characters,
     and lower-cases letter by letter, so there the chunks are smaller and fewer."""
 
-    def __init__(self, path: str):
+    def __init__(self, data: bytes):
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(data.decode())
         self.ids: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
@@ -85,10 +85,11 @@ class ChunkEncoder:
         return [b"".join(map(get, chunks)) for chunks in cut]
 
 
-def encoder(path: str) -> ChunkEncoder:
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+def encoder(data: bytes) -> ChunkEncoder:
+    key = zlib.crc32(data)
+    if key not in _encoders:
+        _encoders[key] = ChunkEncoder(data)
+    return _encoders[key]
 
 
 class Packer:
@@ -168,8 +169,8 @@ def first_id(level: int, task: int) -> int:
     return level << 56 | task << 32
 
 
-def pack_task(batches: Iterator[pa.RecordBatch], path: str, window: int, n_open: int) -> Iterator[pa.RecordBatch]:
-    task, enc = TaskContext.get().partitionId(), encoder(path)
+def pack_task(batches: Iterator[pa.RecordBatch], tokenizer, window: int, n_open: int) -> Iterator[pa.RecordBatch]:
+    task, enc = TaskContext.get().partitionId(), encoder(tokenizer.value)
     packer, end = Packer(first_id(0, task), window, n_open), array("I", [END_ID]).tobytes()
     for b in batches:
         for lo in range(0, b.num_rows, 200):
@@ -206,7 +207,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, n_open: int
     ship(__name__)
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    done = stored(texts.mapInArrow(partial(pack_task, path=tokenizer_path, window=window, n_open=n_open), SCHEMA),
+    with open(tokenizer_path, "rb") as f:  # one vocabulary, of a size its file bounds
+        tokenizer = docs.sparkSession.sparkContext.broadcast(f.read())
+    done = stored(texts.mapInArrow(partial(pack_task, tokenizer=tokenizer, window=window, n_open=n_open), SCHEMA),
                   "packing")
     levels, out = [], done.filter("open_window IS NULL")
     left = done.filter("open_window IS NOT NULL")
