@@ -55,6 +55,23 @@ def settings(spark: SparkSession, **conf: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def text_key(*others: str) -> Column:
+    """With doc_id, tells rows apart whose doc_id is repeated or null."""
+    return F.xxhash64("text", *others)
+
+
+def rows_in(docs: DataFrame, keys: DataFrame, *others: str, once: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, text_key) is in ``keys``; with
+    ``once``, equal keys stay once."""
+    k = keys.select(F.col("doc_id").alias("_key_id"), F.col("text_key").alias("_key_text")).distinct()
+    d = docs.withColumns({"_own_id": F.col("doc_id").cast("long"), "_own_text": text_key(*others)})
+    out = d.join(k, F.col("_own_id").eqNullSafe(F.col("_key_id")) & (F.col("_own_text") == F.col("_key_text")),
+                 "left_semi")
+    if once and not keys.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["_own_id", "_own_text"])
+    return out.select(docs.columns)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most BATCH_ROWS rows, unless the session asks for fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

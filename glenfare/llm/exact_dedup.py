@@ -148,7 +148,8 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one for each text."""
+    """The rows of ``docs`` that stay: one for each text (where the only ids of a
+    text are null, one of its rows)."""
     groups = exact_groups(docs)
     keep = groups.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n_same"))
     again = not keep.filter("n_same > 1").isEmpty()

@@ -298,6 +298,12 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, max_grams: int = MAX_GRAM
                      np.array([r["h"] for r in rows]).reshape(-1, len(model["langs"])))
 
 
+def accepted(m: dict, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    best = h.argmin(axis=1)
+    limit = m["mean"][best] + m["over"][best] + m["spread"][best] / np.sqrt(np.maximum(n, 1))
+    return h[np.arange(len(h)), best] <= limit
+
+
 def predict_rows(batches, model) -> Iterator[pa.RecordBatch]:
     m = model.value
     langs = np.array([*m["langs"], "und"], object)
@@ -306,12 +312,12 @@ def predict_rows(batches, model) -> Iterator[pa.RecordBatch]:
         best = h.argmin(axis=1)
         score = softmax(h, n, m["sharpness"])[np.arange(len(h)), best]
         low = h[np.arange(len(h)), best]
-        accepted = low <= m["mean"][best] + m["over"][best] + m["spread"][best] / np.sqrt(np.maximum(n, 1))
         none = n == 0
-        best[none], score[none], accepted[none], low[none] = len(langs) - 1, 0.0, False, np.nan
+        ok = accepted(m, h, n) & ~none
+        best[none], score[none], low[none] = len(langs) - 1, 0.0, np.nan
         yield pa.RecordBatch.from_pydict({
             "doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "lang_pred": pa.array(langs[best], pa.string()),
-            "score": pa.array(score, pa.float64()), "accepted": pa.array(accepted, pa.bool_()),
+            "score": pa.array(score, pa.float64()), "accepted": pa.array(ok, pa.bool_()),
             "cross_entropy": pa.array(low, pa.float64(), from_pandas=True)})
 
 
@@ -336,4 +342,21 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, fit(docs))
 
 
+def accept_rows(batches, model) -> Iterator[pa.RecordBatch]:
+    """The rows whose text is accepted as written in a learned language."""
+    m = model.value
+    for b in batches:
+        h, n = entropies(m, b.column("text").cast(pa.string()).to_pylist())
+        yield b.filter(pa.array((n > 0) & accepted(m, h, n)))
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not rejected (without any labelled row, all)."""
+    model = fit(docs)
+    if model is None:
+        return docs
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(partial(accept_rows, model=docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
+
+
 QUERIES = {"op5_language_id": op5_language_id}

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glenfare.llm.common import let, stored, table
+from glenfare.llm.common import let, rows_in, stored, table, text_key
 
 #: Fixed values of the contract.
 SPACE = " \t\n\x0b\x0c\r"
@@ -103,17 +103,17 @@ def symbols(text: Column) -> Column:
 
 
 def base_signals(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the base counts of every row."""
+    """doc_id, text_key, lang, source and the base counts of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     wide = docs.select(
-        "doc_id", "lang", "source", symbols(text).cast("long").alias("n_symbols"),
+        "doc_id", text_key("lang", "source").alias("text_key"), "lang", "source", symbols(text).cast("long").alias("n_symbols"),
         repeated_lines(text).cast("long").alias("n_dup_lines"), F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
         let(words_of(text), lambda w: F.struct(
             F.when(w[0] == "", 0).otherwise(F.size(w)).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             repeated_words(w).alias("n_repeat_words"))).alias("_w"))
     n, r = F.col("_w.n_words"), F.col("_w.n_repeat_words")
-    return wide.select("doc_id", "lang", "source", n.alias("n_words"), "_w.word_chars", "n_symbols", "n_dup_lines",
+    return wide.select("doc_id", "text_key", "lang", "source", n.alias("n_words"), "_w.word_chars", "n_symbols", "n_dup_lines",
                        r.alias("n_repeat_words"), "n_lines",
                        ((n < MIN_WORDS) | (100 * r > 50 * n)).alias("base_failed"))
 
@@ -183,4 +183,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[f"t_{s}" for s in SIGNALS])
 
 
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep."""
+    return rows_in(docs, judged(docs).filter("kept").select(F.col("doc_id").cast("long"), "text_key"),
+                   "lang", "source")
+
+
 QUERIES = {"op3_quality_rules": op3_quality_rules}

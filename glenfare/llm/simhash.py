@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glenfare.llm.common import ship, small_batches, stored, table
+from glenfare.llm.common import rows_in, ship, small_batches, stored, table, text_key
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 3, 42
 NODE_FINGERPRINTS = 1 << 16
@@ -63,17 +63,19 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): fp holds the unsigned fingerprint's bits in a long."""
+    """(doc_id, text_key, fp): fp holds the unsigned fingerprint's bits in a long."""
     ship(__name__)
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), shingle_words, seed) for t in b.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(fp.view(np.int64))],
+                                             ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"),
+                       F.col("text").cast("string").alias("text")) \
+        .mapInArrow(run, "doc_id bigint, text_key bigint, fp bigint")
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -238,7 +240,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
                     seed: int = SEED, depth: int | None = None) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, fp, component_id."""
+    """One row for each row of ``docs``: doc_id, text_key, fp, component_id."""
     prints = stored(fingerprints(docs, shingle_words, seed), "simhash-prints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     edges = stored(trie_links(distinct, distinct.count(), max_bits, depth), "simhash-forest")
@@ -247,7 +249,7 @@ def near_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = (distinct.join(label, "fp", "left").join(least, "label", "left")
              .select("fp", F.coalesce("component_id", "first_id").alias("component_id")))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,11 +258,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component (rows with a null
-    doc_id stay where the whole component has none)."""
-    keep = (near_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_keep_id")).distinct())
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")), "left_semi")
+    """The rows of ``docs`` whose doc_id names their component: one of each
+    (rows with a null doc_id stay where the whole component has none)."""
+    keep = stored(near_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+                  .select("doc_id", "text_key"), "simhash-kept")
+    return rows_in(docs, keep, once=True)
 
 
 QUERIES = {"op10_simhash_near_dedup": op10_simhash_near_dedup}
