@@ -60,15 +60,21 @@ def text_key(*others: str) -> Column:
     return F.xxhash64("text", *others)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores before those that are (or resemble) columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in ("_" * k + name for k in range(len(taken) + 1)) if n.lower() not in taken) for name in names]
+
+
 def rows_in(docs: DataFrame, keys: DataFrame, *others: str, once: bool = False) -> DataFrame:
     """The rows of ``docs`` whose (doc_id, text_key) is in ``keys``; with
     ``once``, equal keys stay once."""
-    k = keys.select(F.col("doc_id").alias("_key_id"), F.col("text_key").alias("_key_text")).distinct()
-    d = docs.withColumns({"_own_id": F.col("doc_id").cast("long"), "_own_text": text_key(*others)})
-    out = d.join(k, F.col("_own_id").eqNullSafe(F.col("_key_id")) & (F.col("_own_text") == F.col("_key_text")),
-                 "left_semi")
+    own_id, own_text, key_id, key_text = unused(docs, "own_id", "own_text", "key_id", "key_text")
+    k = keys.select(F.col("doc_id").alias(key_id), F.col("text_key").alias(key_text)).distinct()
+    d = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_text: text_key(*others)})
+    out = d.join(k, F.col(own_id).eqNullSafe(F.col(key_id)) & (F.col(own_text) == F.col(key_text)), "left_semi")
     if once and not keys.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["_own_id", "_own_text"])
+        out = out.dropDuplicates([own_id, own_text])
     return out.select(docs.columns)
 
 

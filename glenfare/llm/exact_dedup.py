@@ -8,8 +8,8 @@ third of all rows costs one row for each task.  A hit (a digest met again) is
 then proven on the full bytes: the texts of the group's members are compared
 with the text that the locator points to, in salted pieces of at most
 ``SALT_ROWS`` members, so that no task gets a whole hot group.  Rows whose
-bytes differ (a digest collision) leave the group and form groups of their own,
-by text.
+bytes differ show a digest collision; the rows of such a digest are grouped anew,
+by their whole text.
 
 Edge cases: a null text counts as empty; equal doc_ids with equal texts are
 one document and get the same answer in every row; of rows with a null doc_id
@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glenfare.llm.common import settings, shared_path, stored, table
+from glenfare.llm.common import settings, shared_path, stored, table, unused
 
 SALT_ROWS = 2000
 #: Bytes of the log that one micro-batch takes.
@@ -88,58 +88,44 @@ def keyed_state(log: DataFrame, path: str, batch_bytes: int = BATCH_BYTES) -> Da
                           F.col("first.n_bytes").alias("keep_bytes"), "n_rows")
 
 
-def differing(docs: DataFrame, members: DataFrame, digest, salt_rows: int) -> DataFrame:
-    """The members of groups whose bytes are not those of the document that the
-    locator names: (digest, doc_id, norm)."""
+def hit_texts(docs: DataFrame, members: DataFrame, digest) -> DataFrame:
+    """(digest, doc_id, keep_id, n_rows, norm): the full texts of all rows whose digest was met again."""
+    hits = members.filter(F.col("n_rows") > 1).select("digest", "doc_id", "keep_id", "n_rows").distinct()
+    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised("text").alias("norm"))
+             .withColumn("digest", digest(F.col("norm")).cast("string")))
+    return (texts.join(hits, (texts.digest == hits.digest) & texts.doc_id.eqNullSafe(hits.doc_id))
+            .select(hits.digest, hits.doc_id, "keep_id", "n_rows", "norm"))
+
+
+def collisions(hits: DataFrame, salt_rows: int) -> DataFrame:
+    """The digests of which some row's bytes are not those of the document that the locator names."""
     n_salts = F.ceil(F.col("n_rows") / salt_rows).cast("int")
-    hits = members.filter((F.col("n_rows") > 1)).select("digest", "doc_id", "keep_id", "n_rows").distinct()
-    norm = normalised("text")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm")) \
-        .withColumn("digest", digest(F.col("norm")).cast("string"))
-    hit_texts = (texts.join(hits, (texts.digest == hits.digest) & texts.doc_id.eqNullSafe(hits.doc_id))
-                 .select(hits.digest, hits.doc_id, "keep_id", "n_rows", "norm"))
-    side = stored(hit_texts, "dedup-hits")
-    located = (side.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-               .select("digest", "n_rows", F.col("norm").alias("kept_norm"))
-               .dropDuplicates(["digest"])
+    located = (hits.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+               .select("digest", "n_rows", F.col("norm").alias("kept_norm")).dropDuplicates(["digest"])
                .withColumn("salt", F.explode(F.sequence(F.lit(0), n_salts - 1))).drop("n_rows"))
-    salted = side.withColumn("salt", F.pmod(F.xxhash64("doc_id"), n_salts).cast("int"))
-    return (salted.join(located, ["digest", "salt"])
-            .filter(F.col("norm") != F.col("kept_norm")).select("digest", "doc_id", "norm"))
+    salted = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), n_salts).cast("int"))
+    return (salted.join(located, ["digest", "salt"]).filter(F.col("norm") != F.col("kept_norm"))
+            .select("digest").distinct())
 
 
 def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest,
                  batch_bytes: int = BATCH_BYTES, salt_rows: int = SALT_ROWS) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept,
-    text_sha256, digest, n_bytes."""
-    spark = docs.sparkSession
-    path = shared_path(spark, "dedup-log")
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    path = shared_path(docs.sparkSession, "dedup-log")
     log = arrival_log(docs, path, digest)
     state = keyed_state(log, path, batch_bytes)
     members = stored(log.join(state, "digest"), "dedup-members")
-    odd = stored(differing(docs, members, digest, salt_rows), "dedup-odd")
-    cols = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "digest", "n_bytes"]
-    if odd.isEmpty():
-        return members.withColumns({
-            "group_size": F.col("n_rows"),
-            "kept": F.col("doc_id").eqNullSafe(F.col("keep_id"))}).select(cols)
-    return resolved(members, odd).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(cols)
-
-
-def resolved(members: DataFrame, odd: DataFrame) -> DataFrame:
-    """Groups after digest collisions: the odd rows regroup by their text,
-    known by its SHA-256 within (digest, byte length, text)."""
-    own = odd.groupBy("digest", "norm").agg(F.min("doc_id").alias("own_keep"), F.count(F.lit(1)).alias("own_size"))
-    odd_rows = odd.join(own, ["digest", "norm"]).select("digest", "doc_id", "own_keep", "own_size",
-                                                        F.sha2("norm", 256).alias("text_sha256")).distinct()
-    left = odd_rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n_left"))
-    m, o = members.alias("m"), odd_rows.alias("o")
-    joined = (m.join(o, (F.col("m.digest") == F.col("o.digest")) & F.col("m.doc_id").eqNullSafe(F.col("o.doc_id"))
-                     & (F.col("m.text_sha256") == F.col("o.text_sha256")), "left")
-              .select("m.*", "own_keep", "own_size").join(left, "digest", "left"))
-    return joined.withColumns({
-        "group_size": F.coalesce("own_size", F.col("n_rows") - F.coalesce("n_left", F.lit(0))),
-        "keep_id": F.when(F.col("own_size").isNotNull(), F.col("own_keep")).otherwise(F.col("keep_id"))})
+    hits = stored(hit_texts(docs, members, digest), "dedup-hits")
+    odd = stored(collisions(hits, salt_rows), "dedup-collisions")
+    cols = ["doc_id", "keep_id", "group_size", "text_sha256"]
+    out = members.withColumn("group_size", F.col("n_rows"))
+    if not odd.isEmpty():
+        own = hits.join(odd, "digest", "left_semi").select("digest", "doc_id", "norm")
+        groups = own.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        regrouped = own.join(groups, ["digest", "norm"]).withColumn("text_sha256", F.sha2("norm", 256))
+        out = out.join(odd, "digest", "left_anti").select(cols).unionByName(regrouped.select(cols))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+                      "text_sha256")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,13 +137,15 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one for each text (where the only ids of a
     text are null, one of its rows)."""
     groups = exact_groups(docs)
-    keep = groups.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n_same"))
+    keep = stored(groups.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n_same")),
+                  "dedup-kept")
     again = not keep.filter("n_same > 1").isEmpty()
-    d = docs.withColumn("_dedup_sha", F.sha2(normalised("text"), 256))
-    k = keep.select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    out = d.join(k, (F.col("_dedup_sha") == F.col("_keep_sha"))
-                 & F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")), "left_semi")
-    return (out.dropDuplicates(["_dedup_sha"]) if again else out).select(docs.columns)
+    own_sha, key_sha, key_id = unused(docs, "own_sha", "key_sha", "key_id")
+    d = docs.withColumn(own_sha, F.sha2(normalised("text"), 256))
+    k = keep.select(F.col("doc_id").alias(key_id), F.col("text_sha256").alias(key_sha))
+    out = d.join(k, (F.col(own_sha) == F.col(key_sha)) & F.col("doc_id").cast("long").eqNullSafe(F.col(key_id)),
+                 "left_semi")
+    return (out.dropDuplicates([own_sha]) if again else out).select(docs.columns)
 
 
 QUERIES = {"op2_exact_dedup": op2_exact_dedup}
