@@ -4,9 +4,10 @@ A page is cut into blocks at block-level tags.  First pass: a block inside
 boilerplate containers, or mostly links, is bad; one that is long enough and
 has the stop-word density of prose is good; the rest is ambiguous.  Second pass:
 an ambiguous block takes the label that its nearest decided neighbours agree
-on; where they differ the nearer one counts, and at equal distance good does.
-The edges of an article (or main) element count as good neighbours of the blocks
-inside it, the edges of the page as bad.
+on; where they differ the nearer one counts, and at equal distance bad does.  The
+edges of the page count as bad.  Inside an article (or main) element only good
+blocks and its own edges, which are good, are neighbours, so a share bar does not
+take the paragraph beside it along.
 
 A page is one row and needs no other, so this is one map over the table.
 
@@ -185,37 +186,27 @@ def first_label(text: str, linked: int, bad: bool) -> bool | None:
     return None
 
 
-def decided(labels: list[bool | None], articles: list[int]) -> list[bool]:
-    """Second pass over the blocks of a page, in page order."""
-    n = len(labels)
-    before: list[tuple[int, bool]] = []  # (distance, label) of the nearest decided block upwards
-    distance, label = 0, False
-    for k in range(n):
-        if articles[k] and (k == 0 or articles[k] != articles[k - 1]):
-            distance, label = 0, True
-        elif k and articles[k - 1] and not articles[k]:
-            distance, label = 0, False
+def nearest(labels: list[bool | None], articles: list[int]) -> list[tuple[int, bool]]:
+    """For each block the distance and label of the nearest decided one before it."""
+    out, distance, label, inside = [], 0, False, 0
+    for own, article in zip(labels, articles):
+        if article != inside:  # over an article's edge
+            distance, label, inside = 0, bool(article), article
         distance += 1
-        before.append((distance, label))
-        if labels[k] is not None:
-            distance, label = 0, labels[k]
-    out: list[bool] = [False] * n
-    distance, label = 0, False
-    for k in range(n - 1, -1, -1):
-        if articles[k] and (k == n - 1 or articles[k] != articles[k + 1]):
-            distance, label = 0, True
-        elif k < n - 1 and articles[k + 1] and not articles[k]:
-            distance, label = 0, False
-        distance += 1
-        if labels[k] is not None:
-            out[k] = labels[k]
-            distance, label = 0, labels[k]
-        else:
-            d, up = before[k]
-            out[k] = up if up == label else (up if d < distance else label if distance < d else True)
+        out.append((distance, label))
+        if own or own is False and not article:
+            distance, label = 0, own
     return out
 
 
+def decided(labels: list[bool | None], articles: list[int]) -> list[bool]:
+    """Second pass over the blocks of a page, in page order."""
+    down = nearest(labels, articles)
+    up = nearest(labels[::-1], articles[::-1])[::-1]
+    return [own if own is not None else a == b and a or (b and d2 < d1) or (a and d1 < d2)
+            for own, (d1, a), (d2, b) in zip(labels, down, up)]
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, one on each line."""
     blocks = Blocks(html or "").blocks

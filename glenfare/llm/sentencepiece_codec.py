@@ -130,12 +130,16 @@ def normalizer(m: Model):
     return N.Sequence(steps)
 
 
-def build(m: Model):
-    """A tokenizers.Tokenizer with the model's behaviour."""
+def build(m: Model, text_only: bool = False):
+    """A tokenizers.Tokenizer with the model's behaviour.  ``text_only``: pieces that
+    never stand for text as written (control, byte and unused ones) get names that no
+    normal form contains, which a unigram model would else find in a text."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders as D, models, pre_tokenizers
     unknown = m.unknown()
     if m.model_type == UNIGRAM:
-        model = models.Unigram([(p, s) for p, s, _ in m.pieces], unk_id=unknown, byte_fallback=m.byte_fallback)
+        hidden = [text_only and t not in (NORMAL, USER_DEFINED) for _, _, t in m.pieces]
+        model = models.Unigram([(f" {i}", 0.0) if h else (p, s) for i, ((p, s, _), h) in enumerate(zip(m.pieces, hidden))],
+                               unk_id=unknown, byte_fallback=m.byte_fallback and not text_only)
     elif m.model_type == BPE:
         model = models.BPE({p: i for i, (p, _, _) in enumerate(m.pieces)}, m.merges(),
                            unk_token=m.pieces[unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback)
@@ -160,9 +164,11 @@ class Codec:
         from tokenizers import normalizers as N, pre_tokenizers
         self.model = Model.parse(data)
         self.tokenizer = build(self.model)
-        self.by_chunk = build(self.model)  # for single chunks of normal form
+        self.by_chunk = build(self.model, text_only=True)  # for single chunks of normal form
         self.by_chunk.normalizer = N.Sequence([])
         self.by_chunk.pre_tokenizer = pre_tokenizers.Sequence([])
+        self.unknown = self.model.unknown()
+        self.byte_ids = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(self.model.pieces) if t == BYTE}
         self.whole = not self.model.chunked()
         self.bytes_of = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t in (UNKNOWN, CONTROL) else p.encode()
                          for p, _, t in self.model.pieces]
@@ -196,9 +202,17 @@ class Codec:
         ids = self.peer.encode(texts, num_threads=1)
         return [i if t else [self.peer.piece_to_id(c)] for i, t, c in zip(ids, texts, chunks)]
 
+    def with_bytes(self, chunk: str, encoding) -> list[int]:
+        """The ids of an encoding, unknown characters as the ids of their bytes."""
+        return [k for i, (lo, hi) in zip(encoding.ids, encoding.offsets) for k in (
+            [self.byte_ids[b] for b in chunk[lo:hi].encode()] if i == self.unknown else [i])]
+
     def learn(self, new: list[str]) -> None:
         """Encode chunks, and prove each."""
-        ids = [e.ids for e in self.by_chunk.encode_batch_fast(new, add_special_tokens=False)]
+        fallback = self.model.byte_fallback and self.model.model_type == UNIGRAM
+        encode = self.by_chunk.encode_batch if fallback else self.by_chunk.encode_batch_fast
+        ids = [self.with_bytes(c, e) if fallback and self.unknown in e.ids else e.ids
+               for c, e in zip(new, encode(new, add_special_tokens=False))]
         for c, i, p in zip(new, ids, self.peer_ids(new) if self.peer else ids):
             self.known[c] = array("i", i).tobytes()
             if i != p:
