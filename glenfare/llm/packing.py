@@ -22,12 +22,12 @@ columns are ignored.
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +38,8 @@ from glenfare.llm.common import ship, small_batches, stored, table
 WINDOW, OPEN_WINDOWS, END_ID = 4096, 64, 2
 #: Tasks whose leftovers one task of the next level merges.
 FAN_IN = 16
-#: Distinct chunks whose ids a worker remembers.
-CACHE_CHUNKS = 200_000
+#: Distinct words whose ids a worker remembers, before it starts anew.
+CACHE_CHUNKS = 400_000
 
 #: A piece of a sequence, and (with ids and its window) one of an open window.
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
@@ -48,7 +48,7 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.
                    ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
                    ("task", pa.int64()), ("open_window", pa.int32()), ("ids", pa.binary())])
 
-#: In lower-case Latin text without apostrophes: runs of letters, of digits and of other characters.
+#: In lower-case Latin words without apostrophes: runs of letters, of digits and of other characters.
 RUNS = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 WORDS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 LATIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\u024f]*\Z")
@@ -58,31 +58,60 @@ _encoders: dict[int, "ChunkEncoder"] = {}  # one for each worker process
 
 class ChunkEncoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes, put together from
-    the ids of chunks, which are remembered.
+    the ids of words, which are remembered.
 
-    The tokenizer joins nothing across white space, so words are chunks; in
-    plain Latin text it also cuts between letters, digits and other characters,
-    and lower-cases letter by letter, so there the chunks are smaller and fewer."""
+    The tokenizer joins nothing across white space.  In plain Latin words it also
+    cuts between letters, digits and other characters, so such words share the ids of
+    their runs.  A run of letters has exactly one token with the word-end mark, its last, which
+    tells the ids of many runs apart when they are encoded as one text."""
+
+    JOINED = 256
 
     def __init__(self, data: bytes):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(data.decode())
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.ids: dict[str, bytes] = {}
 
-    def chunks(self, text: str) -> list[str]:
-        if "'" in text or "<|" in text or not LATIN.match(text) or not unicodedata.is_normalized("NFC", text):
-            return WORDS.findall(text)
-        return RUNS.findall(text.lower())
+    def learn_runs(self, runs: list[str]) -> None:
+        single = [r for r in runs if not r.isalpha()]
+        letters = [r for r in runs if r.isalpha()]
+        groups = [letters[lo:lo + self.JOINED] for lo in range(0, len(letters), self.JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups],
+                                                                     add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(cuts) != len(group):  # some letter has a normal form with more than letters
+                single += group
+                continue
+            data, at = ids.tobytes(), 0
+            for r, end in zip(group, cuts.tolist()):
+                self.ids[r], at = data[at:end], end
+        for r, e in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False)):
+            self.ids[r] = array("I", e.ids).tobytes()
+
+    def learn(self, words: set[str], plain: bool) -> None:
+        """Remember new words; ``plain``: they are lower-case Latin."""
+        runs = {w: RUNS.findall(w) if plain and "'" not in w else [w] for w in words if not w.isalpha()}
+        new = {r for rs in runs.values() for r in rs}.union(w for w in words if w not in runs)
+        self.learn_runs(list(new.difference(self.ids)))
+        get = self.ids.__getitem__
+        for w, rs in runs.items():
+            self.ids[w] = b"".join(map(get, rs))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.chunks(t) for t in texts]
         if len(self.ids) > CACHE_CHUNKS:
             self.ids.clear()
-        new = list({c for chunks in cut for c in chunks}.difference(self.ids))
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.ids[c] = array("I", e.ids).tobytes()
+        plain = [bool(LATIN.match(t)) and "<|" not in t for t in texts]
+        cut = [t.lower().split() if p else WORDS.findall(t) for t, p in zip(texts, plain)]
+        for kind in (True, False):
+            words = set().union(*[ws for ws, p in zip(cut, plain) if p is kind]).difference(self.ids)
+            if words:
+                self.learn(words, kind)
         get = self.ids.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in cut]
+        return [b"".join(map(get, ws)) for ws in cut]
 
 
 def encoder(data: bytes) -> ChunkEncoder:
