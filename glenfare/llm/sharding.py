@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glenfare.llm.common import table
+from glenfare.llm.common import stored, table
 
 REGIONS, RACKS, SHARDS_PER_RACK = 2, 3, 4
 #: Rows that one slot bucket holds, about.
@@ -115,7 +115,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str, n_shards: int = 24) -> DataFr
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).cast("long").alias("text_crc32"))
     placed = place(place(docs, F.col("doc_id"), tree(n_shards)), F.col("doc_id"), tree(n_shards + 1), "grown_shard")
-    return with_slots(placed).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
+    return with_slots(stored(placed, "shards")).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
                                      "grown_shard")
 
 
