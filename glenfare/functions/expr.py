@@ -47,8 +47,12 @@ def postcode_area(c, strip_inner: bool = False) -> Column:
     if strip_inner:
         p = F.replace(p, F.lit(" "), F.lit(""))
     n = F.length(p)
-    return (F.when(n == 6, F.substring(p, 1, 3))
-             .when(n == 5, F.substring(p, 1, 2)))
+    return F.when(n.isin(5, 6), F.substring(p, F.lit(1), n - 3))
+
+
+def has_postcode_area(c) -> Column:
+    """Whether ``postcode_area`` gives an area: the stripped code has 5 or 6 characters."""
+    return F.length(F.upper(strip(c))).isin(5, 6)
 
 
 def area_type(area, commercial=COMMERCIAL_AREAS) -> Column:
@@ -155,7 +159,19 @@ def scottish_holiday_name(date) -> Column:
 
 
 def is_holiday(ts) -> Column:
-    return scottish_holiday_name(F.to_date(col(ts))).isNotNull().cast("int")
+    """1 on a Scottish bank holiday, else 0 (EXP7).
+
+    Fixed dates and first / last Mondays are tests of month, day and weekday.
+    The Easter computus runs only on Fridays of March and April, inside a
+    lambda: it stays out of the generated code of the projection, which it
+    would push past the JVM's method limit."""
+    d = F.to_date(col(ts))
+    mo, dom, wd = F.month(d), F.dayofmonth(d), F.weekday(d)
+    good_friday = F.element_at(F.transform(F.array(d), lambda x: F.date_sub(easter_sunday(F.year(x)), 2) == x), 1)
+    rule = (((mo == 1) & (dom <= 2)) | ((mo == 5) & (wd == 0) & ((dom <= 7) | (dom >= 25)))
+            | ((mo == 8) & (wd == 0) & (dom <= 7)) | ((mo == 11) & (dom == 30)) | ((mo == 12) & dom.isin(25, 26))
+            | F.when(mo.isin(3, 4) & (wd == 4), good_friday).otherwise(False))
+    return F.coalesce(rule, F.lit(False)).cast("int")
 
 
 def quantiles(c, probs, accuracy: int | None = None) -> Column:

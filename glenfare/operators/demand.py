@@ -108,8 +108,8 @@ def _pareto(features: DataFrame, area: str, share: float = 0.8) -> DataFrame:
     # The window runs over the aggregated areas (one row per district).
     w = Window.orderBy(F.desc("trip_count"), F.asc("area")).rowsBetween(Window.unboundedPreceding, 0)
     total = Window.partitionBy()
-    return (counts.withColumn("cum_share", F.round(F.sum("trip_count").over(w) / F.sum("trip_count").over(total), 6))
-            .filter(F.col("cum_share") <= share))
+    return (counts.withColumn("cum_share", F.sum("trip_count").over(w) / F.sum("trip_count").over(total))
+            .filter(F.col("cum_share") <= share).withColumn("cum_share", F.round("cum_share", 6)))
 
 
 def pareto_pickup(features: DataFrame, share: float = 0.8) -> DataFrame:
@@ -273,10 +273,12 @@ def weekly_best(features: DataFrame) -> DataFrame:
 
 _AREA_COUNTS = """SELECT {a} AS area, count(*) AS trip_count FROM f WHERE {a} IS NOT NULL GROUP BY {a}"""
 _PARETO = """SELECT area, trip_count, cum_share FROM (
-  SELECT area, trip_count,
-    round(sum(trip_count) OVER (ORDER BY trip_count DESC, area ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-          / sum(trip_count) OVER (), 6) AS cum_share
-  FROM ({inner})) WHERE cum_share <= 0.8"""
+  SELECT a.area, a.trip_count, round(sum(b.trip_count) / any_value(t.n), 6) AS cum_share,
+    10 * sum(b.trip_count) <= 8 * any_value(t.n) AS within
+  FROM ({inner}) a JOIN ({inner}) b
+    ON b.trip_count > a.trip_count OR (b.trip_count = a.trip_count AND b.area <= a.area),
+    (SELECT sum(trip_count) AS n FROM ({inner})) t
+  GROUP BY a.area, a.trip_count) WHERE within"""
 _WEEKLY = """SELECT week_of_year, round(sum(total_amount), 2) AS total_revenue,
   round(avg(total_amount), 2) AS avg_revenue_per_trip, count(total_amount) AS trip_count
   FROM f WHERE week_of_year IS NOT NULL GROUP BY week_of_year"""

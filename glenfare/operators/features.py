@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glenfare.functions import expr as X
-from glenfare.plans.joins import attach_scalars, bounded_broadcast
+from glenfare.plans.joins import attach_scalars
 from glenfare.sources.dims import holiday_dim
 from glenfare.sources.schema import TRIP_COLUMNS, read_trips_csv, write_trips_csv
 
@@ -42,7 +42,7 @@ def with_features(trips: DataFrame, commercial=X.COMMERCIAL_AREAS,
                 X.is_weekend(ts).alias("is_weekend"),
                 F.month(ts).alias("month"),
                 X.time_of_day(hour).alias("time_of_day"),
-                F.col("_hday").isNotNull().cast("int").alias("is_holiday")]
+                X.is_holiday(ts).alias("is_holiday")]
     if "pickup_postcode" in cols:
         pa = X.postcode_area("pickup_postcode", strip_inner)
         out += [pa.alias("pickup_area")]
@@ -58,12 +58,7 @@ def with_features(trips: DataFrame, commercial=X.COMMERCIAL_AREAS,
     if {"total_amount", "distance_km"} <= cols:
         out.append(X.safe_ratio("total_amount", "distance_km").alias("revenue_per_km"))
     out.append(F.lit(COUNTRY).alias("country"))
-    if "ts" not in cols:
-        return trips.select(*out)
-    # Holiday flag: broadcast hash join to the rule-built holiday dimension
-    # (about 1,800 rows) on the trip date.
-    hd = F.broadcast(holiday_dim(trips.sparkSession).select(F.col("date").alias("_hday")))
-    return trips.join(hd, F.to_date("ts") == F.col("_hday"), "left").select(*out)
+    return trips.select(*out)
 
 
 def short_trips(trips: DataFrame, min_minutes: float = 1.0) -> DataFrame:
@@ -113,8 +108,8 @@ def trip_flags(features: DataFrame, short_km: float = 5.0, long_km: float = 20.0
                high_value_pct: float = 0.8) -> DataFrame:
     """Short / long / high-value flags (EXP14).
 
-    The 80th percentile of ``total_amount`` is one global aggregate; the
-    one-row result is attached with a broadcast join (size 1 by construction).
+    The 80th percentile of ``total_amount`` is one global aggregate, read as
+    a scalar subquery.
     """
     bound = features.agg(F.percentile("total_amount", high_value_pct).alias("_p80"))
     return (attach_scalars(features, bound)
@@ -144,19 +139,19 @@ def time_of_day_counts(features: DataFrame) -> DataFrame:
 
 
 def holiday_calendar(trips: DataFrame) -> DataFrame:
-    """The holiday dimension ``(date, name)``: the rule-built calendar; a
-    user-supplied table of the same shape can be passed to ``flag_holidays``."""
-    return holiday_dim(trips.sparkSession)
+    """The holiday dimension ``(date, name)``: the rule-built calendar of the
+    years that the trips cover; a user-supplied table of the same shape can be
+    passed to ``flag_holidays``."""
+    return holiday_dim(trips.select(F.year("ts").alias("year")))
 
 
-def flag_holidays(features: DataFrame, holidays: DataFrame, max_rows: int = 100_000) -> DataFrame:
+def flag_holidays(features: DataFrame, holidays: DataFrame) -> DataFrame:
     """Left join trips to a holiday dimension; ``is_holiday`` = 1 on a match (EXP7/JOI1).
 
-    The dimension is broadcast only after its size is checked; a holiday
-    table is tens of rows per year, far below ``max_rows``.
+    The dimension has tens of rows per year; Spark picks the join by its size.
     """
     h = holidays.select(F.col("date").alias("_hdate"), F.col("name").alias("holiday_name")).dropDuplicates(["_hdate"])
-    j = features.join(bounded_broadcast(h, max_rows), F.to_date("ts") == F.col("_hdate"), "left")
+    j = features.join(h, F.to_date("ts") == F.col("_hdate"), "left")
     return j.withColumn("is_holiday", F.col("_hdate").isNotNull().cast("int")).drop("_hdate")
 
 
@@ -221,12 +216,12 @@ def csv_roundtrip(trips: DataFrame, path: str | None = None) -> DataFrame:
     """Write the trips as CSV in the export layout and scan them back (SRC1).
 
     The folder defaults to a fresh subfolder of the session's shared
-    checkpoint folder, never a machine-local temporary folder.
+    checkpoint folder; the returned frame reads it, so its owner removes it.
     """
     import uuid
     from glenfare.session import checkpoint_dir
     spark = trips.sparkSession
-    path = path or f"{checkpoint_dir(spark).rstrip('/')}/csv_roundtrip/{uuid.uuid4().hex}"
+    path = path or f"{checkpoint_dir(spark).rstrip('/')}/csv_roundtrip-{uuid.uuid4().hex}"
     write_trips_csv(trips, path)
     return read_trips_csv(spark, path)
 

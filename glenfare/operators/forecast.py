@@ -23,6 +23,9 @@ from glenfare.operators import series as S
 
 FARE_FEATURES = ["distance_km", "duration_min", "passenger_count", "hour"]
 FARE_TARGET = "fare_amount"
+#: Depth of every forest: a parameter of the model.  Spark grows trees up to 30
+#: levels and level by level, so depth is time; 15 levels are 32,768 leaves a tree.
+MAX_DEPTH = 15
 
 
 def _r(c, n=4):
@@ -50,12 +53,14 @@ def _fit(estimator, data: DataFrame):
         train.unpersist()
 
 
-def _fare_models(features: DataFrame, trees: int = 100, seed: int = 42, max_depth: int = 10):
+def _forest(label: str, trees: int = 100, seed: int = 42, max_depth: int = MAX_DEPTH) -> RandomForestRegressor:
+    return RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=trees, seed=seed, maxDepth=max_depth)
+
+
+def _fare_models(features: DataFrame, trees: int = 100, seed: int = 42, max_depth: int = MAX_DEPTH):
     data = _fare_data(features)
     lr = _fit(LinearRegression(featuresCol="features", labelCol=FARE_TARGET, regParam=0.0), data)
-    rf = _fit(RandomForestRegressor(featuresCol="features", labelCol=FARE_TARGET, numTrees=trees, seed=seed,
-                                    maxDepth=max_depth), data)
-    return data, {"Linear Regression": lr, "Random Forest": rf}
+    return data, {"Linear Regression": lr, "Random Forest": _fit(_forest(FARE_TARGET, trees, seed, max_depth), data)}
 
 
 def regression_metrics(pred: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
@@ -77,11 +82,10 @@ def fare_linear_regression(features: DataFrame) -> DataFrame:
     return features.sparkSession.createDataFrame(rows, "term string, value double")
 
 
-def fare_random_forest(features: DataFrame, trees: int = 100, seed: int = 42) -> DataFrame:
+def fare_random_forest(features: DataFrame, trees: int = 100, seed: int = 42, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Random-forest fare predictions on the hold-out rows (MOD3)."""
     data = _fare_data(features)
-    m = _fit(RandomForestRegressor(featuresCol="features", labelCol=FARE_TARGET, numTrees=trees, seed=seed,
-                                   maxDepth=10), data)
+    m = _fit(_forest(FARE_TARGET, trees, seed, max_depth), data)
     return m.transform(data.filter(F.col("split") == "test")).select(*FARE_FEATURES, FARE_TARGET, "prediction")
 
 
@@ -114,7 +118,7 @@ def _importances(spark: SparkSession, names: list[str], values) -> DataFrame:
 def fare_feature_importance(features: DataFrame) -> DataFrame:
     """Random-forest importances, ranked, with business labels (MOD5)."""
     data = _fare_data(features)
-    m = _fit(RandomForestRegressor(featuresCol="features", labelCol=FARE_TARGET, numTrees=100, seed=42, maxDepth=10), data)
+    m = _fit(_forest(FARE_TARGET), data)
     imp = _importances(features.sparkSession, FARE_FEATURES, m.featureImportances)
     lab = None
     for f, (cut, hi, lo) in IMPORTANCE_LABELS.items():
@@ -166,7 +170,7 @@ def _gbt(seed=42):
 
 
 def _rf(seed=42):
-    return RandomForestRegressor(featuresCol="features", labelCol="trip_count", numTrees=100, seed=seed, maxDepth=10)
+    return _forest("trip_count", seed=seed)
 
 
 def forecast_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,9 +184,12 @@ def forecast_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all_forecasts(split: DataFrame) -> dict[str, tuple[DataFrame, object]]:
-    split = split.persist(StorageLevel.MEMORY_AND_DISK)
-    gbt, gm, cols = _tree_forecast(split, _gbt())
-    rf, rm, _ = _tree_forecast(split, _rf())
+    kept = split.persist(StorageLevel.MEMORY_AND_DISK)  # for the two fits; the results are lazy plans on ``split``
+    try:
+        gbt, gm, cols = _tree_forecast(kept, _gbt())
+        rf, rm, _ = _tree_forecast(kept, _rf())
+    finally:
+        kept.unpersist()
     return {"Gradient Boosting": (gbt, gm, cols), "Random Forest": (rf, rm, cols),
             "Seasonal Naive": (S.forecast_seasonal_naive(split), None, cols),
             "Mean Baseline": (S.forecast_mean_baseline(split), None, cols)}

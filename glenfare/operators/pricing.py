@@ -3,8 +3,9 @@
 All pricing operators read the priced table: features plus ``price_per_km``
 and ``tip_rate``, rows with any null dropped (D11), then trimmed to the
 1st-99th percentile of ``price_per_km`` and, for the section tables, of
-``tip_rate`` on the survivors.  Each trim is one global percentile aggregate
-(one row) attached by broadcast and a filter: two scans, no shuffle of trips.
+``tip_rate`` on the survivors.  Each trim reads its two bounds as a scalar
+subquery and filters: no join, no shuffle of trips, and nothing runs before
+the result is asked for.
 The reference samples 3,000 rows first; the engine uses every row.
 """
 
@@ -25,44 +26,27 @@ def _r(c, n=3):
     return F.round(c, n)
 
 
-# Engineered columns that can be null while every trip column is set; all
-# other engineered columns are null only when a trip column is.
-_DERIVED_NULLABLE = ["tip_pct", "pickup_area", "dropoff_area", "revenue_per_km", "price_per_km", "tip_rate"]
-
-
-def _all_set(cols):
-    cond = None
-    for c in cols:
-        cond = F.col(c).isNotNull() if cond is None else cond & F.col(c).isNotNull()
-    return cond
-
-
 def priced(features: DataFrame) -> DataFrame:
     """features + price_per_km + tip_rate, rows with any null removed (EXP12, FIL2, D11).
 
-    Same rows as ``dropna()`` over every column, evaluated cheaply: a
-    conjunction of null checks on the trip columns and on the engineered
-    columns that can be null on their own (the others are null only when a
-    trip column is).  ``dropna`` compiles to one ``atleastnnonnulls`` over
-    every inlined engineered expression, measured 3x slower; the
-    conjunction short-circuits and its trip-column checks are planned first.
-    """
+    Same rows as ``dropna()`` over every column, by checks of what the columns
+    come from: an engineered column is null only where a trip column is, the
+    tip string is no number, a postcode has no area, or a divisor is zero.
+    The filter therefore repeats no engineered expression."""
     pm = price_metrics(features)
-    cols = [c for c in TRIP_COLUMNS + _DERIVED_NULLABLE if c in pm.columns]
-    return pm.filter(_all_set(cols))
+    ok = F.col("tip_pct").isNotNull() & (F.col("distance_km") != 0) & (F.col("total_amount") != 0)
+    for c in TRIP_COLUMNS:
+        ok = F.col(c).isNotNull() & ok
+    for c in ("pickup_postcode", "dropoff_postcode"):
+        ok = ok & X.has_postcode_area(c)
+    return pm.filter(ok)
 
 
 def trim(df: DataFrame, c: str, lo: float = 0.01, hi: float = 0.99, accuracy: int | None = None) -> DataFrame:
-    """Keep rows with ``c`` inside its [lo, hi] quantiles (inclusive).
-
-    The two bounds are one global aggregate fetched as two numbers and
-    applied as literals, so the filter is a plain comparison inside the
-    scan's generated code (no join back to a one-row side).
-    """
-    b = df.agg(X.quantiles(c, [lo, hi], accuracy).alias("_b")).first()["_b"]
-    if b is None:
-        return df.limit(0)
-    return df.filter((F.col(c) >= F.lit(b[0])) & (F.col(c) <= F.lit(b[1])))
+    """Keep rows with ``c`` inside its [lo, hi] quantiles (inclusive); without
+    a value of ``c`` there are no bounds and no rows."""
+    bounds = df.agg(X.quantiles(c, [lo, hi], accuracy).alias("_b")).scalar()
+    return df.filter((F.col(c) >= bounds[0]) & (F.col(c) <= bounds[1]))
 
 
 def price_trimmed(features: DataFrame, accuracy: int | None = None) -> DataFrame:

@@ -198,15 +198,16 @@ def categorical_stats(trips: DataFrame, cols: list[str] | None = None) -> DataFr
 def categorical_top5(trips: DataFrame, cols: list[str] | None = None, k: int = 5) -> DataFrame:
     """Top-k values per string column with counts and % (PRO9).
 
-    ``row_number() <= k`` over a partition is planned with a map-side group
-    limit, so only k rows per column and task reach the final sort.
+    The column totals are an aggregate of their own (a row per column), so
+    that ``row_number() <= k`` is planned with a map-side group limit: k rows
+    per column and task reach the final sort.
     """
     cols = cols or STRING_COLUMNS
     vc = _value_counts(trips, cols)
     w = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
-    tot = Window.partitionBy("column_name")
-    return (vc.withColumn("share_pct", _r(F.col("n") / F.sum("n").over(tot) * 100))
-            .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    tot = vc.groupBy("column_name").agg(F.sum("n").alias("_total"))
+    return (vc.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .join(tot, "column_name").withColumn("share_pct", _r(F.col("n") / F.col("_total") * 100))
             .select("column_name", "rank", "value", F.col("n").alias("count"), "share_pct"))
 
 
@@ -282,12 +283,13 @@ def completeness_score(trips: DataFrame) -> DataFrame:
 def duplicate_rows(trips: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row, and their % (PRO15).
 
-    ``groupBy(all columns)`` treats nulls as equal, like row duplication
-    checks do.  Partial aggregation collapses copies inside each task before
-    the shuffle, so even a group holding a third of all rows ships one
-    partial row per task.
+    Nulls are equal, like in row duplication checks.  What is shuffled is a
+    128-bit hash of each row (two seeded 64-bit ones; nulls are marked apart) and a
+    count, combined in each task, so a hot row ships one small row per task.
     """
-    g = trips.groupBy(*trips.columns).agg(F.count(F.lit(1)).alias("_c"))
+    cells = [x for c in trips.columns for x in (F.col(c), F.col(c).isNull())]
+    g = (trips.groupBy(F.xxhash64(F.lit(1), *cells).alias("_h1"), F.xxhash64(F.lit(2), *reversed(cells)).alias("_h2"))
+         .agg(F.count(F.lit(1)).alias("_c")))
     a = g.agg(F.sum(F.col("_c") - 1).alias("dups"), F.sum("_c").alias("_n"))
     return a.select(F.coalesce("dups", F.lit(0)).alias("duplicate_rows"),
                     _r(F.try_divide(F.col("dups"), F.col("_n")) * 100).alias("duplicate_pct"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from glenfare.functions import expr as X
 from glenfare.oracle import with_ctes
-from glenfare.plans.joins import attach_scalars, bounded_broadcast
+from glenfare.plans.joins import attach_scalars
 
 
 def _r(c, n=4):
@@ -130,7 +130,7 @@ def geo_revenue(features: DataFrame, areas: DataFrame | None = None) -> DataFram
            .agg(_r(F.sum("total_amount"), 2).alias("revenue"), F.count(F.lit(1)).alias("trip_count")))
     if areas is None:
         return rev
-    dim = bounded_broadcast(areas.select(F.col("area").alias("pickup_area"), "name", "lat", "lon"))
+    dim = areas.select(F.col("area").alias("pickup_area"), "name", "lat", "lon")
     return rev.join(dim, "pickup_area", "left")
 
 

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from glenfare.functions import expr as X
 from glenfare.oracle import holiday_case, with_ctes
 from glenfare.plans.joins import attach_scalars
-from glenfare.sources.dims import holiday_dim
 
 LAGS = (1, 2, 3, 24)
 ROLLING = ((3, "mean"), (24, "mean"), (24, "std"))
@@ -43,6 +42,12 @@ def _w(keys, desc=False):
     return Window.partitionBy(*keys).orderBy(o) if keys else Window.orderBy(o)
 
 
+def clock_hour(ts: str):
+    """The hour of a zone-less timestamp, by subtraction: ``date_trunc`` would go
+    through the session's time zone and shift or repeat hours at clock changes."""
+    return F.expr(f"{ts} - make_dt_interval(0, 0, minute({ts}), extract(SECOND FROM {ts}))")
+
+
 def hourly_series(features: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Trips per clock hour with zero-filled gaps (WIN1).
 
@@ -53,12 +58,12 @@ def hourly_series(features: DataFrame, keys: list[str] | None = None) -> DataFra
     base = features.filter(F.col("ts").isNotNull())
     for k in keys:
         base = base.filter(F.col(k).isNotNull())
-    counts = (base.groupBy(*keys, F.date_trunc("HOUR", "ts").alias("ts_hour"))
+    counts = (base.groupBy(*keys, clock_hour("ts").alias("ts_hour"))
               .agg(F.count(F.lit(1)).alias("trip_count")))
     span = counts.groupBy(*keys).agg(F.min("ts_hour").alias("_lo"), F.max("ts_hour").alias("_hi"))
     grid = span.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 HOUR"))).alias("ts_hour"))
     return (grid.join(counts, [*keys, "ts_hour"], "left")
-            .select(*keys, F.col("ts_hour").cast("timestamp_ntz").alias("ts_hour"),
+            .select(*keys, "ts_hour",
                     F.coalesce("trip_count", F.lit(0)).cast("bigint").alias("trip_count")))
 
 
@@ -97,7 +102,7 @@ def add_calendar(series: DataFrame, holidays: DataFrame | None = None, events: D
     """Hour-of-day, weekday, month flags, holiday and event flags (EXP17).
 
     ``holidays`` / ``events`` are optional ``(date, name)`` dimensions joined
-    by date (broadcast: tens of rows per year).  Without ``holidays`` the
+    by date.  Without ``holidays`` the
     rule-based Scottish calendar is used; without ``events`` an event day is
     every 7th day from the first hour of the series, within its span.
     """
@@ -114,12 +119,14 @@ def add_calendar(series: DataFrame, holidays: DataFrame | None = None, events: D
         "is_festival_season": F.month(ts).isin(*FESTIVAL).cast("int"),
     })
     if holidays is None:
-        holidays = holiday_dim(series.sparkSession)
-    hd = F.broadcast(holidays.select(F.col("date").cast("date").alias("_hd")).distinct())
-    s = s.join(hd, d == F.col("_hd"), "left").withColumn("is_holiday", F.col("_hd").isNotNull().cast("int")).drop("_hd")
+        s = s.withColumn("is_holiday", X.is_holiday(ts))
+    else:
+        hd = holidays.select(F.col("date").cast("date").alias("_hd")).distinct()
+        s = (s.join(hd, d == F.col("_hd"), "left").withColumn("is_holiday", F.col("_hd").isNotNull().cast("int"))
+             .drop("_hd"))
     s = s.withColumn("is_bank_holiday", F.col("is_holiday"))
     if events is None and not keys:
-        # The series span is one row, attached as scalars (no unpartitioned window).
+        # The series span is one row: scalar subqueries, no unpartitioned window.
         b = series.agg(F.min("ts_hour").alias("_lo"), F.max("ts_hour").alias("_hi"))
         s = attach_scalars(s, b)
         days = F.datediff(d, F.to_date("_lo"))
@@ -131,7 +138,7 @@ def add_calendar(series: DataFrame, holidays: DataFrame | None = None, events: D
         days = F.datediff(d, F.to_date(lo))
         s = s.withColumn("is_major_event", ((days % 7 == 0) & ((lo + F.make_dt_interval(days=days)) <= hi)).cast("int"))
     else:
-        ed = F.broadcast(events.select(F.col("date").cast("date").alias("_ed")).distinct())
+        ed = events.select(F.col("date").cast("date").alias("_ed")).distinct()
         s = s.join(ed, d == F.col("_ed"), "left").withColumn("is_major_event", F.col("_ed").isNotNull().cast("int")).drop("_ed")
     return s
 
@@ -143,10 +150,25 @@ def add_weather(series: DataFrame, weather: DataFrame) -> DataFrame:
     Needs ``is_rush_hour``, ``is_weekend`` and ``is_major_event`` (from
     ``add_calendar``).  The weather table has one row per hour, the same
     grain as the series, so this is an equi-join on the hour that AQE plans
-    as broadcast or shuffle by its runtime size."""
+    as broadcast or shuffle by its runtime size.  An hour that the table lacks gets the
+    mean of its month and hour of day (or of all hours) in hundredths, and
+    ``weather_missing`` = 1: no hour of the series is lost."""
     w = weather.select(F.col("ts_hour").cast("timestamp_ntz").alias("ts_hour"),
                        F.col("temperature").cast("double"), F.col("precipitation").cast("double"))
+
+    def mean(c):  # whole hundredths, so that the order of the sum cannot matter
+        cents = F.round(F.col(c) * 100).cast("long")
+        return F.floor(F.try_divide(F.sum(cents), F.count(cents))).cast("double") / 100
+
+    climate = w.groupBy(F.month("ts_hour").alias("_month"), F.hour("ts_hour").alias("_hour")).agg(
+        mean("temperature").alias("_t"), mean("precipitation").alias("_p"))
+    overall = w.agg(mean("temperature").alias("_t0"), mean("precipitation").alias("_p0"))
     s = series.join(w, "ts_hour", "left")
+    s = s.join(climate, (F.month("ts_hour") == F.col("_month")) & (F.hour("ts_hour") == F.col("_hour")), "left")
+    s = attach_scalars(s, overall).withColumns({
+        "weather_missing": (F.col("temperature").isNull() | F.col("precipitation").isNull()).cast("int"),
+        "temperature": F.coalesce("temperature", "_t", "_t0"),
+        "precipitation": F.coalesce("precipitation", "_p", "_p0")}).drop("_month", "_hour", "_t", "_p", "_t0", "_p0")
     return s.withColumns({
         "is_rainy": (F.col("precipitation") > RAIN_MM).cast("int"),
         "is_cold": (F.col("temperature") < COLD_C).cast("int"),
@@ -165,7 +187,7 @@ def weather_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     ts = F.expr("l_shipdate + make_dt_interval(0, CAST(l_partkey % 5 + l_suppkey % 20 AS INT), "
                 "CAST(l_orderkey % 60 AS INT), 0)")
-    return (li.select(F.date_trunc("HOUR", ts).cast("timestamp_ntz").alias("ts_hour"), "l_tax", "l_discount")
+    return (li.select(ts.alias("ts"), "l_tax", "l_discount").withColumn("ts_hour", clock_hour("ts"))
             .groupBy("ts_hour").agg(F.round(F.avg("l_tax") * 400 - 4, 2).alias("temperature"),
                                     F.round(F.avg("l_discount") * 100, 2).alias("precipitation")))
 
@@ -189,9 +211,12 @@ def forecast_features(features: DataFrame, weather: DataFrame | None = None, hol
 
 
 def forecast_split(matrix: DataFrame, test_hours: int = 24, keys: list[str] | None = None) -> DataFrame:
-    """Chronological hold-out: the last ``test_hours`` rows are 'test' (WIN5)."""
-    rn = F.row_number().over(_w(keys or [], desc=True))
-    return matrix.withColumn("split", F.when(rn <= test_hours, "test").otherwise("train"))
+    """Chronological hold-out: the last ``test_hours`` clock hours (of each key) are 'test' (WIN5)."""
+    keys = keys or []
+    last = matrix.groupBy(*keys).agg(F.max("ts_hour").alias("_last"))
+    m = matrix.join(last, keys) if keys else attach_scalars(matrix, last)
+    test = F.col("ts_hour") > F.col("_last") - F.expr(f"INTERVAL {int(test_hours)} HOURS")
+    return m.withColumn("split", F.when(test, "test").otherwise("train")).drop("_last")
 
 
 def forecast_mean_baseline(split: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -199,20 +224,22 @@ def forecast_mean_baseline(split: DataFrame, keys: list[str] | None = None) -> D
     keys = keys or []
     m = split.filter(F.col("split") == "train").groupBy(*keys).agg(F.avg("trip_count").alias("prediction"))
     test = split.filter(F.col("split") == "test").select(*keys, "ts_hour", F.col("trip_count").alias("actual"))
-    j = test.join(F.broadcast(m), keys, "left") if keys else attach_scalars(test, m)
+    j = test.join(m, keys, "left") if keys else attach_scalars(test, m)
     return j.select(*keys, "ts_hour", "actual", F.round("prediction", 4).alias("prediction"))
 
 
 def forecast_seasonal_naive(split: DataFrame, keys: list[str] | None = None, period: int = 24) -> DataFrame:
-    """Seasonal naive with drift (FOR4, re-aimed from SARIMA): the value one
-    period earlier plus the mean seasonal difference of the training rows."""
+    """Seasonal naive with drift (FOR4, re-aimed from SARIMA): the value ``period``
+    clock hours earlier (found by that hour, so gaps in the matrix do not shift
+    it) plus the mean seasonal difference of the training rows."""
     keys = keys or []
-    w = _w(keys)
-    s = split.withColumn("_prev", F.lag("trip_count", period).over(w))
+    earlier = split.select(*keys, (F.col("ts_hour") + F.expr(f"INTERVAL {int(period)} HOURS")).alias("ts_hour"),
+                           F.col("trip_count").alias("_prev"))
+    s = split.join(earlier, [*keys, "ts_hour"], "left")
     drift = (s.filter((F.col("split") == "train") & F.col("_prev").isNotNull()).groupBy(*keys)
              .agg(F.avg(F.col("trip_count") - F.col("_prev")).alias("_drift")))
     test = s.filter(F.col("split") == "test")
-    j = test.join(F.broadcast(drift), keys, "left") if keys else attach_scalars(test, drift)
+    j = test.join(drift, keys, "left") if keys else attach_scalars(test, drift)
     return j.select(*keys, "ts_hour", F.col("trip_count").alias("actual"),
                     F.round(F.col("_prev") + F.coalesce("_drift", F.lit(0.0)), 4).alias("prediction"))
 
@@ -235,7 +262,7 @@ def _weather_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glenfare.plans.registry import features
     s = add_weather(add_calendar(hourly_series(features(spark, sf_dir))), weather_fixture(spark, sf_dir))
     return s.select("ts_hour", "temperature", "precipitation", "is_rainy", "is_cold", "is_hot",
-                    "rainy_rush_hour", "cold_weekend", "event_weekend")
+                    "rainy_rush_hour", "cold_weekend", "event_weekend", "weather_missing")
 
 
 def _split_q(spark, sf_dir):
@@ -285,14 +312,23 @@ _SL = f"sl AS (SELECT *, {_LAGS}, {_ROLL} FROM s)"
 _WEATHER = """wx AS (SELECT date_trunc('hour', l_shipdate + to_hours(CAST(l_partkey % 5 + l_suppkey % 20 AS INT))
     + to_minutes(CAST(l_orderkey % 60 AS INT))) AS ts_hour, round(avg(l_tax) * 400 - 4, 2) AS temperature,
     round(avg(l_discount) * 100, 2) AS precipitation FROM lineitem GROUP BY 1)"""
+_WEATHER += """, filled AS (SELECT s.ts_hour, CAST(wx.ts_hour IS NULL AS INTEGER) AS weather_missing,
+    coalesce(wx.temperature, c.t, o.t) AS temperature, coalesce(wx.precipitation, c.p, o.p) AS precipitation
+    FROM s LEFT JOIN wx ON s.ts_hour = wx.ts_hour
+    LEFT JOIN (SELECT month(ts_hour) AS m, hour(ts_hour) AS h,
+        floor(sum(CAST(round(temperature * 100) AS BIGINT)) / count(*)) / 100 AS t,
+        floor(sum(CAST(round(precipitation * 100) AS BIGINT)) / count(*)) / 100 AS p FROM wx GROUP BY 1, 2) c
+      ON month(s.ts_hour) = c.m AND hour(s.ts_hour) = c.h,
+    (SELECT floor(sum(CAST(round(temperature * 100) AS BIGINT)) / count(*)) / 100 AS t,
+        floor(sum(CAST(round(precipitation * 100) AS BIGINT)) / count(*)) / 100 AS p FROM wx) o)"""
 _WCOLS = """cw AS (SELECT *, is_rainy * is_rush_hour AS rainy_rush_hour, is_cold * is_weekend AS cold_weekend,
-    is_major_event * is_weekend AS event_weekend FROM (SELECT cal.*, wx.temperature, wx.precipitation,
-    CAST(wx.precipitation > 5 AS INTEGER) AS is_rainy, CAST(wx.temperature < 5 AS INTEGER) AS is_cold,
-    CAST(wx.temperature > 20 AS INTEGER) AS is_hot FROM cal LEFT JOIN wx ON cal.ts_hour = wx.ts_hour))"""
+    is_major_event * is_weekend AS event_weekend FROM (SELECT cal.*, w.temperature, w.precipitation, w.weather_missing,
+    CAST(w.precipitation > 5 AS INTEGER) AS is_rainy, CAST(w.temperature < 5 AS INTEGER) AS is_cold,
+    CAST(w.temperature > 20 AS INTEGER) AS is_hot FROM cal JOIN filled w ON cal.ts_hour = w.ts_hour))"""
 _NN = " AND ".join(f"{c} IS NOT NULL" for c in FORECAST_FEATURES)
 _MATRIX = f"m AS (SELECT ts_hour, trip_count, {', '.join(FORECAST_FEATURES)} FROM cw WHERE {_NN})"
-_SPLIT = ("sp AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY ts_hour DESC) <= 24 THEN 'test' ELSE 'train' END "
-          "AS split FROM m)")
+_SPLIT = ("sp AS (SELECT m.*, CASE WHEN date_diff('hour', m.ts_hour, e.last) < 24 THEN 'test' ELSE 'train' END "
+          "AS split FROM m, (SELECT max(ts_hour) AS last FROM m) e)")
 
 
 def _m(body, *extra):
@@ -308,7 +344,7 @@ SQL = {
       is_late_night, is_lunch_time, is_winter, is_summer, is_festival_season, is_holiday, is_bank_holiday,
       is_major_event FROM cal""", _SERIES, _SL, _CAL),
     "weather_features": with_ctes("""SELECT ts_hour, temperature, precipitation, is_rainy, is_cold, is_hot,
-      rainy_rush_hour, cold_weekend, event_weekend FROM cw""", _SERIES, _SL, _CAL, _WEATHER, _WCOLS),
+      rainy_rush_hour, cold_weekend, event_weekend, weather_missing FROM cw""", _SERIES, _SL, _CAL, _WEATHER, _WCOLS),
     "forecast_features": _m("SELECT ts_hour, trip_count, " + ", ".join(
         f"round({c}, 6) AS {c}" if c.startswith("rolling") else c for c in FORECAST_FEATURES) + " FROM m"),
     "forecast_split": _m("SELECT ts_hour, trip_count, split FROM sp"),
@@ -317,7 +353,8 @@ SQL = {
     "forecast_seasonal_naive": _m("""SELECT ts_hour, trip_count AS actual,
       round(prev + coalesce((SELECT avg(trip_count - prev) FROM p WHERE split = 'train' AND prev IS NOT NULL), 0), 4)
         AS prediction FROM p WHERE split = 'test'""",
-                                  "p AS (SELECT *, lag(trip_count, 24) OVER (ORDER BY ts_hour) AS prev FROM sp)"),
+                                  "p AS (SELECT a.*, b.trip_count AS prev FROM sp a LEFT JOIN sp b "
+                                  "ON b.ts_hour = a.ts_hour - INTERVAL 24 HOUR)"),
 }
 
 QUERIES = {

@@ -2,9 +2,8 @@
 
 Patterns used throughout:
 
-* quantile fences are one wide global (or per-hour) aggregate whose small
-  result is broadcast back for the counting pass: two scans, the trips are
-  never shuffled;
+* quantile fences are one wide global (or per-hour) aggregate, read back as
+  scalar subqueries for the counting pass: the trips are never shuffled;
 * correlation never materialises a row x column matrix: Pearson is one wide
   aggregate of co-moments per column pair; Spearman ranks are computed over
   *distinct values* (value -> count), so a value shared by a third of all
@@ -13,17 +12,15 @@ Patterns used throughout:
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from glenfare.functions import expr as X
 from glenfare.oracle import with_ctes
 from glenfare.plans.joins import attach_scalars
-from glenfare.plans.udf import ship_by_value
 from glenfare.sources.schema import NUMERIC_MEASURES
 
 
@@ -116,7 +113,7 @@ def outlier_alerts(features: DataFrame) -> DataFrame:
     dims = spark.sql(f"SELECT * FROM VALUES {rows} AS t(column_name, threshold, high_msg, normal_msg)")
     o = outliers_iqr(features, [c for c, *_ in ALERTS]).filter(F.col("outlier_count") > 0)
     share = F.col("outlier_pct") / 100
-    return (o.join(F.broadcast(dims), "column_name")
+    return (o.join(dims, "column_name")
             .select("column_name", "outlier_count", "outlier_pct",
                     F.when(share > F.col("threshold"), "high").otherwise("normal").alias("alert"),
                     F.when(share > F.col("threshold"), F.col("high_msg")).otherwise(F.col("normal_msg")).alias("message")))
@@ -141,7 +138,7 @@ def box_stats(df: DataFrame, key: str, metrics: list[str], accuracy: int | None
         F.col(f"{m}__q"),
         (F.col(f"{m}__q")[0] - (F.col(f"{m}__q")[2] - F.col(f"{m}__q")[0]) * 1.5).alias(f"{m}__lo"),
         (F.col(f"{m}__q")[2] + (F.col(f"{m}__q")[2] - F.col(f"{m}__q")[0]) * 1.5).alias(f"{m}__hi"))])
-    j = base.select(key, *metrics).join(F.broadcast(fences.drop(*[f"{m}__q" for m in metrics])), key)
+    j = base.select(key, *metrics).join((fences.drop(*[f"{m}__q" for m in metrics])), key)
     aggs = []
     for m in metrics:
         x, lo, hi = F.col(m), F.col(f"{m}__lo"), F.col(f"{m}__hi")
@@ -186,7 +183,7 @@ def histogram(df: DataFrame, c: str, bins: int = 30) -> DataFrame:
     counts = j.groupBy(F.coalesce(idx, F.lit(0)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     spark = df.sparkSession
     grid = attach_scalars(spark.range(bins).select(F.col("id").cast("int").alias("bin")), mm)
-    return (grid.join(F.broadcast(counts), "bin", "left")
+    return (grid.join(counts, "bin", "left")
             .select("bin", _r(F.col("_lo") + F.col("bin") * width, 6).alias("bin_start"),
                     _r(F.col("_lo") + (F.col("bin") + 1) * width, 6).alias("bin_end"),
                     F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
@@ -210,40 +207,38 @@ def tip_histogram(features: DataFrame) -> DataFrame:
 # --- correlation (COR1-COR3) -------------------------------------------------------------------
 
 def _pairs(cols):
-    return [(a, b) for a, b in combinations(cols, 2)] + [(c, c) for c in cols]
+    return list(combinations(cols, 2))
 
 
-def _matrix(pair_r: DataFrame) -> DataFrame:
-    """(var1, var2, r) for i<=j -> full symmetric matrix."""
-    return pair_r.unionByName(pair_r.filter(F.col("var1") != F.col("var2"))
-                              .select(F.col("var2").alias("var1"), F.col("var1").alias("var2"), "r"))
+def _matrix(pair_r: DataFrame, diagonal: DataFrame) -> DataFrame:
+    """(var1, var2, r) of the pairs, both ways round, and of the diagonal."""
+    return pair_r.unionByName(pair_r.select(F.col("var2").alias("var1"), F.col("var1").alias("var2"), "r")) \
+        .unionByName(diagonal)
+
+
+def _diagonal(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(c, c, 1): null for a column with fewer than two different values."""
+    row = df.agg(*[F.when(F.min(c) < F.max(c), 1.0).alias(f"d{i}") for i, c in enumerate(cols)])
+    parts = ", ".join(f"'{c}', '{c}', d{i}" for i, c in enumerate(cols))
+    return row.selectExpr(f"stack({len(cols)}, {parts}) AS (var1, var2, r)")
 
 
 def correlation_pearson(features: DataFrame, cols: list[str] | None = None, digits: int = 6) -> DataFrame:
     """Pearson matrix, pairwise-complete rows, null where undefined (COR1).
 
-    One wide aggregate: per pair, population covariance over the pair's
-    complete rows divided by the two population stds over the same rows.
-    """
+    One wide aggregate of co-moments about running means, which merge without
+    cancelling; a pair's deviations are taken over its complete rows."""
     cols = cols or NUMERIC_MEASURES
-    # Plain co-moment sums over each pair's complete rows (6 sum buffers per
-    # pair keeps the wide aggregate inside generated code).
     aggs, rs = [], []
     for i, (a, b) in enumerate(_pairs(cols)):
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-        aggs += [F.count(x).alias(f"n{i}"), F.sum(x).alias(f"sx{i}"), F.sum(y).alias(f"sy{i}"),
-                 F.sum(x * x).alias(f"sxx{i}"), F.sum(y * y).alias(f"syy{i}"), F.sum(x * y).alias(f"sxy{i}")]
-        n, sx, sy = F.col(f"n{i}"), F.col(f"sx{i}"), F.col(f"sy{i}")
-        cov = F.col(f"sxy{i}") - sx * sy / n
-        vx, vy = F.col(f"sxx{i}") - sx * sx / n, F.col(f"syy{i}") - sy * sy / n
-        # A (numerically) constant column has no correlation: null, not noise.
-        ok = (vx > F.abs(F.col(f"sxx{i}")) * 1e-12) & (vy > F.abs(F.col(f"syy{i}")) * 1e-12)
-        rs.append(F.try_divide(cov, F.sqrt(F.when(ok, vx * vy))).alias(f"p{i}"))
+        aggs += [F.covar_pop(x, y).alias(f"c{i}"), F.stddev_pop(x).alias(f"sx{i}"), F.stddev_pop(y).alias(f"sy{i}")]
+        rs.append(F.try_divide(F.col(f"c{i}"), F.col(f"sx{i}") * F.col(f"sy{i}")).alias(f"p{i}"))
     row = features.agg(*aggs).select(*rs)
     parts = ", ".join(f"'{a}', '{b}', p{i}" for i, (a, b) in enumerate(_pairs(cols)))
     long = row.selectExpr(f"stack({len(_pairs(cols))}, {parts}) AS (var1, var2, r)")
-    return _matrix(long.withColumn("r", _r(F.col("r"), digits)))
+    return _matrix(long.withColumn("r", _r(F.col("r"), digits)), _diagonal(features, cols))
 
 
 def correlation_spearman(features: DataFrame, cols: list[str] | None = None, digits: int = 6) -> DataFrame:
@@ -283,8 +278,8 @@ def correlation_spearman(features: DataFrame, cols: list[str] | None = None, dig
     names = features.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)],
                                                   "pair int, var1 string, var2 string")
     r = s.select("pair", F.try_divide(cov, F.sqrt(F.when((vx > 0) & (vy > 0), vx * vy))).alias("r"))
-    long_r = F.broadcast(names).join(r, "pair", "left").select("var1", "var2", _r(F.col("r"), digits).alias("r"))
-    return _matrix(long_r)
+    long_r = names.join(r, "pair", "left").select("var1", "var2", _r(F.col("r"), digits).alias("r"))
+    return _matrix(long_r, _diagonal(features, cols))
 
 
 # Business tags of strong pairs (unordered column pairs).
@@ -316,93 +311,113 @@ def strong_correlations(features: DataFrame, cols: list[str] | None = None, cut:
 # --- one-way ANOVA (STA1) ----------------------------------------------------------------------
 
 def _anova_parts(features: DataFrame, value: str, group: str) -> DataFrame:
+    """df1, df2, the sums of squares and F, unrounded, from one grouped scan:
+    the grand mean follows from the groups."""
     d = features.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
     g = d.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
-    tot = d.agg(F.count(F.lit(1)).alias("total_n"), F.avg(value).alias("grand_mean"))
-    j = attach_scalars(g, tot)
-    return j.agg(F.count(F.lit(1)).alias("k"), F.first("total_n").alias("total_n"),
-                 F.sum(F.col("n") * (F.col("m") - F.col("grand_mean")) ** 2).alias("ssb"),
-                 F.sum(F.coalesce((F.col("n") - 1) * F.col("v"), F.lit(0.0))).alias("ssw"))
+    a = g.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total_n"),
+              # between groups: the variance of the group means, weighted by size
+              F.collect_list(F.struct("n", "m")).alias("_groups"),
+              F.sum(F.coalesce((F.col("n") - 1) * F.col("v"), F.lit(0.0))).alias("ssw"))
+    mean = F.try_divide(F.aggregate("_groups", F.lit(0.0), lambda s, x: s + x["n"] * x["m"]), F.col("total_n"))
+    a = a.withColumn("_mean", mean)
+    a = a.withColumn("ssb", F.aggregate("_groups", F.lit(0.0), lambda s, x: s + x["n"] * F.pow(x["m"] - F.col("_mean"), 2)))
+    df1, df2 = F.col("k") - 1, F.col("total_n") - F.col("k")
+    return a.select(df1.cast("bigint").alias("df_between"), df2.cast("bigint").alias("df_within"),
+                    F.when(F.col("k") > 0, F.col("ssb")).alias("ss_between"), F.col("ssw").alias("ss_within"),
+                    F.try_divide(F.try_divide(F.col("ssb"), df1), F.try_divide(F.col("ssw"), df2)).alias("f_stat"))
 
 
 def anova_fare_hour(features: DataFrame, value: str = "fare_amount", group: str = "hour") -> DataFrame:
-    """One-way ANOVA F statistic of fare across hours (STA1).
-
-    Group sizes, means and variances are one grouped aggregate (24 rows);
-    sums of squares follow from them, no second pass over the trips."""
+    """One-way ANOVA F statistic of fare across hours (STA1)."""
     p = _anova_parts(features, value, group)
-    df1, df2 = F.col("k") - 1, F.col("total_n") - F.col("k")
-    f = F.try_divide(F.try_divide(F.col("ssb"), df1), F.try_divide(F.col("ssw"), df2))
-    return p.select(df1.cast("bigint").alias("df_between"), df2.cast("bigint").alias("df_within"),
-                    _r(F.col("ssb"), 4).alias("ss_between"), _r(F.col("ssw"), 4).alias("ss_within"),
-                    _r(f, 4).alias("f_stat"))
-
-
-def _betacf(a, b, x):
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny, eps = 1e-300, 3e-16
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 10000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < eps:
-            break
-    return h
-
-
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    import math
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1) / (a + b + 2):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1 - x) / b
-
-
-def f_sf(f: float, d1: float, d2: float) -> float:
-    """Upper tail P(F > f) of the F(d1, d2) distribution."""
-    if f is None or d1 is None or d2 is None or d1 <= 0 or d2 <= 0 or f != f:
+    return p.select("df_between", "df_within", *[_r(F.col(c), 4).alias(c) for c in ("ss_between", "ss_within", "f_stat")])
+
+
+def _log_beta(a: float, b: float) -> float:
+    """ln B(a, b) without the cancellation of lgamma(b) - lgamma(a + b) for a large b."""
+    a, b = min(a, b), max(a, b)
+    if b < 1e4:
+        return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+
+    def stirling(z):  # ln gamma(z) less its leading terms
+        return 1 / (12 * z) - 1 / (360 * z ** 3)
+    drop = (b - 0.5) * math.log1p(a / b) + a * math.log(a + b) - a  # leading terms of lgamma(a + b) - lgamma(b)
+    return math.lgamma(a) - drop - stirling(a + b) + stirling(b)
+
+
+def _fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function, evaluated until it stands still."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / max(1.0 - (a + b) * x / (a + 1.0), tiny)
+    h, m = d, 0
+    while True:
+        m += 1
+        for t in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+                  -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 + t * d
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = 1.0 + t / c
+            c = c if abs(c) > tiny else tiny
+            step = d * c
+            h *= step
+        if abs(step - 1.0) < 1e-14:
+            return h
+        if m > 100 + 20 * math.sqrt(a + b):  # it needs about sqrt(max(a, b)) terms
+            raise ArithmeticError(f"the F tail did not converge for {a}, {b}, {x}")
+
+
+def _gamma_tail(s: float, u: float) -> float:
+    """Regularised upper incomplete gamma function Q(s, u)."""
+    front = math.exp(s * math.log(u) - u - math.lgamma(s))
+    if u < s + 1:  # series of the lower part
+        term = total = 1.0 / s
+        k = s
+        while term > total * 1e-17:
+            k += 1
+            term *= u / k
+            total += term
+        return 1.0 - front * total
+    tiny = 1e-300
+    b, c, n = u + 1 - s, 1 / tiny, 0
+    d = h = 1 / b
+    while True:
+        n += 1
+        t = -n * (n - s)
+        b += 2
+        d = 1 / (t * d + b)
+        c = b + t / c
+        h *= c * d
+        if abs(c * d - 1) < 1e-15:
+            return front * h
+
+
+def f_sf(f: float | None, d1: float | None, d2: float | None) -> float:
+    """Upper tail P(F > f) of the F(d1, d2) distribution: the incomplete beta
+    function at x = d2 / (d2 + d1 f).  For a large d2 that x is too close to 1 to
+    tell, and the tail is Q(d1 / 2, -T ln x), T = d2 / 2 + (d1 / 2 - 1) / 2, with a
+    relative error of the order of (d1 / d2)^2."""
+    if f is None or not d1 or not d2 or d1 < 0 or d2 < 0 or f != f:
         return float("nan")
     if f <= 0:
         return 1.0
-    return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
+    a, b = d2 / 2.0, d1 / 2.0
+    if a > 1e5 and b < a / 1e4:
+        return _gamma_tail(b, (a + (b - 1) / 2) * math.log1p(d1 * f / d2))
+    x, y = d2 / (d2 + d1 * f), d1 * f / (d2 + d1 * f)  # x + y = 1, each without cancelling
+    front = math.exp(-a * math.log1p(d1 * f / d2) + b * math.log(y) - _log_beta(a, b))
+    if x < (a + 1) / (a + b + 2):
+        return front * _fraction(a, b, x) / a
+    return 1.0 - front * _fraction(b, a, y) / b
 
 
 def anova_significance(features: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """F, p-value and significance label (STA1).
-
-    The p-value is the F-distribution tail of the single (F, df1, df2) row,
-    evaluated by an Arrow-batched pandas UDF on that one row."""
-    ship_by_value(__name__)
-
-    @F.pandas_udf(T.DoubleType())
-    def p_value(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-        return pd.Series([f_sf(a, b, c) if pd.notna(a) else float("nan") for a, b, c in zip(f, d1, d2)])
-
-    a = anova_fare_hour(features)
-    p = p_value(F.col("f_stat").cast("double"), F.col("df_between").cast("double"), F.col("df_within").cast("double"))
-    return (a.withColumn("p_value", p)
-            .withColumn("significant", F.when(F.col("p_value") < alpha, "significant fare differences across hours")
-                        .otherwise("no significant fare differences across hours")))
+    """F, p-value and significance label (STA1).  The test statistic is one row;
+    its p-value, from the unrounded F, is computed where the plan is built."""
+    row = _anova_parts(features, "fare_amount", "hour").first()
+    p = f_sf(row["f_stat"], row["df_between"], row["df_within"])
+    verdict = "significant fare differences across hours" if p < alpha else "no significant fare differences across hours"
+    return anova_fare_hour(features).withColumns({"p_value": F.lit(p), "significant": F.lit(verdict)})
 
 
 # --- DuckDB oracle -----------------------------------------------------------------------------

@@ -1,13 +1,12 @@
-"""Join helpers with explicit size reasoning.
+"""Attaching one-row aggregates.
 
-* ``attach_scalars``: attach the columns of a one-row aggregate (means,
-  bounds, quantiles) to every row.  The one-row side is a global aggregate,
-  so broadcasting it is always safe; it is joined on a constant key so that
-  Spark plans a broadcast *hash* join (whole-stage codegen) and not a
-  nested-loop join (measured about 10x slower on the trip projection).
-* ``bounded_broadcast``: broadcast a user-supplied dimension only after
-  proving it is at most ``max_rows`` rows; beyond that the hint is dropped and
-  Spark plans a shuffle join (AQE may still pick broadcast from runtime stats).
+``attach_scalars`` puts the columns of a one-row aggregate (means, bounds,
+quantiles) beside every row as a scalar subquery: Spark computes the row once,
+before the stage that reads it, and the values are constants in that stage's
+generated code.  There is no join, and an aggregate without a row gives nulls.
+
+Dimension joins carry no broadcast hint: Spark knows the size of what it has
+read or computed and picks the join from bytes, at run time.
 """
 
 from __future__ import annotations
@@ -15,24 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
-
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """``df`` plus every column of the global aggregate ``one_row`` (exactly
-    one row by construction): a broadcast hash join on a constant key, so the
-    probe stays inside whole-stage codegen and the output is exactly the
-    rows of ``df``."""
-    key = "_one_row_key"
-    right = F.broadcast(one_row.withColumn(key, F.lit(1)))
-    return df.withColumn(key, F.lit(1)).join(right, key, "inner").drop(key)
-
-
-def bounded_broadcast(side: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Return ``F.broadcast(side)`` if ``side`` has at most ``max_rows`` rows.
-
-    The check is a ``limit(max_rows + 1).count()`` job: it stops reading as
-    soon as the bound is exceeded, so it is cheap even on a large table.
-    """
-    n = side.limit(max_rows + 1).count()
-    return F.broadcast(side) if n <= max_rows else side
+    """``df`` plus every column of ``one_row``, a frame of at most one row."""
+    names = one_row.columns
+    row = one_row.select(F.struct(*names).alias("_row")).scalar()
+    return df.select("*", *[row[c].alias(c) for c in names])

@@ -48,14 +48,11 @@ def build() -> dict[str, Query]:
 
 
 def _extend(q: dict[str, Query]) -> None:
-    """Hook for the other operator families (filled in as they are added)."""
+    """The other operator families."""
     import importlib
     for modname in ["features", "quality", "revenue", "pricing", "stats", "series",
                     "segment", "forecast"]:
-        try:
-            mod = importlib.import_module(f"glenfare.operators.{modname}")
-        except ModuleNotFoundError:
-            continue
+        mod = importlib.import_module(f"glenfare.operators.{modname}")
         for name, spec in getattr(mod, "QUERIES", {}).items():
             kind, fn = spec
             q[name] = {"features": _on_features, "trips": _on_trips}[kind](fn) if kind != "raw" else fn

@@ -48,8 +48,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cutting lineage.
 
-    Reads ``spark.checkpoint.dir`` from the session; only when it is unset
-    (local runs) a fresh scratch folder is created and registered.
+    Reads ``spark.checkpoint.dir`` from the session.  Where it is unset, a
+    session whose executors run in this process (``local[...]``) gets a scratch
+    folder; on a cluster that would be lost, so it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -59,6 +60,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="glenfare-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

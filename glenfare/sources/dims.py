@@ -1,37 +1,31 @@
 """Dimension tables built by rule (no lookup files).
 
-``holiday_dim`` evaluates the rule-based Scottish bank-holiday calendar
-(``glenfare.functions.expr.scottish_holiday_name``) once over every date of
-a year range and keeps the holidays: about 9 rows per year, 1,800 for the
-default 1900-2100.  Operators join trips to it by date with a broadcast hash
-join instead of evaluating the calendar rule (with its Easter computus) per
-trip: the per-row work is one hash probe and the generated code of the
-trip projection stays small enough for whole-stage codegen.
+``holiday_dim`` lists the Scottish bank holidays of given years: nine rows a
+year, for the years that occur in the data and no others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glenfare.functions import expr as X
 
-FIRST_YEAR, LAST_YEAR = 1900, 2100
-
 
 def _first_monday(y, m):
     d = F.make_date(y, F.lit(m), F.lit(1))
     return F.date_add(d, (F.lit(7) - F.weekday(d)) % 7)
 
 
-def holiday_dim(spark: SparkSession, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:
-    """``(date, name)`` for every Scottish bank holiday in the year range.
+def holiday_dim(years: DataFrame) -> DataFrame:
+    """``(date, name)`` for every Scottish bank holiday of the years in ``years``
+    (one column; repeats and nulls do not matter).
 
-    One row per year (``spark.range``), exploded into that year's nine
+    One row per distinct year, exploded into that year's nine
     holidays computed directly: the same calendar as
     ``scottish_holiday_name`` (tested equal in ``tests/``).
     """
-    y = F.col("id").cast("int")
+    y = F.col("year")
     may31 = F.make_date(y, F.lit(5), F.lit(31))
     # Scottish bank holidays, in calendar order.
     days = [
@@ -46,5 +40,5 @@ def holiday_dim(spark: SparkSession, first_year: int = FIRST_YEAR, last_year: in
         (F.make_date(y, F.lit(12), F.lit(26)), "Boxing Day"),
     ]
     arr = F.array(*[F.struct(d.alias("date"), F.lit(n).alias("name")) for d, n in days])
-    return (spark.range(first_year, last_year + 1, numPartitions=1)
+    return (years.select(F.col(years.columns[0]).cast("int").alias("year")).filter("year IS NOT NULL").distinct()
             .select(F.explode(arr).alias("h")).select("h.date", "h.name"))

@@ -103,6 +103,17 @@ def read_trips_csv(spark: SparkSession, path: str, reference_headers: bool = Tru
     return normalize(raw)
 
 
+def load(spark: SparkSession, source: DataFrame | str | None = None, reference_headers: bool = True) -> DataFrame:
+    """Trips from a CSV path or an existing frame (SRC1, SRC2), on TRIP_SCHEMA:
+    casts are safe, NaN is null.  Without a source it raises (SRC3)."""
+    if source is None:
+        raise ValueError("give a trips frame or the path of a CSV file")
+    if isinstance(source, str):
+        return read_trips_csv(spark, source, reference_headers)
+    rename = {v: k for k, v in REFERENCE_HEADERS.items() if v in source.columns} if reference_headers else {}
+    return normalize(source.withColumnsRenamed(rename))
+
+
 def write_trips_csv(df: DataFrame, path: str, reference_headers: bool = True) -> None:
     """CSV sink in the export layout (used by the CSV round-trip query)."""
     out = df.select(*[

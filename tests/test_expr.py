@@ -66,7 +66,7 @@ def test_easter_known_years(spark):
 
 def test_holiday_dim_equals_rule(spark):
     from glenfare.sources.dims import holiday_dim
-    dim = holiday_dim(spark, 2020, 2026)
+    dim = holiday_dim(spark.createDataFrame([(y,) for y in [2020, 2021, 2022, 2023, 2024, 2025, 2026, 2024, None]], "y int"))
     days = spark.range(1).select(F.explode(F.sequence(F.lit(dt.date(2020, 1, 1)), F.lit(dt.date(2026, 12, 31))))
                                  .alias("date"))
     rule = days.select("date", X.scottish_holiday_name("date").alias("name")).filter("name IS NOT NULL")
@@ -75,3 +75,11 @@ def test_holiday_dim_equals_rule(spark):
     names = {r.name for r in dim.filter(F.year("date") == 2024).collect()}
     assert "Good Friday" in names and "Saint Andrew's Day" in names
     assert dim.filter(F.col("date") == dt.date(2024, 3, 29)).first().name == "Good Friday"
+    flags = days.filter(X.is_holiday("date") == 1).select("date")
+    assert flags.exceptAll(dim.select("date")).count() == 0 and flags.count() == 63
+
+
+def test_holidays_have_no_last_year(spark):
+    df = spark.createDataFrame([(dt.datetime(y, 12, 25, 8), f) for y, f in [(2150, 1), (1850, 1), (9999, 1)]]
+                               + [(dt.datetime(2150, 4, 10), 1), (dt.datetime(2150, 4, 3), 0), (None, 0)], "ts timestamp_ntz, f int")
+    assert df.filter(X.is_holiday("ts") != F.col("f")).count() == 0

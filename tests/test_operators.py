@@ -157,3 +157,103 @@ def test_anova_p_value_helper():
     # Reference values of the F(3, 20) and F(5, 10) upper tails.
     assert stats.f_sf(2.5, 3, 20) == pytest.approx(0.08884, abs=1e-4)
     assert stats.f_sf(3.0, 5, 10) == pytest.approx(0.06556, abs=1e-4)
+    # F(2, d): the tail is (1 + 2 f / d) ** (-d / 2), at any size
+    for d in (3, 50, 1e4, 6e4, 1e8, 1e13):
+        for f in (0.01, 0.5, 1.0, 3.0, 9.0):
+            assert stats.f_sf(f, 2, d) == pytest.approx(math.exp(-d / 2 * math.log1p(2 * f / d)), rel=1e-6)
+    # chi-square limit: F(2k, inf) at f is the Poisson tail of k f
+    assert stats.f_sf(1.0, 23, 1e13) == pytest.approx(stats.f_sf(1.0, 23, 1e11), rel=1e-6)
+    assert math.isnan(stats.f_sf(None, 2, 3)) and stats.f_sf(0.0, 2, 3) == 1.0
+
+
+def test_pearson_far_from_zero(spark):
+    rows = [(1e8 + a, 1e8 + b) for a, b in [(0, 0), (1, 1), (2, 3), (3, 3), (4, 5)]]
+    got = {(r.var1, r.var2): r.r for r in stats.correlation_pearson(spark.createDataFrame(rows, "x double, y double"), ["x", "y"]).collect()}
+    exp = pd.DataFrame(rows).corr().iloc[0, 1]
+    assert got[("x", "y")] == pytest.approx(exp, abs=1e-6) and got[("x", "x")] == 1.0
+
+
+def test_pareto_cuts_on_the_exact_share(spark):
+    # 8,000,002 of 10,000,000 trips: a share of 0.8000002 is over 0.8
+    f = spark.range(10_000_000).select(F.when(F.col("id") < 8_000_002, "A").otherwise("B").alias("pickup_area"))
+    assert demand.pareto_pickup(f).count() == 0
+
+
+def test_duplicate_rows_with_nulls(spark):
+    rows = [(1, None), (None, 1), (1, None), (None, None), (None, None), (0, None)]
+    assert quality.duplicate_rows(spark.createDataFrame(rows, "a int, b int")).first().duplicate_rows == 2
+
+
+def test_load(spark):
+    from glenfare.sources.schema import load
+    with pytest.raises(ValueError):
+        load(spark)
+    rows = [_trip(T0), _trip(T0, tot=float("nan"))]
+    frame = load(spark, trips_frame(spark, rows))
+    from glenfare.operators import revenue
+    r = revenue.revenue_metrics(with_features(frame)).first()
+    assert r.total_revenue == 11.0
+    assert quality.dataset_overview(frame).count() == 1
+    assert all(x.outlier_pct is not None for x in stats.outliers_iqr(with_features(frame)).collect())
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Europe/London"])
+def test_series_does_not_read_the_session_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        ts = [dt.datetime(2024, 3, 31, 0, 10), dt.datetime(2024, 3, 31, 1, 10, 5), dt.datetime(2024, 3, 31, 3, 59),
+              dt.datetime(2024, 10, 27, 0, 30), dt.datetime(2024, 10, 27, 1, 0)]
+        f = with_features(trips_frame(spark, [_trip(t) for t in ts]))
+        s = series.hourly_series(f)
+        assert s.dtypes[0] == ("ts_hour", "timestamp_ntz")
+        hours = [r.ts_hour for r in s.orderBy("ts_hour").collect()]
+        assert hours[0] == dt.datetime(2024, 3, 31) and len(hours) == len(set(hours)) == 210 * 24 + 2
+        assert {r.ts_hour for r in s.filter("trip_count > 0").collect()} == {t.replace(minute=0, second=0) for t in ts}
+        assert series.add_lags(s).filter("lag_24 = 1").count() == 3
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_forecast_matrix_keeps_every_hour(spark):
+    from glenfare.operators.series import weather_fixture
+    from glenfare.plans.registry import features
+    sf = "/root/testdata/sf0.001"
+    f = features(spark, sf)
+    n = series.hourly_series(f).count()
+    m = series.forecast_split(series.forecast_features(f, weather=weather_fixture(spark, sf))).cache()
+    assert m.count() == n - 24
+    test = [r.ts_hour for r in m.filter("split = 'test'").orderBy("ts_hour").collect()]
+    assert len(test) == 24 and test[-1] - test[0] == dt.timedelta(hours=23)
+    naive = series.forecast_seasonal_naive(m).collect()
+    lag = {r.ts_hour: r.lag_24 for r in m.collect()}
+    drift = {round(r.prediction - lag[r.ts_hour], 3) for r in naive}
+    assert max(drift) - min(drift) <= 0.0011
+
+
+def test_keyed_series(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [_trip(base + dt.timedelta(hours=h), pay=p) for p, n in (("Card", 60), ("Cash", 80)) for h in range(n) for _ in range(h % 3 + 1)]
+    f = with_features(trips_frame(spark, rows))
+    events = spark.createDataFrame([(dt.date(2024, 1, 2), "fair")], "date date, name string")
+    m = series.forecast_features(f, events=events, keys=["payment_type"])
+    split = series.forecast_split(m, 12, ["payment_type"])
+    got = {(r.payment_type, r.split): r["count"] for r in split.groupBy("payment_type", "split").count().collect()}
+    assert got == {("Card", "test"): 12, ("Card", "train"): 24, ("Cash", "test"): 12, ("Cash", "train"): 44}
+    assert m.filter("is_major_event = 1").select(F.to_date("ts_hour")).distinct().count() == 1
+    assert series.forecast_mean_baseline(split, ["payment_type"]).count() == 24
+    assert series.forecast_seasonal_naive(split, ["payment_type"]).filter("prediction IS NULL").count() == 0
+
+
+def test_report_summary_without_known_areas(spark):
+    from glenfare.plans.report import report_summary
+    r = report_summary(trips_frame(spark, [_trip(T0, pu=None), _trip(T0, pu=None)])).collect()
+    assert len(r) == 1 and r[0].total_trips == 2 and r[0].top_pickup_area is None
+
+
+def test_geo_revenue_joins_areas(spark):
+    from glenfare.operators import revenue
+    areas = spark.createDataFrame([("G1", "Centre", 55.8, -4.2)], "area string, name string, lat double, lon double")
+    f = with_features(trips_frame(spark, [_trip(T0), _trip(T0, pu="G22AA")]))
+    got = {r.pickup_area: r["name"] for r in revenue.geo_revenue(f, areas).collect()}
+    assert got["G1"] == "Centre" and got.get("G2") is None
