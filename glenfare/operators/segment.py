@@ -11,7 +11,7 @@ labels depend on the fitted model.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glenfare.functions import expr as X
@@ -38,12 +38,11 @@ def _r(c, n=2):
 
 def _summary(clustered: DataFrame, cols: list[str], stats=("mean", "std")) -> DataFrame:
     fn = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    total = clustered.agg(F.count(F.lit(1)).alias("_total"))
     g = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"),
                                          *[_r(fn[s](c)).alias(f"{c}_{s}") for c in cols for s in stats],
                                          *[F.avg(c).alias(f"_m_{c}") for c in cols])
-    g = attach_scalars(g, total)
-    return g.withColumn("pct", _r(F.col("size") / F.col("_total") * 100)).drop("_total")
+    # one row for each cluster: the total is a window over them
+    return g.withColumn("pct", _r(F.col("size") / F.sum("size").over(Window.partitionBy()) * 100))
 
 
 def _with_peak(df: DataFrame) -> DataFrame:
@@ -57,10 +56,9 @@ def standardized_features(features: DataFrame) -> DataFrame:
     return s.select(*REPORT_FEATURES, *[F.round(f"z_{c}", 6).alias(f"z_{c}") for c in REPORT_FEATURES])
 
 
-def kmeans_elbow(features: DataFrame, ks=range(1, 8), n_init: int = 10) -> DataFrame:
-    """Inertia for k = 1..7 on the report features (CLU2)."""
-    d = features.dropna(subset=REPORT_FEATURES).select(*REPORT_FEATURES)
-    s = ml.scale(d, REPORT_FEATURES)
+def elbow(df: DataFrame, cols: list[str], ks, n_init: int = 10) -> DataFrame:
+    """Inertia of K-Means on the scaled ``cols`` for each k (CLU2)."""
+    s = ml.scale(df.dropna(subset=cols).select(*cols), cols)
     from pyspark import StorageLevel
     s.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -68,7 +66,22 @@ def kmeans_elbow(features: DataFrame, ks=range(1, 8), n_init: int = 10) -> DataF
     finally:
         s.unpersist()
     # The k values and their inertias are k numbers (bounded by the k range).
-    return features.sparkSession.createDataFrame(rows, "k int, inertia double")
+    return df.sparkSession.createDataFrame(rows, "k int, inertia double")
+
+
+def kmeans_elbow(features: DataFrame, ks=range(1, 8), n_init: int = 10) -> DataFrame:
+    """Elbow of the report features, k = 1..7 (CLU2)."""
+    return elbow(features, REPORT_FEATURES, ks, n_init)
+
+
+def trip_pattern_elbow(features: DataFrame, ks=range(2, 8), n_init: int = 10) -> DataFrame:
+    """Elbow of the trip patterns, k = 2..7 (CLU2)."""
+    return elbow(features, PATTERN_FEATURES, ks, n_init)
+
+
+def fleet_temporal_elbow(features: DataFrame, ks=range(2, 7), n_init: int = 10) -> DataFrame:
+    """Elbow of the fleet's time patterns, k = 2..6 (CLU2)."""
+    return elbow(_with_peak(features), TEMPORAL_FEATURES, ks, n_init)
 
 
 def _customer(features: DataFrame, n_init: int) -> DataFrame:
@@ -81,13 +94,14 @@ def customer_clusters(features: DataFrame, n_init: int = 10) -> DataFrame:
 
 
 def cluster_profiles(features: DataFrame, n_init: int = 10) -> DataFrame:
-    """Cluster size, %, means and segment category (CLU4)."""
+    """Cluster size, %, means, segment category and rank by mean fare, lowest first (CLU4, SRT3)."""
     s = _summary(_customer(features, n_init), REPORT_FEATURES, stats=())
     d, f = F.col("_m_distance_km"), F.col("_m_fare_amount")
     cat = (F.when((d < 5) & (f < 12), "Short Local Trips").when((d < 10) & (f < 20), "Medium Distance Trips")
            .when((d >= 10) & (f >= 20), "Long Distance Trips").otherwise("Mixed Profile"))
     return s.select("cluster", "size", "pct", *[_r(F.col(f"_m_{c}")).alias(f"avg_{c}") for c in REPORT_FEATURES],
-                    cat.alias("category"))
+                    cat.alias("category"),
+                    F.row_number().over(Window.orderBy(f, "cluster")).alias("fare_rank")).orderBy("fare_rank")
 
 
 def cluster_highlights(features: DataFrame, n_init: int = 10) -> DataFrame:
@@ -228,6 +242,6 @@ def _sql():
 SQL = _sql()
 
 QUERIES = {name: ("features", globals()[name]) for name in [
-    "standardized_features", "zone_features", "kmeans_elbow", "customer_clusters", "cluster_profiles",
+    "standardized_features", "zone_features", "kmeans_elbow", "trip_pattern_elbow", "fleet_temporal_elbow", "customer_clusters", "cluster_profiles",
     "cluster_highlights", "trip_patterns", "zone_clusters", "price_clusters", "time_clusters",
     "comprehensive_clusters", "fleet_temporal_clusters"]}

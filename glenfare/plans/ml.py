@@ -18,7 +18,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glenfare.plans.joins import attach_scalars
@@ -77,7 +77,7 @@ def cluster(df: DataFrame, cols: list[str], k: int, n_init: int = 10, seed: int
         return data.withColumn("cluster", F.lit(None).cast("int"))
     s = scale(data, cols)
     if k == 1:
-        pred = s.withColumn("cluster_raw", F.lit(0))
+        pred = s.withColumn("cluster", F.lit(0))
     else:
         # Cached only while the model is fitted (K-Means iterates over it);
         # the returned frame is a lazy plan that recomputes the scaling.
@@ -86,13 +86,14 @@ def cluster(df: DataFrame, cols: list[str], k: int, n_init: int = 10, seed: int
             model = best_kmeans(s, k, n_init, seed)
         finally:
             s.unpersist()
-        pred = model.transform(s)
-    return relabel(pred, cols).drop("features", *[f"z_{c}" for c in cols])
+        pred = relabel(model.transform(s), model)
+    return pred.drop("features", *[f"z_{c}" for c in cols])
 
 
-def relabel(pred: DataFrame, cols: list[str]) -> DataFrame:
-    """Renumber clusters by ascending centre (lexicographic over ``cols``)."""
-    centres = pred.groupBy("cluster_raw").agg(*[F.avg(c).alias(f"_c{i}") for i, c in enumerate(cols)])
-    w = Window.orderBy(*[F.col(f"_c{i}") for i in range(len(cols))], "cluster_raw")
-    ids = centres.select("cluster_raw", (F.row_number().over(w) - 1).cast("int").alias("cluster"))
-    return pred.join(F.broadcast(ids), "cluster_raw").drop("cluster_raw")
+def relabel(pred: DataFrame, model: KMeansModel) -> DataFrame:
+    """Renumber clusters by ascending centre (first feature, then the next): the
+    model holds its k centres, and scaling keeps their order."""
+    centres = [tuple(c) for c in model.clusterCenters()]
+    rank = {i: r for r, i in enumerate(sorted(range(len(centres)), key=lambda i: (centres[i], i)))}
+    ids = F.create_map(*[F.lit(x) for i, r in rank.items() for x in (i, r)])
+    return pred.withColumn("cluster", ids[F.col("cluster_raw")]).drop("cluster_raw")
