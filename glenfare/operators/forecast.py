@@ -23,9 +23,10 @@ from glenfare.operators import series as S
 
 FARE_FEATURES = ["distance_km", "duration_min", "passenger_count", "hour"]
 FARE_TARGET = "fare_amount"
-#: Depth of every forest: a parameter of the model.  Spark grows trees up to 30
-#: levels and level by level, so depth is time; 15 levels are 32,768 leaves a tree.
-MAX_DEPTH = 15
+#: Depth of every forest, a parameter of the model.  Spark grows trees level by
+#: level, at most 30 of them, so depth is time: at sf0.01 the demand forest took
+#: minutes with 15 levels.  Pass ``max_depth`` for deeper trees.
+MAX_DEPTH = 10
 
 
 def _r(c, n=4):
@@ -169,8 +170,8 @@ def _gbt(seed=42):
     return GBTRegressor(featuresCol="features", labelCol="trip_count", maxIter=100, maxDepth=5, stepSize=0.1, seed=seed)
 
 
-def _rf(seed=42):
-    return _forest("trip_count", seed=seed)
+def _rf(seed=42, max_depth: int = MAX_DEPTH):
+    return _forest("trip_count", seed=seed, max_depth=max_depth)
 
 
 def forecast_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:

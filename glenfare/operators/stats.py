@@ -472,7 +472,7 @@ def _hist_sql(src, c, bins=30):
 
 def _pearson_sql(cols):
     rows = []
-    for a, b in _pairs(cols):
+    for a, b in _pairs(cols) + [(c, c) for c in cols]:
         flt = f"{a} IS NOT NULL AND {b} IS NOT NULL"
         r = (f"round(covar_pop(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) FILTER (WHERE {flt}) / "
              f"nullif(stddev_pop(CAST({a} AS DOUBLE)) FILTER (WHERE {flt}) * "
@@ -485,7 +485,7 @@ def _pearson_sql(cols):
 
 def _spearman_sql(cols):
     rows = []
-    for a, b in _pairs(cols):
+    for a, b in _pairs(cols) + [(c, c) for c in cols]:
         rk = (f"(SELECT rank() OVER (ORDER BY CAST({a} AS DOUBLE)) + (count(*) OVER (PARTITION BY CAST({a} AS DOUBLE)) - 1) / 2.0 AS rx, "
               f"rank() OVER (ORDER BY CAST({b} AS DOUBLE)) + (count(*) OVER (PARTITION BY CAST({b} AS DOUBLE)) - 1) / 2.0 AS ry "
               f"FROM f WHERE {a} IS NOT NULL AND {b} IS NOT NULL)")
