@@ -37,6 +37,8 @@ from glenfare.llm.common import rows_in, ship, small_batches, stored, table, tex
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 3, 42
 NODE_FINGERPRINTS = 1 << 16
+#: Stands for the id of a fingerprint whose rows all have a null doc_id: it sorts last.
+NO_ID = (1 << 63) - 1
 #: Least depth, so that even a small table is dealt over many tasks.
 MIN_DEPTH = 5
 #: Node pairs walked at once, and the pair products that end the walk.
@@ -178,48 +180,46 @@ def _masks(depth: int, max_bits: int) -> set[int]:
 
 
 def cell_links(pdf: pd.DataFrame, depth: int, max_bits: int) -> pd.DataFrame:
-    """Forest edges (fp, root_fp) of one cell: a node with itself or two nodes."""
+    """Forest edges (id, fp, root_id, root_fp) of one cell: a node with itself or two nodes."""
     value = pdf["fp"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(value)
+    value, ids = value[order], pdf["id"].to_numpy(np.int64)[order]
     path = value >> np.uint64(64 - depth)
-    ids = np.unique(path)
     lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-    empty = pd.DataFrame({"fp": np.zeros(0, np.int64), "root_fp": np.zeros(0, np.int64)})
-    if lo != hi and len(ids) < 2:
-        return empty
-    a = np.sort(value[path == lo])
-    b = a if lo == hi else np.sort(value[path == hi])
-    pairs = trie_join(a, b, depth, (lo ^ hi).bit_count(), max_bits, lo == hi)
-    if lo == hi:
-        every, links = a, pairs
-    else:
-        every, links = np.concatenate([a, b]), ((i, j + len(a)) for i, j in pairs)
-    root = forest(len(every), links)
-    moved = np.flatnonzero(root != np.arange(len(every)))
-    return pd.DataFrame({"fp": every[moved].view(np.int64), "root_fp": every[root[moved]].view(np.int64)})
+    low, high = np.flatnonzero(path == lo), np.flatnonzero(path == hi)
+    pairs = trie_join(value[low], value[high], depth, (lo ^ hi).bit_count(), max_bits, lo == hi) \
+        if len(low) and len(high) else iter(())
+    root = forest(len(value), ((low[i], high[j]) for i, j in pairs))
+    moved = np.flatnonzero(root != np.arange(len(value)))
+    to = root[moved]
+    fp = value.view(np.int64)
+    return pd.DataFrame({"id": ids[moved], "fp": fp[moved], "root_id": ids[to], "root_fp": fp[to]})
 
 
 def trie_links(distinct: DataFrame, n: int, max_bits: int = MAX_BITS, depth: int | None = None) -> DataFrame:
-    """(fp, root_fp): forest edges that connect all fingerprints within ``max_bits``."""
+    """(v, u): forest edges that connect all fingerprints within ``max_bits``.  A
+    vertex is (id, fp): the least doc_id of the fingerprint goes along, so that
+    the least vertex of a component names it."""
     ship(__name__)
     depth = depth or max(MIN_DEPTH, math.ceil(math.log2(max(1, n / NODE_FINGERPRINTS))))
     masks = F.array(*[F.lit(m).cast("long") for m in near_masks(depth, max_bits)])
     path = F.shiftrightunsigned("fp", 64 - depth)
-    cells = (distinct.select("fp", path.alias("path")).withColumn("mask", F.explode(masks))
-             .select("fp", F.least("path", F.col("path").bitwiseXOR(F.col("mask"))).alias("lo"),
+    cells = (distinct.select("id", "fp", path.alias("path")).withColumn("mask", F.explode(masks))
+             .select("id", "fp", F.least("path", F.col("path").bitwiseXOR(F.col("mask"))).alias("lo"),
                      F.greatest("path", F.col("path").bitwiseXOR(F.col("mask"))).alias("hi")))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         return cell_links(pdf, depth, max_bits)
 
-    return cells.groupBy("lo", "hi").applyInPandas(walk, "fp bigint, root_fp bigint")
+    return (cells.groupBy("lo", "hi").applyInPandas(walk, "id bigint, fp bigint, root_id bigint, root_fp bigint")
+            .select(F.struct("id", "fp").alias("v"), F.struct(F.col("root_id").alias("id"), F.col("root_fp").alias("fp")).alias("u")))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(fp, label) for every vertex of ``edges`` (fp, root_fp): the least vertex
-    of its component.  Each round every vertex takes the least label around it,
+    """(v, label) for every vertex of ``edges`` (v, u): the least vertex of its
+    component.  Each round every vertex takes the least label around it,
     and then its label's label; rounds grow with the logarithm of a chain."""
-    both = stored(edges.select(F.col("fp").alias("v"), F.col("root_fp").alias("u"))
-                  .union(edges.select(F.col("root_fp").alias("v"), F.col("fp").alias("u"))).distinct(), "simhash-edges")
+    both = stored(edges.select("v", "u").union(edges.select("u", "v")).distinct(), "simhash-edges")
     label = stored(both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("label")), "simhash-labels")
     while True:
         around = (both.join(label.select(F.col("v").alias("u"), F.col("label").alias("l")), "u")
@@ -234,7 +234,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = stored(least.join(up, "label", "left")
                      .select("v", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "simhash-labels")
         if new.filter(F.col("label") != F.col("old")).isEmpty():
-            return new.select(F.col("v").alias("fp"), "label")
+            return new.select("v", "label")
         label = new.drop("old")
 
 
@@ -242,13 +242,10 @@ def near_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
                     seed: int = SEED, depth: int | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, text_key, fp, component_id."""
     prints = stored(fingerprints(docs, shingle_words, seed), "simhash-prints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    edges = stored(trie_links(distinct, distinct.count(), max_bits, depth), "simhash-forest")
-    label = components(edges)
-    linked = distinct.join(label, "fp")
-    least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = (distinct.join(label, "fp", "left").join(least, "label", "left")
-             .select("fp", F.coalesce("component_id", "first_id").alias("component_id")))
+    distinct = stored(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("id")), "simhash-distinct")
+    label = components(stored(trie_links(distinct, distinct.count(), max_bits, depth), "simhash-forest"))
+    named = (distinct.join(label.select(F.col("v.fp").alias("fp"), F.col("label.id").alias("label_id")), "fp", "left")
+             .select("fp", F.nullif(F.coalesce("label_id", "id"), F.lit(NO_ID)).alias("component_id")))
     return prints.join(named, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 

@@ -90,7 +90,7 @@ def test_dense_family_and_depths(spark):
     for _ in range(3):  # all within the budget of the base
         flips ^= np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)
     v = np.unique(np.concatenate([base ^ flips, [base]])).view(np.int64)
-    df = spark.createDataFrame([(int(x),) for x in v], "fp bigint")
+    df = spark.createDataFrame([(k, int(x)) for k, x in enumerate(v)], "id bigint, fp bigint")
     for depth in (1, 6):
         edges = S.trie_links(df, len(v), depth=depth).distinct()
         assert edges.count() <= len(v) * 2**depth
@@ -102,7 +102,7 @@ def test_long_chain_components(spark):
     rnd = random.Random(4)
     ids = list(range(200))
     rnd.shuffle(ids)
-    edges = spark.createDataFrame([(a, b) for a, b in zip(ids, ids[1:])] + [(1000, 1001)], "fp bigint, root_fp bigint")
+    edges = spark.createDataFrame([(a, b) for a, b in zip(ids, ids[1:])] + [(1000, 1001)], "v bigint, u bigint")
     got = dict(tuple(r) for r in S.components(edges).collect())
     assert got == {**{i: 0 for i in ids}, 1000: 1000, 1001: 1000}
 
