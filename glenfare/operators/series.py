@@ -244,6 +244,14 @@ def forecast_seasonal_naive(split: DataFrame, keys: list[str] | None = None, per
                     F.round(F.col("_prev") + F.coalesce("_drift", F.lit(0.0)), 4).alias("prediction"))
 
 
+def hourly_forecasts(features: DataFrame, weather: DataFrame | None = None) -> DataFrame:
+    """Both model-free forecasts of the last 24 hours beside the actual trips."""
+    split = forecast_split(forecast_features(features, weather))
+    mean = forecast_mean_baseline(split).withColumnRenamed("prediction", "mean_baseline")
+    naive = forecast_seasonal_naive(split).select("ts_hour", F.col("prediction").alias("seasonal_naive"))
+    return mean.join(naive, "ts_hour")
+
+
 # --- registered queries ------------------------------------------------------------------------
 
 def _matrix_q(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,3 +257,13 @@ def test_geo_revenue_joins_areas(spark):
     f = with_features(trips_frame(spark, [_trip(T0), _trip(T0, pu="G22AA")]))
     got = {r.pickup_area: r["name"] for r in revenue.geo_revenue(f, areas).collect()}
     assert got["G1"] == "Centre" and got.get("G2") is None
+
+
+def test_report_has_every_section(spark, tiny):
+    from glenfare.plans.report import report
+    parts = report(tiny, persist=False)
+    assert len(parts) == 18 and all(p for p in parts.values())
+    for section, name in [("data_overview", "dataset_overview"), ("pricing_analysis", "price_by_distance_bin"),
+                          ("fleet_optimization", "fleet_summary"), ("geospatial_map", "geo_revenue"), ("business", "summary"),
+                          ("postcode_demand", "pareto_pickup"), ("demand_forecast", "hourly_forecasts")]:
+        assert parts[section][name]().count() >= 0, (section, name)
