@@ -38,7 +38,7 @@ TRAIN_DOCS, MAX_GRAMS = 4000, 1_000_000
 CALIBRATE_ONE_IN = 5
 #: Share of calibration texts accepted, and the widening of that threshold.
 ACCEPT, MARGIN = 0.999, 2.0
-#: Characters scored at once.
+#: Characters scored at once, with up to four languages (fewer with more).
 SLICE = 1 << 19
 
 OTHER = re.compile(r"[\W\d_]+")
@@ -201,6 +201,7 @@ def entropies(model: dict, texts: list[str | None]) -> tuple[np.ndarray, np.ndar
     parts: list[str] = []
     owner: list[int] = []
     held = 0
+    at_once = SLICE if len(model["langs"]) <= 4 else max(1 << 12, 4 * SLICE // len(model["langs"]))
 
     def score() -> None:
         nonlocal parts, owner, held
@@ -228,12 +229,12 @@ def entropies(model: dict, texts: list[str | None]) -> tuple[np.ndarray, np.ndar
         if not any(ch.isalpha() for ch in s):
             continue
         s = pad + s + " "
-        for lo in range(0, len(s) - order + 1, SLICE):  # a long text in slices that share their context
-            piece = s[lo:lo + SLICE + order - 1]
+        for lo in range(0, len(s) - order + 1, at_once):  # a long text in slices that share their context
+            piece = s[lo:lo + at_once + order - 1]
             parts.append(piece)
             owner.append(i)
             held += len(piece)
-            if held >= SLICE:
+            if held >= at_once:
                 score()
     score()
     return -total / np.maximum(size, 1)[:, None], size
