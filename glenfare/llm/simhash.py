@@ -246,7 +246,8 @@ def near_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     label = components(stored(trie_links(distinct, distinct.count(), max_bits, depth), "simhash-forest"))
     named = (distinct.join(label.select(F.col("v.fp").alias("fp"), F.col("label.id").alias("label_id")), "fp", "left")
              .select("fp", F.nullif(F.coalesce("label_id", "id"), F.lit(NO_ID)).alias("component_id")))
-    return prints.join(named, "fp").select("doc_id", "text_key", "fp", "component_id")
+    # from a stored table both sides are plain shuffles, of which Spark can split a hot fingerprint
+    return prints.join(stored(named, "simhash-named"), "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
