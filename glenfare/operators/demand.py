@@ -192,6 +192,7 @@ def weekday_pattern(features: DataFrame) -> DataFrame:
     d = (features.filter(F.col("day_of_week").isNotNull())
          .groupBy("day_of_week", "day_name").agg(F.count(F.lit(1)).alias("trip_count")))
     wk = F.col("day_of_week") >= 5
+    # The two pattern labels.
     return d.agg(
         F.min_by("day_name", F.struct(-F.col("trip_count"), F.col("day_of_week"))).alias("busiest_day"),
         F.min_by("day_name", F.struct(F.col("trip_count"), F.col("day_of_week"))).alias("quietest_day"),
@@ -242,6 +243,7 @@ def fare_variation(features: DataFrame) -> DataFrame:
         F.min("avg_fare").alias("_lo"),
         F.avg("avg_fare").alias("_mean"))
     var = F.try_divide(F.col("_hi") - F.col("_lo"), F.col("_mean")) * 100
+    # The pricing labels and their cut.
     return r.select(
         "highest_fare_hour", F.round("_hi", 4).alias("highest_avg_fare"),
         "lowest_fare_hour", F.round("_lo", 4).alias("lowest_avg_fare"),

@@ -164,6 +164,7 @@ def distribution_labels(features: DataFrame, cols: list[str] | None = None, kurt
         sel += [_r(skew).alias(f"{c}__skewness"), _r(kurt).alias(f"{c}__kurtosis")]
     st = _stack(m.select(*sel), cols, ["skewness", "kurtosis"])
     s, k = F.col("skewness"), F.col("kurtosis")
+    # Labels of skewness and kurtosis.
     return st.withColumns({
         "skew_label": F.when(F.abs(s) < 0.5, "approximately symmetric").when(s > 0.5, "right-skewed")
                        .otherwise("left-skewed"),

@@ -26,6 +26,7 @@ def revenue_metrics(features: DataFrame) -> DataFrame:
                      F.sum("distance_km").alias("_dist"), F.stddev_samp("total_amount").alias("_std"))
     per_km = F.try_divide(F.col("_tot"), F.col("_dist"))
     cv = F.try_divide(F.col("_std"), F.col("_avg")) * 100
+    # Bands of revenue per km and of its variability.
     return a.select(
         _r(F.col("_tot"), 2).alias("total_revenue"), _r(F.col("_avg")).alias("avg_revenue_per_trip"),
         _r(per_km).alias("revenue_per_km"),
@@ -35,12 +36,11 @@ def revenue_metrics(features: DataFrame) -> DataFrame:
 
 
 def _revenue_by(features: DataFrame, key: str) -> DataFrame:
-    g = (features.filter(F.col(key).isNotNull()).groupBy(key)
-         .agg(F.sum("total_amount").alias("_sum"), F.avg("total_amount").alias("_mean"),
-              F.count("total_amount").alias("trip_count")))
-    tot = features.agg(F.sum("total_amount").alias("_all"))
+    # One scan: the trips without a key are a group as well until the total is taken.
+    g = features.groupBy(key).agg(F.sum("total_amount").alias("_sum"), F.avg("total_amount").alias("_mean"),
+                                  F.count("total_amount").alias("trip_count"))
     w = Window.orderBy(F.desc("_sum"), F.asc(key))
-    return (attach_scalars(g, tot)
+    return (g.withColumn("_all", F.sum("_sum").over(Window.partitionBy())).filter(F.col(key).isNotNull())
             .withColumn("_rn", F.row_number().over(w))
             .select(key, _r(F.col("_sum"), 2).alias("revenue_sum"), _r(F.col("_mean")).alias("revenue_mean"),
                     "trip_count", _r(F.try_divide(F.col("_sum"), F.col("_all")) * 100).alias("revenue_share_pct"),
@@ -115,6 +115,7 @@ def business_insights(features: DataFrame) -> DataFrame:
                 .alias("most_common_passengers")))
     row = attach_scalars(attach_scalars(attach_scalars(glob, hrow), pay), pas)
     rpt = F.col("_rpt")
+    # Performance bands of revenue per trip.
     return row.select(
         "total_trips", "total_revenue", "avg_fare", _r(rpt).alias("avg_revenue_per_trip"),
         "peak_hour", "off_peak_hour", "best_revenue_hour", "worst_revenue_hour",

@@ -97,6 +97,7 @@ def cluster_profiles(features: DataFrame, n_init: int = 10) -> DataFrame:
     """Cluster size, %, means, segment category and rank by mean fare, lowest first (CLU4, SRT3)."""
     s = _summary(_customer(features, n_init), REPORT_FEATURES, stats=())
     d, f = F.col("_m_distance_km"), F.col("_m_fare_amount")
+    # Segment categories by mean distance and fare.
     cat = (F.when((d < 5) & (f < 12), "Short Local Trips").when((d < 10) & (f < 20), "Medium Distance Trips")
            .when((d >= 10) & (f >= 20), "Long Distance Trips").otherwise("Mixed Profile"))
     return s.select("cluster", "size", "pct", *[_r(F.col(f"_m_{c}")).alias(f"avg_{c}") for c in REPORT_FEATURES],
@@ -177,6 +178,7 @@ def price_clusters(features: DataFrame, n_init: int = 10) -> DataFrame:
     ref = c.agg(F.avg("price_per_km").alias("_avg"), F.percentile("price_per_km", 0.25).alias("_q25"))
     s = attach_scalars(s, ref)
     p = F.col("_m_price_per_km")
+    # Price labels.
     lab = F.when(p > F.col("_avg"), "Premium pricing").when(p < F.col("_q25"), "Budget pricing").otherwise("Standard pricing")
     return s.withColumn("price_category", lab).drop("_avg", "_q25", *[f"_m_{x}" for x in PRICE_FEATURES])
 
@@ -187,6 +189,7 @@ def time_clusters(features: DataFrame, n_init: int = 10) -> DataFrame:
     c = ml.cluster(d.select(*TIME_FEATURES), TIME_FEATURES, 4, n_init)
     s = _summary(c, TIME_FEATURES)
     h, wk, pk = F.col("_m_hour"), F.col("_m_is_weekend"), F.col("_m_is_peak_hour")
+    # Time labels and their cuts.
     lab = (F.when(pk > 0.5, "Peak hour demand").when(wk > 0.5, "Weekend leisure demand")
            .when((h >= 22) | (h <= 4), "Late night demand").otherwise("Off-peak demand"))
     return s.withColumn("time_category", lab).drop(*[f"_m_{x}" for x in TIME_FEATURES])
@@ -201,6 +204,7 @@ def comprehensive_clusters(features: DataFrame, n_init: int = 10) -> DataFrame:
     s = attach_scalars(s, ref)
     dist, p = F.col("_m_distance_km"), F.col("_m_price_per_km")
     return s.withColumns({
+        # Trip types by km, pricing types by quartile.
         "trip_type": F.when(dist > 15, "Long-distance trips").when(dist < 5, "Short-distance trips")
                       .otherwise("Medium-distance trips"),
         "pricing_type": F.when(p > F.col("_q")[1], "Premium pricing").when(p < F.col("_q")[0], "Budget pricing")
@@ -215,6 +219,7 @@ def fleet_temporal_clusters(features: DataFrame, n_init: int = 10) -> DataFrame:
     s = _summary(c, TEMPORAL_FEATURES)
     day, h, wk, pk = (F.col(f"_m_{x}") for x in TEMPORAL_FEATURES)
     names = F.array(*[F.lit(n) for n in DAY_NAMES])
+    # Demand patterns and their cuts.
     lab = (F.when(pk > 0.6, "Peak Hour Demand").when(wk > 0.7, "Weekend Leisure Demand")
            .when((h >= 22) | (h <= 4), "Late Night Demand").when((wk < 0.3) & (pk < 0.3), "Off-Peak Weekday Demand")
            .otherwise("Mixed Demand Pattern"))
