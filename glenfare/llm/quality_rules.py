@@ -5,9 +5,11 @@ The mergeable quantile sketch of a group is its histogram on that grid: counts
 add up, in any order, to the same sketch, and a quantile is known to one grid
 step.  Sketches of (lang, source) merge to those of a language and of the whole
 table; a group of fewer than ``MIN_GROUP`` documents uses the next wider one.
-A signal's upper threshold is q75 + SPREAD * max(q75 - q25, floor), where the
-floor is that signal's least spread, and a document stays if all its signals
-keep to the thresholds of its group.
+A signal's upper threshold is q75 + SPREAD * spread; word length also has the
+lower one q25 - SPREAD * spread.  The spread is q75 - q25 or, where the quartiles
+are one value (most texts repeat nothing), the way from q75 to q90 of the
+narrowest group of ``TAIL_GROUP`` documents, and a small floor at least.  A
+document stays if all its signals keep to the thresholds of its group.
 
 All of it is column expressions, partial aggregation and joins on tables with
 one row for each group; a hot source costs one row for each task and grid step.
@@ -32,10 +34,12 @@ MIN_WORDS = 50
 #: Repeated windows up to which each is looked up; beyond, windows are sorted.
 LOOKUP_WINDOWS = 32
 
-#: Parameters of the adaptive rules: signal -> (grid steps for 1.0, least spread in steps).
-SIGNALS = {"word_len": (10, 10), "symbol_rate": (1000, 15), "dup_line_rate": (1000, 100), "repeat_rate": (1000, 100)}
+#: Parameters of the adaptive rules: signal -> (grid steps for 1.0, least spread in steps: about what chance
+#: or one repeated phrase makes in a text of MIN_WORDS to a few hundred words).
+SIGNALS = {"word_len": (10, 3), "symbol_rate": (1000, 1), "dup_line_rate": (1000, 10), "repeat_rate": (1000, 10)}
 SPREAD = 4
-MIN_GROUP = 100
+#: Documents a group needs for quartiles, and for q90.
+MIN_GROUP, TAIL_GROUP = 100, 400
 
 
 def words_of(text: Column) -> Column:
@@ -140,19 +144,26 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "signal", "step").agg(F.sum("n").alias("n"))
 
 
-def thresholds(sketch: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    """One row for each group: ``<prefix>size`` and ``<prefix><signal>`` in steps."""
+def quantiles(sketch: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """One row for each group: ``<prefix>size`` and ``<prefix><signal>``, q25, q75 and q90 in steps
+    (q90 null in a group of fewer than TAIL_GROUP)."""
     run = Window.partitionBy(*keys, "signal").orderBy("step")
     whole = Window.partitionBy(*keys, "signal")
     at = (sketch.withColumn("upto", F.sum("n").over(run)).withColumn("size", F.sum("n").over(whole)))
-    q = at.groupBy(*keys, "signal").agg(
-        F.first("size").alias("size"),
-        F.min(F.when(4 * F.col("upto") >= F.col("size"), F.col("step"))).alias("q25"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("size"), F.col("step"))).alias("q75"))
-    floor = F.create_map(*[x for s, (_, f) in SIGNALS.items() for x in (F.lit(s), F.lit(f))])[F.col("signal")]
-    top = F.col("q75") + SPREAD * F.greatest(F.col("q75") - F.col("q25"), floor)
+
+    def reached(percent: int) -> Column:
+        return F.min(F.when(100 * F.col("upto") >= percent * F.col("size"), F.col("step")))
+    q = at.groupBy(*keys, "signal").agg(F.first("size").alias("size"), reached(25).alias("q25"), reached(75).alias("q75"),
+                                        reached(90).alias("q90"))
+    own = F.struct("q25", "q75", F.when(F.col("size") >= TAIL_GROUP, F.col("q90")).alias("q90"))
     return q.groupBy(*keys).agg(F.max("size").alias(f"{prefix}size"), *[
-        F.max(F.when(F.col("signal") == s, top)).alias(f"{prefix}{s}") for s in SIGNALS])
+        F.max(F.when(F.col("signal") == s, own)).alias(f"{prefix}{s}") for s in SIGNALS])
+
+
+def spread(signal: str) -> Column:
+    """The spread of a group, from its columns ``q_<signal>`` and ``tail_<signal>``."""
+    q25, q75 = F.col(f"q_{signal}.q25"), F.col(f"q_{signal}.q75")
+    return F.greatest(F.when(q75 > q25, q75 - q25).otherwise(F.col(f"tail_{signal}") - q75), F.lit(SIGNALS[signal][1]))
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -160,18 +171,22 @@ def judged(docs: DataFrame) -> DataFrame:
     df = stored(on_grid(base_signals(docs)), "quality-signals")  # one narrow row for each document
     fine = stored(sketches(df), "quality-sketches")
     lang_sketch = merged(fine, ["lang"])
-    whole = thresholds(merged(lang_sketch.withColumn("_one", F.lit(1)), ["_one"]), ["_one"], "w_").drop("_one")
-    by_source = thresholds(fine, ["lang", "source"], "s_").withColumnsRenamed({"lang": "s_lang", "source": "s_source"})
-    by_lang = thresholds(lang_sketch, ["lang"], "l_").withColumnsRenamed({"lang": "l_lang"})
+    whole = quantiles(merged(lang_sketch.withColumn("_one", F.lit(1)), ["_one"]), ["_one"], "w_").drop("_one")
+    by_source = quantiles(fine, ["lang", "source"], "s_").withColumnsRenamed({"lang": "s_lang", "source": "s_source"})
+    by_lang = quantiles(lang_sketch, ["lang"], "l_").withColumnsRenamed({"lang": "l_lang"})
     groups = (by_source.join(by_lang, F.col("s_lang").eqNullSafe(F.col("l_lang")))
               .select("s_lang", "s_source", *[
                   F.when(F.col("s_size") >= MIN_GROUP, F.col(f"s_{s}"))
-                  .when(F.col("l_size") >= MIN_GROUP, F.col(f"l_{s}")).alias(f"t_{s}") for s in SIGNALS]))
+                  .when(F.col("l_size") >= MIN_GROUP, F.col(f"l_{s}")).alias(f"q_{s}") for s in SIGNALS],
+                  *[F.coalesce(f"s_{s}.q90", f"l_{s}.q90").alias(f"tail_{s}") for s in SIGNALS]))
     joined = df.join(groups, F.col("lang").eqNullSafe(F.col("s_lang")) & F.col("source").eqNullSafe(F.col("s_source")),
                      "left").drop("s_lang", "s_source")
     for s in SIGNALS:  # one row: a scalar subquery
-        joined = joined.withColumn(f"t_{s}", F.coalesce(f"t_{s}", whole.select(f"w_{s}").scalar()))
-    fits = ~F.col("base_failed")
+        w = whole.select(f"w_{s}").scalar()
+        joined = joined.withColumns({f"q_{s}": F.coalesce(f"q_{s}", w), f"tail_{s}": F.coalesce(f"tail_{s}", w["q90"])})
+    joined = joined.withColumns({f"t_{s}": F.col(f"q_{s}.q75") + SPREAD * spread(s) for s in SIGNALS} | {
+        "t_word_len_low": F.col("q_word_len.q25") - SPREAD * spread("word_len")})
+    fits = ~F.col("base_failed") & (F.col("g_word_len") >= F.col("t_word_len_low"))
     for s in SIGNALS:
         fits = fits & (F.col(f"g_{s}") <= F.col(f"t_{s}"))
     return joined.withColumn("kept", F.coalesce(fits, F.lit(False)))
@@ -180,7 +195,7 @@ def judged(docs: DataFrame) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        *[f"t_{s}" for s in SIGNALS])
+        *[f"t_{s}" for s in SIGNALS], "t_word_len_low")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

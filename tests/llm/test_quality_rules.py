@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -81,3 +82,48 @@ def test_empty_and_stage(spark):
 def test_no_python_on_the_main_path(spark):
     plan = Q.op3_quality_rules(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def planted(rnd, prefix, noisy):
+    """(text, planted?): texts that repeat no line, 3-word window or symbol but for a planted fault each."""
+    def line(n=12, size=5):
+        return " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(size - 1, size + 1)))
+                        for _ in range(n))
+    plain = lambda: [line() for _ in range(10)]
+    out = []
+    for k in range(500):
+        lines = plain()
+        if noisy and k % 4:  # this source repeats lines as a rule
+            lines += lines[:rnd.randint(1, 3)]
+        out.append(("\n".join(lines), None))
+    repeated = plain() + ["the same line again"] * 4
+    words = " ".join(plain()).split()
+    out += [("\n".join(repeated), "dup_line_rate"), (" ".join(words + words[:20]), "repeat_rate"),
+            ("\n".join(plain()) + " #" * 10, "symbol_rate"), ("\n".join(line(size=9) for _ in range(10)), "word_len"),
+            ("\n".join(line(size=2) for _ in range(10)), "word_len_low")]
+    return [(f"{prefix}-{k}", t, fault) for k, (t, fault) in enumerate(out)]
+
+
+@pytest.mark.parametrize("tail", [400, 10_000])
+def test_each_signal_rejects_and_groups_differ(spark, monkeypatch, tail):
+    monkeypatch.setattr(Q, "TAIL_GROUP", tail)
+    rnd = random.Random(4)
+    rows = [(k, t, "en", s, fault) for k, (s, t, fault) in enumerate(
+        [("calm", t, f) for _, t, f in planted(rnd, "a", False)] + [("noisy", t, f) for _, t, f in planted(rnd, "b", True)])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, fault string")
+    got = {r["doc_id"]: r for r in Q.judged(docs).collect()}
+    for i, _, _, source, fault in rows:
+        if source == "calm":
+            assert got[i]["kept"] == (fault is None), fault
+        elif fault in ("word_len", "word_len_low", "symbol_rate"):
+            assert not got[i]["kept"], fault
+    kept = sum(got[i]["kept"] for i, _, _, s, f in rows if s == "noisy" and f is None)
+    assert kept == 500  # what is common in a source is no fault there
+
+
+def test_tail_sets_the_spread_where_quartiles_are_one_value(spark, monkeypatch):
+    monkeypatch.setattr(Q, "TAIL_GROUP", 100)
+    sketch = spark.createDataFrame([("en", "repeat_rate", 0, 80), ("en", "repeat_rate", 30, 15), ("en", "repeat_rate", 300, 5)],
+                                   "lang string, signal string, step bigint, n bigint")
+    q = Q.quantiles(sketch, ["lang"], "q_").withColumn("tail_repeat_rate", Q.F.col("q_repeat_rate.q90"))
+    assert q.select(Q.spread("repeat_rate")).first()[0] == 30
