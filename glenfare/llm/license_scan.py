@@ -2,7 +2,9 @@
 license templates.
 
 A block is a line, or, of a line of over ``BLOCK_WORDS`` words, each window of
-that many words, starting every half window.  A block meets a template when it
+that many words, starting every half window.  ``wrapped`` (as the query has it)
+cuts each paragraph, lines up to one without words, in the same way beside its
+lines, as notices are wrapped.  A block meets a template when it
 contains at least ``CONTAINMENT`` of the template's distinct words.  Words are
 ordered by how many blocks of the whole table hold them, rarest first.  A
 template that needs r of its s words must then share one of its first s - r + 1
@@ -25,6 +27,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -81,6 +84,19 @@ def blocks(line: list[bytes], size: int = BLOCK_WORDS) -> Iterator[list[bytes]]:
         yield line[lo:lo + size]
 
 
+def text_blocks(lines: list[list[bytes]], wrapped: bool) -> Iterator[list[bytes]]:
+    """The blocks of a text, given as the words of its lines."""
+    for worded, group in groupby(lines, bool):
+        paragraph = list(group)
+        if wrapped and worded and len(paragraph) > 1:
+            whole = [w for line in paragraph for w in line]
+            yield from blocks(whole)
+            if len(whole) <= BLOCK_WORDS:  # holds the lines
+                continue
+        for line in paragraph:
+            yield from blocks(line)
+
+
 def base_places(flat: list[bytes], phrases: dict[str, str]) -> dict[str, list[int]]:
     """Starts of every phrase, by label."""
     out: dict[str, list[int]] = {}
@@ -117,14 +133,13 @@ class Templates:
         return None
 
 
-def count_words(batches: Iterator[pa.RecordBatch], vocabulary: frozenset[bytes]) -> Iterator[pa.RecordBatch]:
+def count_words(batches: Iterator[pa.RecordBatch], vocabulary: frozenset[bytes], wrapped: bool) -> Iterator[pa.RecordBatch]:
     """(word, n): blocks of this task that hold each template word."""
     n: Counter = Counter()
     for b in batches:
         for t in b.column("text"):
-            for line in word_lines(t.as_py()):
-                for block in blocks(line):
-                    n.update(vocabulary.intersection(block))
+            for block in text_blocks(word_lines(t.as_py()), wrapped):
+                n.update(vocabulary.intersection(block))
     yield pa.RecordBatch.from_pydict({"word": pa.array([w.decode() for w in n], pa.string()),
                                       "n": pa.array(n.values(), pa.int64())})
 
@@ -136,7 +151,8 @@ ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.i
                    ("blocks", pa.list_(pa.list_(pa.string())))])
 
 
-def scan(batches: Iterator[pa.RecordBatch], templates: Templates, phrases: dict[str, str]) -> Iterator[pa.RecordBatch]:
+def scan(batches: Iterator[pa.RecordBatch], templates: Templates, phrases: dict[str, str],
+         wrapped: bool) -> Iterator[pa.RecordBatch]:
     """The base scan of every row, and its candidate blocks."""
     row = TaskContext.get().partitionId() << 40
     for b in batches:
@@ -146,7 +162,7 @@ def scan(batches: Iterator[pa.RecordBatch], templates: Templates, phrases: dict[
             flat = [w for line in lines for w in line]
             places = base_places(flat, phrases)
             starts = [x for xs in places.values() for x in xs]
-            found = {tuple(c) for line in lines for block in blocks(line) if (c := templates.candidate(block))}
+            found = {tuple(c) for block in text_blocks(lines, wrapped) if (c := templates.candidate(block))}
             out.append((row, doc_id, len(flat), len(starts), min(starts, default=None), max(starts, default=None),
                         sorted(places), sorted(found)))
             row += 1
@@ -169,7 +185,8 @@ def template_links(scanned: DataFrame, templates: Templates) -> DataFrame:
             .select("row", "template", "label", (shared / F.col("size")).alias("containment")).distinct())
 
 
-def license_rows(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: float = CONTAINMENT) -> DataFrame:
+def license_rows(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containment: float = CONTAINMENT,
+                 wrapped: bool = False) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_base, first_word,
     last_word, base_labels, labels and score (the best containment; 1 with a base phrase)."""
     ship(__name__)
@@ -178,10 +195,10 @@ def license_rows(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containm
     vocabulary = frozenset(w for _, t in templates for w in words(t))
     # one row for each word of the templates
     frequency = {r["word"]: r["n"] for r in rows.select("text").mapInArrow(
-        partial(count_words, vocabulary=vocabulary), "word string, n bigint").groupBy("word").agg(
+        partial(count_words, vocabulary=vocabulary, wrapped=wrapped), "word string, n bigint").groupBy("word").agg(
         F.sum("n").alias("n")).collect()}
     ordered = Templates(templates, frequency, containment)
-    scanned = stored(rows.mapInArrow(partial(scan, templates=ordered, phrases=phrases), SCANNED), "license-scan")
+    scanned = stored(rows.mapInArrow(partial(scan, templates=ordered, phrases=phrases, wrapped=wrapped), SCANNED), "license-scan")
     found = template_links(scanned, ordered).groupBy("row").agg(
         F.collect_set("label").alias("found"), F.max("containment").alias("best"))
     cols = ["doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels")]
@@ -196,7 +213,7 @@ def license_rows(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containm
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_rows(table(spark, sf_dir, "documents"))
+    return license_rows(table(spark, sf_dir, "documents"), wrapped=True)
 
 
 QUERIES = {"op9_license_scan": op9_license_scan}

@@ -69,3 +69,40 @@ def test_edges(spark):
     assert as_rows(S.license_rows(docs), *COLS) == sorted(
         [brute(r["doc_id"], r["text"]) for r in docs.collect()], key=repr)
     assert S.license_rows(empty_docs(spark)).count() == 0
+
+
+def paragraph_brute(text):
+    """Labels by brute force over the word sequence of each paragraph and of each line."""
+    runs, size = [], S.BLOCK_WORDS
+    paragraph = []
+    for line in (text or "").split("\n") + [""]:
+        w = split(line)
+        runs.append(w)
+        paragraph += w
+        if not w:
+            runs.append(paragraph)
+            paragraph = []
+    parts = [set(p) for r in runs for p in (
+        [r] if len(r) <= size else [r[i:i + size] for i in range(0, len(r) - size // 2, size // 2)])]
+    return {label for label, t in S.TEMPLATES for own in [set(split(t))]
+            if any(len(own & p) >= math.ceil(S.CONTAINMENT * len(own) - 1e-9) for p in parts)}
+
+
+def test_wrapped_notices(spark, tmp_path):
+    rnd = random.Random(9)
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i:i + n]) for i in range(0, len(t.split()), n))
+    rows = []
+    for label, t in S.TEMPLATES:
+        for n in (3, 5, 8):
+            lead = " ".join(rnd.choices(["lorem", "ipsum"], k=rnd.randint(0, 150)))
+            rows.append((label, wrap(f"{lead} {t} " + "dolor " * rnd.randint(0, 90), n)))
+        rows.append((label, "# " + wrap(t, 4).replace("\n", "\n# ") + "\n#\n# sit amet"))
+        w = t.split()
+        rows.append((None, " ".join(w[:len(w) // 2]) + "\n\n" + " ".join(w[len(w) // 2:])))  # two paragraphs
+    rows += [(None, r) for r in made_texts()]
+    spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id bigint, text string") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in S.op9_license_scan(spark, str(tmp_path)).collect()}
+    for k, (label, t) in enumerate(rows):
+        assert label is None or label in got[k], t
+        assert got[k] == paragraph_brute(t) | set(filter(None, brute(k, t)[5].split(","))), t
