@@ -11,6 +11,11 @@ take the paragraph beside it along.
 
 A page is one row and needs no other, so this is one map over the table.
 
+Raw text (scripts, styles and the like) ends at its own end tag alone, whatever
+looks like a tag in its code.  A head ends at its end tag, at text or at the first
+tag that cannot stand in one, an option at the next tag, as their end tags may be
+left out; other skipped elements without an end tag skip nothing.
+
 Edge cases: null or empty html gives an empty text; unclosed or stray tags,
 comments and scripts end with the page; references are decoded once; repeated
 rows each get their answer; an empty table gives an empty result; further columns are
@@ -45,8 +50,11 @@ al como con cuando del desde el ella entre era eran es esta este ha hay la las l
 pero por que se ser si sin sobre son su sus también te todo un una uno y ya
 """.split())
 #: Elements whose content is never text of the article.
-SKIPPED = frozenset("script style noscript template head title svg math iframe object textarea select option button "
+SKIPPED = frozenset("script style noscript template title svg math iframe object textarea select option button "
                     "audio video canvas map".split())
+#: Elements without markup inside, and the tags that can stand in a head.
+RAW = frozenset("script style title textarea iframe".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 BLOCKS = frozenset("""
 address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form
@@ -65,6 +73,7 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(
                  r"|<[/a-zA-Z][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SPACE = re.compile(r"\s+")
+END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in SKIPPED}
 
 
 def marked(tag: str, attributes: str) -> bool:
@@ -93,25 +102,41 @@ class Blocks:
         self.linked = 0
         self.stack: list[tuple[str, bool]] = []  # open elements: name, boilerplate
         self.bad = self.article = self.links = self.articles = 0
-        at, skip = 0, None
-        for m in TAG.finditer(html):
-            tag = (m[2] or "").lower()
-            if skip:  # raw text, up to its own end tag
-                if m[1] == "/" and tag == skip:
-                    skip, at = None, m.end()
+        at, next_at, skip, head = 0, 0, None, False
+        unclosed: set[str] = set()  # names without a further end tag
+        while m := TAG.search(html, next_at):
+            tag, end, next_at = (m[2] or "").lower(), m[1] == "/", m.end()
+            starts = bool(tag) and not end and not m[3].endswith("/")
+            if starts and tag in RAW:  # up to its own end tag
+                closed = END[tag].search(html, next_at)
+                next_at = closed.end() if closed else len(html)
+            if skip == "option" and tag:
+                skip, at = None, m.start()
+            if skip:
+                if end and tag == skip:
+                    skip, at = None, next_at
                 continue
-            self.text(html[at:m.start()])
-            at = m.end()
-            if not tag:
+            between = html[at:m.start()]
+            at = next_at
+            if head and (between.strip() or tag and not end and tag not in IN_HEAD):
+                head = False
+            if not head:
+                self.text(between)
+            if tag == "head":
+                head = not end
+            elif not tag or starts and tag in RAW:
                 continue
-            if m[1] == "/":
+            elif end:
                 self.close(tag)
-            elif tag in SKIPPED:
-                skip = tag if not m[3].endswith("/") else None
-            else:
+            elif tag not in SKIPPED:
                 self.open_tag(tag, m[3])
-        if not skip:
-            rest = html[at:]
+            elif starts and tag not in unclosed:
+                if tag == "option" or END[tag].search(html, next_at):
+                    skip = tag
+                else:
+                    unclosed.add(tag)
+        rest = html[at:]
+        if not skip and (not head or rest.strip()):
             self.text(rest)
         self.flush()
 

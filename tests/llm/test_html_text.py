@@ -56,3 +56,22 @@ def test_query_and_edges(spark):
     n = len(H.main_text(PAGE))
     assert got == sorted([(1, 0), (None, 0), (2, n), (2, n)], key=repr)
     assert H.extracted(odd.limit(0)).count() == 0
+
+
+def test_skipped_elements_swallow_nothing():
+    article = f"<article><p>{PROSE}</p></article>"
+    for code in ("for(i=0;i<n;i++){f(i)}", "if(a<b){x()}", "x='<p>'; y=\"</p>\"; a<b", "<!-- a<b", "s = '<script'"):
+        for tag in ("script", "SCRIPT", "style", "textarea", "title"):
+            end = tag.lower()
+            assert H.main_text(f"<body><{tag}>{code}</{end}>{article}</body>") == PROSE, (tag, code)
+            assert H.main_text(f"<body>{article}<svg><{tag}>{code}</{end}></svg>{article}") == PROSE + "\n" + PROSE
+    assert H.main_text(f"<html><head><title>T</title><meta charset=x><script>a<b</script><body>{article}") == PROSE
+    assert H.main_text(f"<head><title>T</title><link rel=x>{article}") == PROSE
+    assert H.main_text(f"<head><meta name=x>\n<noscript><style>p<b</style><img src=x></noscript>{article}") == PROSE
+    assert H.main_text(f"<head><title>T</title></head><body>{article}") == PROSE
+    assert H.main_text(f"<button>Go{article}").endswith(PROSE)  # no end tag: nothing is skipped
+    assert H.main_text(f"<datalist><option>a<option>b</datalist>{article}<select><option>c</option></select>") == PROSE
+
+
+def test_many_unclosed_elements_stay_linear():
+    assert H.main_text("<article><p>a" + "<button>" * 100_000 + "<svg>" * 100_000).startswith("a")
