@@ -9,8 +9,8 @@ is a softmax whose sharpness, like the cross-entropy up to which a text counts
 as written in a language at all, is calibrated on texts kept from the counts.
 
 The classifier is fitted on a bounded sample: about ``TRAIN_DOCS`` documents of
-each language, taken by hash, and the ``MAX_GRAMS`` most frequent n-grams in all,
-so the model's size has a bound; every row is judged, on its whole text.
+each language, taken by hash, which bounds the model's size; it holds every n-gram
+of these, so no language loses any to others.  Every row is judged, on its whole text.
 
 Edge cases: null text and text without a letter are ``und`` with score 0 and
 not accepted; a table without any labelled row makes every text ``und``; ties go to the
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from glenfare.llm.common import ship, small_batches, table
 
 ORDER = 4
-#: Bounds of the fitted sample and model.
-TRAIN_DOCS, MAX_GRAMS = 4000, 1_000_000
+#: Bound of the fitted sample.
+TRAIN_DOCS = 4000
 #: One training document in so many is kept for calibration.
 CALIBRATE_ONE_IN = 5
 #: Share of calibration texts accepted, and the widening of that threshold.
@@ -275,7 +275,7 @@ def calibrate(model: dict, lang: np.ndarray, n: np.ndarray, h: np.ndarray) -> di
     return model | {"sharpness": grid[int(np.argmin(loss))], "mean": mean, "over": over, "spread": spread}
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, max_grams: int = MAX_GRAMS, order: int = ORDER) -> dict | None:
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, order: int = ORDER) -> dict | None:
     """The calibrated model (None without labelled rows)."""
     ship(__name__)
     spark = docs.sparkSession
@@ -283,8 +283,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, max_grams: int = MAX_GRAM
     sample = training_sample(docs, train_docs)
     grams = (sample.filter("NOT calibrate").select("lang", "text")
              .mapInArrow(partial(count_grams, order=order), "lang string, gram string, n bigint")
-             .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-             .orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toPandas())
+             .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())
     if grams.empty:
         return None
     by_lang = {}

@@ -114,3 +114,22 @@ def test_stage_rejects_gibberish_and_keeps_prose(spark):
     kept = {r["doc_id"] for r in out.collect()}
     assert not kept & {1000 + k for k in range(20)} and 5000 not in kept and None in kept
     assert len(kept & set(range(400))) >= 396
+
+
+def test_model_holds_every_gram_of_the_sample(spark):
+    rnd = random.Random(3)
+    # distinct letters from a large alphabet: over a million different 4-grams in "big", few in "small"
+    big = [("".join(chr(0x4E00 + rnd.randrange(20_000)) for _ in range(12_000)), "big") for _ in range(200)]
+    small = [(prose(rnd, "fr", 60), "small") for _ in range(40)]
+    docs = spark.createDataFrame([(k, t, l) for k, (t, l) in enumerate(big + small)],
+                                 "doc_id bigint, text string, lang string").repartition(4)
+    model = L.fit(docs)
+    assert model["langs"] == ["big", "small"]
+    counted = L.training_sample(docs, L.TRAIN_DOCS).filter("NOT calibrate").collect()
+    grams = set()
+    for r in counted:
+        s = " " * 3 + L.letters(r["text"]) + " "
+        grams.update(s[i:i + 4] for i in range(len(s) - 3))
+    assert len(grams) > 1_100_000
+    at, hit = L.found(model["keys"][-1], np.concatenate([L.hashes(L.codes(g), 4) for g in grams]))
+    assert hit.all()
