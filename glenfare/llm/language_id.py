@@ -36,8 +36,12 @@ ORDER = 4
 TRAIN_DOCS = 4000
 #: One training document in so many is kept for calibration.
 CALIBRATE_ONE_IN = 5
-#: Share of calibration texts accepted, and the widening of that threshold.
-ACCEPT, MARGIN = 0.999, 2.0
+#: Deviations (1.4826 median absolute ones, and the least) above the median up to which a text is accepted.
+MARGIN, LEAST_DEVIATION = 6.0, 0.01
+#: Calibration texts that a language, or a language's band of lengths, needs for a limit of its own.
+OWN_LIMIT = 20
+#: Lengths of less than 2^(k + 1) characters are in band k.
+BANDS = 16
 #: Characters scored at once, with up to four languages (fewer with more).
 SLICE = 1 << 19
 
@@ -253,26 +257,57 @@ def softmax(h: np.ndarray, n: np.ndarray, sharpness: float) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def band(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), BANDS - 1)
+
+
+def robust(x: np.ndarray) -> tuple[float, float]:
+    """Median and deviation, which odd values hardly move."""
+    middle = float(np.median(x))
+    return middle, max(LEAST_DEVIATION, 1.4826 * float(np.median(np.abs(x - middle))))
+
+
+def limits(true: np.ndarray, n: np.ndarray, h: np.ndarray, n_langs: int, uniform: float) -> np.ndarray:
+    """The cross-entropy up to which a text is accepted, by language and band of lengths.
+
+    It is MARGIN deviations above the median of the language's calibration texts in that band.
+    A band with too few takes the deviations from each language's median of all languages' texts in it
+    or, with too few again, in the nearest band that has enough, on top of the language's median (the mean of a text half
+    as long deviates 2^0.5 times as much); a language with too few takes the greater of its own and the common median.  No limit is above that of letters drawn
+    evenly, which is all there is without enough texts of any language."""
+    out = np.full((n_langs, BANDS), uniform)
+    if len(h) < OWN_LIMIT:
+        return out
+    common = float(np.median(h))
+    counts = np.bincount(true, minlength=n_langs)
+    center = np.array([np.median(h[true == j]) if counts[j] else common for j in range(n_langs)])
+    center = np.where(counts < OWN_LIMIT, np.maximum(center, common), center)
+    at, off = band(n), h - center[true]
+    enough = np.flatnonzero(np.bincount(at, minlength=BANDS) >= OWN_LIMIT)
+    for k in range(BANDS):
+        nearest = enough[np.abs(enough - k).argmin()] if len(enough) else int(np.median(at))
+        middle, deviation = robust(off[at == nearest] if len(enough) else off)
+        deviation *= 2 ** (max(0, nearest - k) / 2)
+        out[:, k] = center + middle + MARGIN * deviation
+        for j in range(n_langs):
+            own = h[(true == j) & (at == k)]
+            if len(own) >= OWN_LIMIT:
+                middle_j, deviation_j = robust(own)
+                out[j, k] = middle_j + MARGIN * deviation_j
+    return np.minimum(out, uniform)
+
+
 def calibrate(model: dict, lang: np.ndarray, n: np.ndarray, h: np.ndarray) -> dict:
     """Add ``sharpness`` of the softmax, by the likelihood of the true languages,
-    and each language's ``mean`` cross-entropy with what texts exceed it by: a text
-    of n characters is accepted up to mean + over + spread / sqrt(n)."""
+    and ``limit``, the cross-entropy up to which a text is accepted."""
     langs = model["langs"]
     ok = (n > 0) & np.isin(lang, langs)
     lang, n, h = lang[ok], n[ok], h[ok]
     true = np.searchsorted(langs, lang)
     grid = [0.1, 0.2, 0.5, 1.0, 2.0, 5.0]
     loss = [-np.log(softmax(h, n, s)[np.arange(len(h)), true] + 1e-12).mean() if len(h) else 0 for s in grid]
-    mean, over, spread = np.full(len(langs), np.inf), np.zeros(len(langs)), np.zeros(len(langs))
-    for j in range(len(langs)):
-        own = true == j
-        if own.sum() >= 20:
-            x = h[own, j]
-            mean[j] = np.median(x)
-            above = np.maximum(x - mean[j], 0)
-            over[j] = MARGIN * np.quantile(above[n[own] >= np.median(n[own])], ACCEPT)
-            spread[j] = MARGIN * np.quantile(above * np.sqrt(n[own]), ACCEPT)
-    return model | {"sharpness": grid[int(np.argmin(loss))], "mean": mean, "over": over, "spread": spread}
+    return model | {"sharpness": grid[int(np.argmin(loss))],
+                    "limit": limits(true, n, h[np.arange(len(h)), true], len(langs), -model["floor"])}
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, order: int = ORDER) -> dict | None:
@@ -300,8 +335,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, order: int = ORDER) -> di
 
 def accepted(m: dict, h: np.ndarray, n: np.ndarray) -> np.ndarray:
     best = h.argmin(axis=1)
-    limit = m["mean"][best] + m["over"][best] + m["spread"][best] / np.sqrt(np.maximum(n, 1))
-    return h[np.arange(len(h)), best] <= limit
+    return h[np.arange(len(h)), best] <= m["limit"][best, band(n)]
 
 
 def predict_rows(batches, model) -> Iterator[pa.RecordBatch]:
