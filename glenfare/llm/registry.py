@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glenfare.llm import exact_dedup, html_text, language_id, license_scan, packing, quality_rules, sentencepiece_codec, sharding, simhash, url_filter
+from glenfare.llm import exact_dedup, fill_in_middle, html_text, language_id, license_scan, packing, quality_rules, sentencepiece_codec, sharding, simhash, url_filter
 
-MODULES = [exact_dedup, html_text, language_id, license_scan, packing, quality_rules, sentencepiece_codec, sharding, simhash, url_filter]
+MODULES = [exact_dedup, fill_in_middle, html_text, language_id, license_scan, packing, quality_rules, sentencepiece_codec, sharding, simhash, url_filter]
 
 
 def queries() -> dict:
