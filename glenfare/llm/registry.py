@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glenfare.llm import exact_dedup, fill_in_middle, html_text, language_id, license_scan, packing, quality_rules, sentencepiece_codec, sharding, simhash, url_filter, whitening
+from glenfare.llm import exact_dedup, fill_in_middle, html_text, language_id, license_scan, nearest, packing, quality_rules, sentencepiece_codec, sharding, simhash, url_filter, whitening
 
-MODULES = [exact_dedup, fill_in_middle, html_text, language_id, license_scan, packing, quality_rules, sentencepiece_codec, sharding, simhash, url_filter, whitening]
+MODULES = [exact_dedup, fill_in_middle, html_text, language_id, license_scan, nearest, packing, quality_rules, sentencepiece_codec, sharding, simhash, url_filter, whitening]
 
 
 def queries() -> dict:
