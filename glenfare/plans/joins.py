@@ -18,5 +18,8 @@ from pyspark.sql import functions as F
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """``df`` plus every column of ``one_row``, a frame of at most one row."""
     names = one_row.columns
-    row = one_row.select(F.struct(*names).alias("_row")).scalar()
-    return df.select("*", *[row[c].alias(c) for c in names])
+    taken = {c.lower() for c in [*df.columns, *names]}
+    row = next(n for n in ("_" * k + "row" for k in range(1, len(taken) + 2)) if n not in taken)
+    # the struct is a column of its own: read by field from the subquery, it would be planned once for each field
+    held = df.select("*", one_row.select(F.struct(*names)).scalar().alias(row))
+    return held.select(*[F.col(c) for c in df.columns], *[F.col(row)[c].alias(c) for c in names])
