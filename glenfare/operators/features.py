@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glenfare.functions import expr as X
-from glenfare.plans.joins import attach_scalars
+from glenfare.plans.quantiles import quantiles
 from glenfare.sources.dims import holiday_dim
 from glenfare.sources.schema import TRIP_COLUMNS, read_trips_csv, write_trips_csv
 
@@ -108,16 +108,16 @@ def trip_flags(features: DataFrame, short_km: float = 5.0, long_km: float = 20.0
                high_value_pct: float = 0.8) -> DataFrame:
     """Short / long / high-value flags (EXP14).
 
-    The 80th percentile of ``total_amount`` is one global aggregate, read as
-    a scalar subquery.
+    The 80th percentile of ``total_amount`` is selected by rank when the frame
+    is built, and read as a constant.
     """
-    bound = features.agg(F.percentile("total_amount", high_value_pct).alias("_p80"))
-    return (attach_scalars(features, bound)
+    bound, = quantiles(features, ["total_amount"], [high_value_pct])["total_amount"]
+    return (features
             .withColumns({
                 "is_short": (F.col("distance_km") <= short_km).cast("int"),
                 "is_long": (F.col("distance_km") >= long_km).cast("int"),
-                "is_high_value": (F.col("total_amount") >= F.col("_p80")).cast("int"),
-            }).drop("_p80"))
+                "is_high_value": (F.col("total_amount") >= F.lit(bound).cast("double")).cast("int"),
+            }))
 
 
 # --- registered expression queries (EXP1-EXP16, FIL1, SRC1/4/5, FIL6) ----------------------------

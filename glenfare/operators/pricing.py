@@ -3,9 +3,8 @@
 All pricing operators read the priced table: features plus ``price_per_km``
 and ``tip_rate``, rows with any null dropped (D11), then trimmed to the
 1st-99th percentile of ``price_per_km`` and, for the section tables, of
-``tip_rate`` on the survivors.  Each trim reads its two bounds as a scalar
-subquery and filters: no join, no shuffle of trips, and nothing runs before
-the result is asked for.
+``tip_rate`` on the survivors.  Each trim selects its two bounds by rank when
+the frame is built, and filters by them as constants: no join, no shuffle of trips.
 The reference samples 3,000 rows first; the engine uses every row.
 """
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from glenfare.functions import expr as X
 from glenfare.oracle import with_ctes
+from glenfare.plans.quantiles import quantiles
 from glenfare.operators.features import ENGINEERED_COLUMNS, price_metrics
 from glenfare.sources.schema import TRIP_COLUMNS
 
@@ -45,8 +45,8 @@ def priced(features: DataFrame) -> DataFrame:
 def trim(df: DataFrame, c: str, lo: float = 0.01, hi: float = 0.99, accuracy: int | None = None) -> DataFrame:
     """Keep rows with ``c`` inside its [lo, hi] quantiles (inclusive); without
     a value of ``c`` there are no bounds and no rows."""
-    bounds = df.agg(X.quantiles(c, [lo, hi], accuracy).alias("_b")).scalar()
-    return df.filter((F.col(c) >= bounds[0]) & (F.col(c) <= bounds[1]))
+    low, high = quantiles(df, [c], [lo, hi], accuracy)[c]
+    return df.filter((F.col(c) >= F.lit(low).cast("double")) & (F.col(c) <= F.lit(high).cast("double")))
 
 
 def price_trimmed(features: DataFrame, accuracy: int | None = None) -> DataFrame:
@@ -62,8 +62,9 @@ def trimmed_trips(features: DataFrame, accuracy: int | None = None) -> DataFrame
 def price_per_km_stats(features: DataFrame) -> DataFrame:
     """Mean, median, sample std of price_per_km after the price trim (PRI1)."""
     t = price_trimmed(features)
+    median, = quantiles(t, ["price_per_km"], [0.5])["price_per_km"]
     return t.agg(F.count(F.lit(1)).alias("n_trips"), F.round(F.avg("price_per_km"), 4).alias("avg_price_per_km"),
-                 F.round(F.median("price_per_km"), 4).alias("median_price_per_km"),
+                 F.round(F.lit(median).cast("double"), 4).alias("median_price_per_km"),
                  F.round(F.stddev_samp("price_per_km"), 4).alias("std_price_per_km"))
 
 
@@ -119,9 +120,10 @@ def tip_rate_stats(features: DataFrame) -> DataFrame:
     """describe() of tip_rate plus zero-tip count and share (PRI5)."""
     t = trimmed_trips(features)
     x = F.col("tip_rate")
+    q25, median, q75 = (F.round(F.lit(v).cast("double"), 6) for v in quantiles(t, ["tip_rate"], [0.25, 0.5, 0.75])["tip_rate"])
     return t.agg(F.count(x).alias("count"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("std"),
-                 F.round(F.min(x), 6).alias("min"), F.round(F.percentile(x, 0.25), 6).alias("q25"),
-                 F.round(F.median(x), 6).alias("median"), F.round(F.percentile(x, 0.75), 6).alias("q75"),
+                 F.round(F.min(x), 6).alias("min"), q25.alias("q25"),
+                 median.alias("median"), q75.alias("q75"),
                  F.round(F.max(x), 6).alias("max"), F.count_if(x == 0).alias("zero_tip_count"),
                  F.round(F.try_divide(F.count_if(x == 0), F.count(F.lit(1))) * 100, 4).alias("zero_tip_pct"))
 

@@ -9,11 +9,11 @@ result costs nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glenfare.oracle import with_ctes
-from glenfare.plans.joins import attach_scalars
+from glenfare.plans.quantiles import quantiles
 from glenfare.sources.schema import NUMERIC_MEASURES, TRIP_COLUMNS
 
 STRING_COLUMNS = ["pickup_postcode", "dropoff_postcode", "payment_type"]
@@ -76,19 +76,18 @@ def quick_stats(trips: DataFrame) -> DataFrame:
 
 # --- numeric statistics ------------------------------------------------------------------------
 
-def _moments(df: DataFrame, cols: list[str], quantiles: bool = True, accuracy: int | None = None) -> DataFrame:
+def _moments(cols: list[str]) -> list[Column]:
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        n = F.count(x)
-        aggs += [n.cast("double").alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
+        aggs += [F.count(x).cast("double").alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"),
                  F.skewness(x).alias(f"{c}__g1"), F.kurtosis(x).alias(f"{c}__g2")]
-        if quantiles:
-            q = (F.percentile(x, [0.25, 0.5, 0.75]) if accuracy is None
-                 else F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy))
-            aggs.append(q.alias(f"{c}__q"))
-    return df.agg(*aggs)
+    return aggs
+
+
+def _number(v: float | None) -> Column:
+    return F.lit(v).cast("double")
 
 
 def _bias_corrected(c: str):
@@ -102,50 +101,36 @@ def _bias_corrected(c: str):
 def describe_numeric(features: DataFrame, cols: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
     """count, mean, std, min, quartiles, max per numeric column (PRO6)."""
     cols = cols or NUMERIC_MEASURES
-    m = _moments(features, cols, accuracy=accuracy)
-    row = m.select(*[e for c in cols for e in (
+    q = quantiles(features, cols, [0.25, 0.5, 0.75], accuracy)
+    row = features.agg(*_moments(cols)).select(*[e for c in cols for e in (
         F.col(f"{c}__count"), _r(F.col(f"{c}__mean")).alias(f"{c}__mean"), _r(F.col(f"{c}__std")).alias(f"{c}__std"),
-        F.col(f"{c}__min"), _r(F.col(f"{c}__q")[0]).alias(f"{c}__q25"), _r(F.col(f"{c}__q")[1]).alias(f"{c}__q50"),
-        _r(F.col(f"{c}__q")[2]).alias(f"{c}__q75"), F.col(f"{c}__max"))])
+        F.col(f"{c}__min"), *[_r(_number(v)).alias(f"{c}__{k}") for k, v in zip(("q25", "q50", "q75"), q[c])], F.col(f"{c}__max"))])
     return _stack(row, cols, ["count", "mean", "std", "min", "q25", "q50", "q75", "max"])
 
 
-def _numeric_stats_row(features: DataFrame, cols: list[str], accuracy: int | None) -> DataFrame:
-    m = _moments(features, cols, accuracy=accuracy)
-    exprs = [F.count(F.lit(1)).alias("_rows")]
-    bounds = []
-    for c in cols:
-        q1, q3 = F.col(f"{c}__q")[0], F.col(f"{c}__q")[2]
-        bounds += [(q1 - (q3 - q1) * 1.5).alias(f"{c}__lo"), (q3 + (q3 - q1) * 1.5).alias(f"{c}__hi")]
-    bounds_row = m.select("*", *bounds)
-    # Second pass: count values outside the Tukey fences; the fences are one
-    # broadcast row, so this is a plain scan + global aggregate.
-    joined = attach_scalars(features.select(*cols), bounds_row.select(*[f"{c}__{s}" for c in cols for s in ("lo", "hi")]))
-    for c in cols:
-        x = F.col(c)
-        exprs.append(F.count_if((x < F.col(f"{c}__lo")) | (x > F.col(f"{c}__hi"))).alias(f"{c}__outliers"))
-    counts = joined.groupBy().agg(*exprs)
-    return attach_scalars(bounds_row, counts)
-
-
 def numeric_stats(features: DataFrame, cols: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
     """Extended statistics per numeric column (PRO7): mean, median, std, min,
     max, quartiles, IQR, bias-corrected skewness and excess kurtosis, CV %,
     Tukey fences and the count / % of rows outside them (% of all rows)."""
     cols = cols or NUMERIC_MEASURES
-    row = _numeric_stats_row(features, cols, accuracy)
+    # the quartiles come first, as numbers; one scan then takes the moments and counts what is outside the fences
+    quartiles = quantiles(features, cols, [0.25, 0.5, 0.75], accuracy)
+    fences = {c: (q[0] - (q[2] - q[0]) * 1.5, q[2] + (q[2] - q[0]) * 1.5) if q[0] is not None else (None, None) for c, q in quartiles.items()}
+    row = features.agg(F.count(F.lit(1)).alias("_rows"), *_moments(cols), *[
+        F.count_if((F.col(c) < _number(lo)) | (F.col(c) > _number(hi))).alias(f"{c}__outliers") for c, (lo, hi) in fences.items()])
     fields = ["mean", "median", "std", "min", "max", "q1", "q3", "iqr", "skewness", "kurtosis", "cv_pct",
               "lower_bound", "upper_bound", "outlier_count", "outlier_pct"]
     sel = []
     for c in cols:
-        q = F.col(f"{c}__q")
+        q1, q2, q3 = map(_number, quartiles[c])
+        lo, hi = map(_number, fences[c])
         skew, kurt = _bias_corrected(c)
-        sel += [_r(F.col(f"{c}__mean")).alias(f"{c}__mean"), _r(q[1]).alias(f"{c}__median"),
+        sel += [_r(F.col(f"{c}__mean")).alias(f"{c}__mean"), _r(q2).alias(f"{c}__median"),
                 _r(F.col(f"{c}__std")).alias(f"{c}__std"), F.col(f"{c}__min"), F.col(f"{c}__max"),
-                _r(q[0]).alias(f"{c}__q1"), _r(q[2]).alias(f"{c}__q3"), _r(q[2] - q[0]).alias(f"{c}__iqr"),
+                _r(q1).alias(f"{c}__q1"), _r(q3).alias(f"{c}__q3"), _r(q3 - q1).alias(f"{c}__iqr"),
                 _r(skew).alias(f"{c}__skewness"), _r(kurt).alias(f"{c}__kurtosis"),
                 _r(F.try_divide(F.col(f"{c}__std"), F.col(f"{c}__mean")) * 100).alias(f"{c}__cv_pct"),
-                _r(F.col(f"{c}__lo"), 6).alias(f"{c}__lower_bound"), _r(F.col(f"{c}__hi"), 6).alias(f"{c}__upper_bound"),
+                _r(lo, 6).alias(f"{c}__lower_bound"), _r(hi, 6).alias(f"{c}__upper_bound"),
                 F.col(f"{c}__outliers").cast("double").alias(f"{c}__outlier_count"),
                 _r(F.try_divide(F.col(f"{c}__outliers"), F.col("_rows")) * 100).alias(f"{c}__outlier_pct")]
     return _stack(row.select(*sel), cols, fields)
@@ -157,7 +142,7 @@ def distribution_labels(features: DataFrame, cols: list[str] | None = None, kurt
     The kurtosis compared with ``kurtosis_cut`` is the excess kurtosis (D7).
     """
     cols = cols or NUMERIC_MEASURES
-    m = _moments(features, cols, quantiles=False)
+    m = features.agg(*_moments(cols))
     sel = []
     for c in cols:
         skew, kurt = _bias_corrected(c)
@@ -326,19 +311,17 @@ def postcode_examples(features: DataFrame, n: int = 10) -> DataFrame:
 def impute_median(trips: DataFrame, cols: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
     """Fill numeric nulls with the column median (FIL4).
 
-    One global aggregate computes every median; the one-row result is
-    broadcast and applied with ``coalesce`` in a single projection.
+    The medians are selected first, by rank, when the frame is built; they fill
+    the nulls as constants of a single projection.
     """
     numeric = [f.name for f in trips.schema.fields
                if f.dataType.simpleString() in ("double", "int", "bigint", "float")]
     cols = cols or numeric
-    med = trips.agg(*[(F.median(c) if accuracy is None else F.percentile_approx(c, 0.5, accuracy)).alias(f"_m_{c}")
-                      for c in cols])
-    joined = attach_scalars(trips, med)
+    med = quantiles(trips, cols, [0.5], accuracy)
     # Integer columns come back as double, as a median need not be whole.
-    out = [(F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")).alias(c) if c in cols else F.col(c))
+    out = [(F.coalesce(F.col(c).cast("double"), _number(med[c][0])).alias(c) if c in cols else F.col(c))
            for c in trips.columns]
-    return joined.select(*out)
+    return trips.select(*out)
 
 
 # --- DuckDB oracle -----------------------------------------------------------------------------

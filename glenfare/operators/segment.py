@@ -18,6 +18,7 @@ from glenfare.functions import expr as X
 from glenfare.oracle import with_ctes
 from glenfare.plans import ml
 from glenfare.plans.joins import attach_scalars
+from glenfare.plans.quantiles import quantiles
 
 REPORT_FEATURES = ["distance_km", "duration_min", "fare_amount", "total_amount"]
 PATTERN_FEATURES = ["duration_min", "fare_amount", "distance_km"]
@@ -175,8 +176,8 @@ def price_clusters(features: DataFrame, n_init: int = 10) -> DataFrame:
     d = _clustering_data(features)
     c = ml.cluster(d.select(*PRICE_FEATURES), PRICE_FEATURES, 4, n_init)
     s = _summary(c, PRICE_FEATURES)
-    ref = c.agg(F.avg("price_per_km").alias("_avg"), F.percentile("price_per_km", 0.25).alias("_q25"))
-    s = attach_scalars(s, ref)
+    q25, = quantiles(d, ["price_per_km"], [0.25])["price_per_km"]
+    s = attach_scalars(s, c.agg(F.avg("price_per_km").alias("_avg"))).withColumn("_q25", F.lit(q25).cast("double"))
     p = F.col("_m_price_per_km")
     # Price labels.
     lab = F.when(p > F.col("_avg"), "Premium pricing").when(p < F.col("_q25"), "Budget pricing").otherwise("Standard pricing")
@@ -200,16 +201,15 @@ def comprehensive_clusters(features: DataFrame, n_init: int = 10) -> DataFrame:
     d = _clustering_data(features)
     c = ml.cluster(d.select(*COMPREHENSIVE_FEATURES), COMPREHENSIVE_FEATURES, 5, n_init)
     s = _summary(c, COMPREHENSIVE_FEATURES)
-    ref = c.agg(F.percentile("price_per_km", [0.25, 0.75]).alias("_q"))
-    s = attach_scalars(s, ref)
+    q1, q3 = (F.lit(v).cast("double") for v in quantiles(d, ["price_per_km"], [0.25, 0.75])["price_per_km"])
     dist, p = F.col("_m_distance_km"), F.col("_m_price_per_km")
     return s.withColumns({
         # Trip types by km, pricing types by quartile.
         "trip_type": F.when(dist > 15, "Long-distance trips").when(dist < 5, "Short-distance trips")
                       .otherwise("Medium-distance trips"),
-        "pricing_type": F.when(p > F.col("_q")[1], "Premium pricing").when(p < F.col("_q")[0], "Budget pricing")
+        "pricing_type": F.when(p > q3, "Premium pricing").when(p < q1, "Budget pricing")
                          .otherwise("Standard pricing"),
-    }).drop("_q", *[f"_m_{x}" for x in COMPREHENSIVE_FEATURES])
+    }).drop(*[f"_m_{x}" for x in COMPREHENSIVE_FEATURES])
 
 
 def fleet_temporal_clusters(features: DataFrame, n_init: int = 10) -> DataFrame:

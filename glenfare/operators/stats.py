@@ -2,11 +2,11 @@
 
 Patterns used throughout:
 
-* quantile fences are one wide global (or per-hour) aggregate, read back as
-  scalar subqueries for the counting pass: the trips are never shuffled;
-* correlation never materialises a row x column matrix: Pearson is one wide
-  aggregate of co-moments per column pair; Spearman ranks are computed over
-  *distinct values* (value -> count), so a value shared by a third of all
+* quantile fences are selected by rank (``plans/quantiles.py``) and the
+  counting pass reads them as constants: the trips are never shuffled;
+* correlation never materialises a row x column matrix: Pearson is one
+  aggregate of co-moments for each pattern of nulls; Spearman ranks are computed
+  over *distinct values* (value -> count), so a value shared by a third of all
   rows is one row of the rank table.
 """
 
@@ -15,12 +15,14 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glenfare.functions import expr as X
 from glenfare.oracle import with_ctes
 from glenfare.plans.joins import attach_scalars
+from glenfare.plans.quantiles import grouped_quantiles, quantiles
+from glenfare.plans.stages import stored
 from glenfare.sources.schema import NUMERIC_MEASURES
 
 
@@ -35,33 +37,39 @@ def _stack(row: DataFrame, cols: list[str], fields: list[str], key: str = "colum
 
 # --- IQR and z-score outliers (OUT1-OUT4) -------------------------------------------------------
 
-def _outlier_row(features: DataFrame, cols: list[str], accuracy: int | None) -> DataFrame:
-    """One row: per column quartiles, fences, mean, population std, and the
-    counts of IQR and z-score outliers (second pass over the fences)."""
-    first = features.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[e for c in cols for e in (
-            X.quantiles(F.col(c).cast("double"), [0.25, 0.75], accuracy).alias(f"{c}__q"),
-            F.avg(c).alias(f"{c}__mean"), F.stddev_pop(c).alias(f"{c}__sd"), F.count(c).alias(f"{c}__n"))])
-    fences = first.select("*", *[e for c in cols for e in (
-        (F.col(f"{c}__q")[0] - (F.col(f"{c}__q")[1] - F.col(f"{c}__q")[0]) * 1.5).alias(f"{c}__lo"),
-        (F.col(f"{c}__q")[1] + (F.col(f"{c}__q")[1] - F.col(f"{c}__q")[0]) * 1.5).alias(f"{c}__hi"))])
-    joined = attach_scalars(features.select(*cols), fences.drop("_rows", *[f"{c}__n" for c in cols],
-                                                               *[f"{c}__q" for c in cols]))
-    counts = joined.agg(*[e for c in cols for e in (
-        F.count_if((F.col(c) < F.col(f"{c}__lo")) | (F.col(c) > F.col(f"{c}__hi"))).alias(f"{c}__iqr_out"),
-        F.count_if(F.abs(F.try_divide(F.col(c) - F.col(f"{c}__mean"), F.col(f"{c}__sd"))) > 3).alias(f"{c}__z_out"))])
-    return attach_scalars(fences, counts)
+def _fences(features: DataFrame, cols: list[str], accuracy: int | None) -> dict[str, tuple]:
+    """Per column q1, q3 and the Tukey fences: numbers, which the counting pass reads as constants."""
+    q = quantiles(features, cols, [0.25, 0.75], accuracy)
+    return {c: (q1, q3, *((q1 - (q3 - q1) * 1.5, q3 + (q3 - q1) * 1.5) if q1 is not None else (None, None)))
+            for c, (q1, q3) in q.items()}
+
+
+def _double(v: float | None) -> Column:
+    return F.lit(v).cast("double")
+
+
+def _iqr_counts(cols: list[str], fences: dict[str, tuple]) -> list[Column]:
+    return [F.count_if((F.col(c) < _double(fences[c][2])) | (F.col(c) > _double(fences[c][3]))).alias(f"{c}__iqr_out") for c in cols]
+
+
+def _with_moments(features: DataFrame, cols: list[str]) -> DataFrame:
+    """``cols`` and beside each its mean and population std."""
+    first = features.agg(*[e for c in cols for e in (F.avg(c).alias(f"{c}__mean"), F.stddev_pop(c).alias(f"{c}__sd"))])
+    return attach_scalars(features.select(*cols), first)
+
+
+def _z_counts(cols: list[str]) -> list[Column]:
+    return [F.count_if(F.abs(F.try_divide(F.col(c) - F.col(f"{c}__mean"), F.col(f"{c}__sd"))) > 3).alias(f"{c}__z_out") for c in cols]
 
 
 def outliers_iqr(features: DataFrame, cols: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
     """Tukey-fence outliers per column, % of all rows; all-null columns skipped (OUT1)."""
     cols = cols or NUMERIC_MEASURES
-    row = _outlier_row(features, cols, accuracy)
+    fences = _fences(features, cols, accuracy)
+    row = features.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(f"{c}__n") for c in cols], *_iqr_counts(cols, fences))
     sel = [e for c in cols for e in (
         F.col(f"{c}__n").cast("bigint").alias(f"{c}__n"),
-        _r(F.col(f"{c}__q")[0]).alias(f"{c}__q1"), _r(F.col(f"{c}__q")[1]).alias(f"{c}__q3"),
-        _r(F.col(f"{c}__lo"), 6).alias(f"{c}__lower_bound"), _r(F.col(f"{c}__hi"), 6).alias(f"{c}__upper_bound"),
+        *[_r(_double(v), n).alias(f"{c}__{k}") for k, v, n in zip(("q1", "q3", "lower_bound", "upper_bound"), fences[c], (4, 4, 6, 6))],
         F.col(f"{c}__iqr_out").alias(f"{c}__outlier_count"),
         _r(F.try_divide(F.col(f"{c}__iqr_out"), F.col("_rows")) * 100).alias(f"{c}__outlier_pct"))]
     out = _stack(row.select(*sel), cols, ["n", "q1", "q3", "lower_bound", "upper_bound", "outlier_count", "outlier_pct"])
@@ -73,7 +81,10 @@ def outliers_zscore(features: DataFrame, cols: list[str] | None = None) -> DataF
 
     A constant column has no z-scores (division by zero gives null)."""
     cols = cols or NUMERIC_MEASURES
-    row = _outlier_row(features, cols, None)
+    row = _with_moments(features, cols).agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(f"{c}__n") for c in cols], *_z_counts(cols),
+        # the same in every row
+        *[F.max(f"{c}__{k}").alias(f"{c}__{k}") for c in cols for k in ("mean", "sd")])
     sel = [e for c in cols for e in (
         F.col(f"{c}__n").cast("bigint").alias(f"{c}__n"), _r(F.col(f"{c}__mean")).alias(f"{c}__mean"),
         _r(F.col(f"{c}__sd")).alias(f"{c}__std_pop"), F.col(f"{c}__z_out").alias(f"{c}__outlier_count"),
@@ -85,7 +96,8 @@ def outliers_zscore(features: DataFrame, cols: list[str] | None = None) -> DataF
 def outlier_quality(features: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Total IQR / z outliers, their rates and the data-quality label (OUT3)."""
     cols = cols or NUMERIC_MEASURES
-    row = _outlier_row(features, cols, None)
+    fences = _fences(features, cols, None)
+    row = _with_moments(features, cols).agg(F.count(F.lit(1)).alias("_rows"), *_iqr_counts(cols, fences), *_z_counts(cols))
     iqr = sum((F.col(f"{c}__iqr_out") for c in cols), F.lit(0))
     z = sum((F.col(f"{c}__z_out") for c in cols), F.lit(0))
     rate = F.try_divide(iqr, F.col("_rows"))
@@ -128,12 +140,15 @@ def box_stats(df: DataFrame, key: str, metrics: list[str], accuracy: int | None
     """Box-plot statistics of each metric per ``key`` value: quartiles,
     whiskers (most extreme values inside 1.5 IQR) and flier count.
 
-    Pass 1 is a grouped aggregate (one row per key); it is broadcast back
-    for pass 2.  Rows are never unpivoted, so no metric multiplies the data.
+    The quartiles of all keys and metrics are selected together, by rank, in
+    the same passes; what they give, one row per key, is joined back for the
+    counting pass.  Rows are unpivoted within the scan, never shuffled.
     """
     base = df.filter(F.col(key).isNotNull())
-    q = base.groupBy(key).agg(*[X.quantiles(F.col(m).cast("double"), [0.25, 0.5, 0.75], accuracy).alias(f"{m}__q")
-                                for m in metrics])
+    if accuracy is None:
+        q = stored(grouped_quantiles(base, metrics, [0.25, 0.5, 0.75], [key]), "box-quartiles")
+    else:
+        q = base.groupBy(key).agg(*[X.quantiles(F.col(m).cast("double"), [0.25, 0.5, 0.75], accuracy).alias(f"{m}__q") for m in metrics])
     fences = q.select(key, *[e for m in metrics for e in (
         F.col(f"{m}__q"),
         (F.col(f"{m}__q")[0] - (F.col(f"{m}__q")[2] - F.col(f"{m}__q")[0]) * 1.5).alias(f"{m}__lo"),
@@ -161,11 +176,9 @@ def hourly_box_stats(features: DataFrame) -> DataFrame:
 
 def metric_limits(features: DataFrame, accuracy: int | None = None) -> DataFrame:
     """1st / 99th percentile display limits of each box metric (OUT5)."""
-    row = features.agg(*[X.quantiles(F.col(m).cast("double"), [0.01, 0.99], accuracy).alias(f"{m}__q")
-                         for m in BOX_METRICS])
-    sel = [e for m in BOX_METRICS for e in (_r(F.col(f"{m}__q")[0]).alias(f"{m}__p01"),
-                                             _r(F.col(f"{m}__q")[1]).alias(f"{m}__p99"))]
-    return _stack(row.select(*sel), BOX_METRICS, ["p01", "p99"], key="metric")
+    q = quantiles(features, BOX_METRICS, [0.01, 0.99], accuracy)
+    row = features.sparkSession.range(1).select(*[_r(_double(v)).alias(f"{m}__{k}") for m in BOX_METRICS for k, v in zip(("p01", "p99"), q[m])])
+    return _stack(row, BOX_METRICS, ["p01", "p99"], key="metric")
 
 
 # --- equal-width histograms (OUT6) -------------------------------------------------------------
@@ -210,76 +223,120 @@ def _pairs(cols):
     return list(combinations(cols, 2))
 
 
-def _matrix(pair_r: DataFrame, diagonal: DataFrame) -> DataFrame:
-    """(var1, var2, r) of the pairs, both ways round, and of the diagonal."""
-    return pair_r.unionByName(pair_r.select(F.col("var2").alias("var1"), F.col("var1").alias("var2"), "r")) \
-        .unionByName(diagonal)
+def _null_mask(cols: list[str]) -> Column:
+    """Bit i is set where column i has a value."""
+    return sum((F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(cols)), F.lit(0))
 
 
-def _diagonal(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(c, c, 1): null for a column with fewer than two different values."""
-    row = df.agg(*[F.when(F.min(c) < F.max(c), 1.0).alias(f"d{i}") for i, c in enumerate(cols)])
-    parts = ", ".join(f"'{c}', '{c}', d{i}" for i, c in enumerate(cols))
-    return row.selectExpr(f"stack({len(cols)}, {parts}) AS (var1, var2, r)")
+def _centres(df: DataFrame, cols: list[str], rows: int = 1000) -> dict[str, float]:
+    """A value near each column's own, from its first rows.  Sums are taken of what lies
+    above it, so that they do not cancel; no result depends on it otherwise."""
+    head = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).limit(rows).collect()
+    seen = {c: sorted(r[c] for r in head if r[c] is not None and math.isfinite(r[c])) for c in cols}
+    return {c: v[len(v) // 2] if v else 0.0 for c, v in seen.items()}
 
 
-def correlation_pearson(features: DataFrame, cols: list[str] | None = None, digits: int = 6) -> DataFrame:
-    """Pearson matrix, pairwise-complete rows, null where undefined (COR1).
+def _comoments(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(i, j, n, sx, sy, sxx, syy, sxy, varies) of each pair of columns i <= j over its complete rows.
+
+    One scan adds up, for each pattern of nulls, the centred values and their
+    products; a pattern's rows are complete for all pairs that it holds, and patterns (at most
+    one for each set of columns) are added up pair by pair."""
+    centre = _centres(df, cols)
+    k = range(len(cols))
+    base = df.select(_null_mask(cols).alias("_mask"), *[(F.col(c).cast("double") - F.lit(centre[c])).alias(f"x{i}") for i, c in enumerate(cols)])
+    pairs = [(i, j) for i in k for j in k if i <= j]
+    sums = base.groupBy("_mask").agg(
+        F.count(F.lit(1)).alias("n"), *[e for i in k for e in (F.sum(f"x{i}").alias(f"s{i}"), F.min(f"x{i}").alias(f"lo{i}"), F.max(f"x{i}").alias(f"hi{i}"))],
+        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs])
+    parts = ", ".join(f"{i}, {j}, s{i}, s{j}, p{i}_{i}, p{j}_{j}, p{i}_{j}, lo{i}, hi{i}, lo{j}, hi{j}" for i, j in pairs)
+    each = sums.selectExpr("_mask", "n", f"stack({len(pairs)}, {parts}) AS (i, j, sx, sy, sxx, syy, sxy, lox, hix, loy, hiy)")
+    both = F.expr("shiftleft(1, i) | shiftleft(1, j)")
+    complete = each.filter(F.col("_mask").bitwiseAND(both) == both)
+    return complete.groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")],
+        ((F.min("lox") < F.max("hix")) & (F.min("loy") < F.max("hiy"))).alias("varies"))
+
+
+def _names(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(i, j, var1, var2) for every pair of columns, both ways round, and the diagonal."""
+    rows = ", ".join(f"({min(i, j)}, {max(i, j)}, '{a}', '{b}')" for i, a in enumerate(cols) for j, b in enumerate(cols))
+    return df.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(i, j, var1, var2)")
 
-    One wide aggregate of co-moments about running means, which merge without
-    cancelling; a pair's deviations are taken over its complete rows."""
+
+def correlation_pearson(features: DataFrame, cols: list[str] | None = None, digits: int = 6) -> DataFrame:
+    """Pearson matrix, pairwise-complete rows, null where undefined (COR1)."""
     cols = cols or NUMERIC_MEASURES
-    aggs, rs = [], []
-    for i, (a, b) in enumerate(_pairs(cols)):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-        aggs += [F.covar_pop(x, y).alias(f"c{i}"), F.stddev_pop(x).alias(f"sx{i}"), F.stddev_pop(y).alias(f"sy{i}")]
-        rs.append(F.try_divide(F.col(f"c{i}"), F.col(f"sx{i}") * F.col(f"sy{i}")).alias(f"p{i}"))
-    row = features.agg(*aggs).select(*rs)
-    parts = ", ".join(f"'{a}', '{b}', p{i}" for i, (a, b) in enumerate(_pairs(cols)))
-    long = row.selectExpr(f"stack({len(_pairs(cols))}, {parts}) AS (var1, var2, r)")
-    return _matrix(long.withColumn("r", _r(F.col("r"), digits)), _diagonal(features, cols))
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    vx, vy = F.col("sxx") - sx * sx / n, F.col("syy") - sy * sy / n
+    r = F.try_divide(F.col("sxy") - sx * sy / n, F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0))))
+    pairs = _comoments(features, cols).select("i", "j", F.when(F.col("varies"), F.when(F.col("i") == F.col("j"), 1.0).otherwise(r)).alias("r"))
+    return _names(features, cols).join(pairs, ["i", "j"], "left").select("var1", "var2", _r(F.col("r"), digits).alias("r"))
+
+
+def _rank_sets(df: DataFrame, cols: list[str]) -> tuple[list[frozenset], dict[tuple[int, int], int]]:
+    """The different sets of null patterns that some pair of columns is complete in, and each pair's set."""
+    masks = [r["m"] for r in df.select(_null_mask(cols).alias("m")).distinct().collect()]  # at most one for each set of columns
+    sets: list[frozenset] = []
+    of = {}
+    for i, j in combinations(range(len(cols)), 2):
+        both = 1 << i | 1 << j
+        s = frozenset(m for m in masks if m & both == both)
+        if s not in sets:
+            sets.append(s)
+        of[i, j] = sets.index(s)
+    return sets, of
+
+
+def _average_ranks(df: DataFrame, cols: list[str], sets: list[frozenset]) -> DataFrame:
+    """(c, v, r): the average rank of each value of each column within each set of patterns, centred.
+
+    Values with their counts are dealt to ranges; a window partition is a range of one
+    column, and the counts of the ranges below are added as an offset."""
+    parts = ", ".join(f"{i}, CAST(`{c}` AS DOUBLE)" for i, c in enumerate(cols))
+    long = df.select(_null_mask(cols).alias("m"), *cols).selectExpr("m", f"stack({len(cols)}, {parts}) AS (c, v)").filter("v IS NOT NULL")
+    k = range(len(sets))
+    counts = long.groupBy("c", "v").agg(*[F.count_if(F.col("m").isin(*sets[s])).alias(f"n{s}") for s in k])
+    ranged = stored(counts.repartitionByRange("c", "v").withColumn("part", F.spark_partition_id()), "spearman-values")
+    run = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = ranged.groupBy("c", "part").agg(*[F.sum(f"n{s}").alias(f"t{s}") for s in k])
+    below = sums.select("c", "part", *[(F.sum(f"t{s}").over(run) - F.col(f"t{s}")).alias(f"b{s}") for s in k],
+                        *[F.sum(f"t{s}").over(Window.partitionBy("c")).alias(f"all{s}") for s in k])
+    w = Window.partitionBy("c", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = ranged.select("c", "part", "v", *[f"n{s}" for s in k], *[F.sum(f"n{s}").over(w).alias(f"u{s}") for s in k])
+    # the mean of all ranks is (all + 1) / 2
+    ranks = [(F.col(f"b{s}") + F.col(f"u{s}") - F.col(f"n{s}") / 2 - F.col(f"all{s}") / 2).alias(f"r{s}") for s in k]
+    return stored(inside.join(below, ["c", "part"]).select("c", "v", *ranks), "spearman-ranks")
 
 
 def correlation_spearman(features: DataFrame, cols: list[str] | None = None, digits: int = 6) -> DataFrame:
     """Spearman matrix with average ranks over each pair's complete rows (COR2).
 
-    1. one scan unpivots the pairs: (pair, x, y) -> count, combined map-side,
-       so the shuffle carries distinct (x, y) combinations, not rows;
-    2. for each pair and side, the distinct values with their counts get an
-       average rank = rows below + (ties + 1) / 2 from a running sum over the
-       distinct values of that pair (one window partition per pair and side,
-       sized by distinct values, not rows);
-    3. the pair table is joined to both rank tables and Pearson is taken
-       over the ranks, weighted by the counts.
-    """
+    Ranks differ between pairs only through the rows that a pair is complete in, so
+    they are made for each such set of rows (one, where there are no nulls).  A row looks its
+    ranks up by value: small rank tables are broadcast, large ones joined by
+    shuffles whose hot values Spark splits.  One scan then adds up the products."""
     cols = cols or NUMERIC_MEASURES
-    pairs = _pairs(cols)
-    parts = ", ".join(f"{i}, CAST(`{a}` AS DOUBLE), CAST(`{b}` AS DOUBLE)" for i, (a, b) in enumerate(pairs))
-    long = (features.selectExpr(f"stack({len(pairs)}, {parts}) AS (pair, x, y)")
-            .filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
-    pxy = long.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-
-    def ranks(side: str) -> DataFrame:
-        v = pxy.groupBy("pair", F.col(side).alias("v")).agg(F.sum("n").alias("c"))
-        w = Window.partitionBy("pair").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return v.select("pair", F.col("v").alias(side),
-                        (F.sum("c").over(w) - F.col("c") + (F.col("c") + 1) / 2).alias(f"r{side}"))
-
-    j = pxy.join(ranks("x"), ["pair", "x"]).join(ranks("y"), ["pair", "y"])
-    n, rx, ry = F.col("n"), F.col("rx"), F.col("ry")
-    s = j.groupBy("pair").agg(F.sum(n).alias("N"), F.sum(n * rx).alias("sx"), F.sum(n * ry).alias("sy"),
-                              F.sum(n * rx * rx).alias("sxx"), F.sum(n * ry * ry).alias("syy"),
-                              F.sum(n * rx * ry).alias("sxy"))
-    N = F.col("N")
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / N
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / N
-    vy = F.col("syy") - F.col("sy") * F.col("sy") / N
-    names = features.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)],
-                                                  "pair int, var1 string, var2 string")
-    r = s.select("pair", F.try_divide(cov, F.sqrt(F.when((vx > 0) & (vy > 0), vx * vy))).alias("r"))
-    long_r = names.join(r, "pair", "left").select("var1", "var2", _r(F.col("r"), digits).alias("r"))
-    return _matrix(long_r, _diagonal(features, cols))
+    sets, of = _rank_sets(features, cols)
+    rows = features.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    if of:
+        ranks = _average_ranks(features, cols, sets)
+        for i in range(len(cols)):
+            needed = sorted({s for pair, s in of.items() if i in pair})
+            table = ranks.filter(F.col("c") == i).select(F.col("v").alias(f"x{i}"), *[F.col(f"r{s}").alias(f"r{i}_{s}") for s in needed])
+            rows = rows.join(table, f"x{i}", "left")
+    both = {p: F.col(f"x{p[0]}").isNotNull() & F.col(f"x{p[1]}").isNotNull() for p in of}
+
+    def total(p, a, b):
+        return F.sum(F.when(both[p], F.col(f"r{a}_{of[p]}") * F.col(f"r{b}_{of[p]}")))
+    # a column's squares are the same for all pairs of a set; both members of a pair are complete in it
+    squares = {(a, of[p]): p for p in of for a in p}
+    row = rows.agg(*[total(p, *p).alias(f"p{p[0]}_{p[1]}") for p in of], *[total(p, a, a).alias(f"q{a}_{s}") for (a, s), p in squares.items()],
+                   *[F.when(F.min(f"x{i}") < F.max(f"x{i}"), 1.0).alias(f"d{i}") for i in range(len(cols))])
+    values = [f"{i}, {j}, try_divide(p{i}_{j}, sqrt(q{i}_{s}) * sqrt(q{j}_{s}))" for (i, j), s in of.items()]
+    values += [f"{i}, {i}, d{i}" for i in range(len(cols))]
+    long = row.selectExpr(f"stack({len(values)}, {', '.join(values)}) AS (i, j, r)")
+    return _names(features, cols).join(long, ["i", "j"], "left").select("var1", "var2", _r(F.col("r"), digits).alias("r"))
 
 
 # Business tags of strong pairs (unordered column pairs).

@@ -21,6 +21,8 @@ stored in the shared folder, as groups have no bound.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,35 +33,39 @@ from glenfare.plans.stages import stored
 SHIFTS = (48, 32, 16, 0)
 
 
-def order_key(x: Column) -> Column:
-    """The bits of a double as a long that sorts like it; both zeros have key 0.
+def with_order_key(df: DataFrame, x: str, key: str) -> DataFrame:
+    """``df`` with ``key``, the bits of the double ``x`` as a long that sorts like it; both zeros have key 0.
 
-    Exponent and fraction are taken apart by powers of two, which are exact, as is
-    every product with them; the estimate of the exponent is put right by comparison."""
-    size = F.abs(x)
+    x is divided by a power of two near its size, which is exact; the logarithm that finds the power may be
+    one off, which the quotient shows.  Each step is a projection of its own, so that none is computed twice."""
+    size, g, q = F.abs(F.col(x)), F.col(f"{key}_g"), F.col(f"{key}_q")
     guess = F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1022)), F.lit(1023)).cast("int")
-    two = F.lit(2.0)
-    e = guess - (size < F.pow(two, guess)).cast("int")
-    e = e + ((e < 1023) & (size >= F.pow(two, e + 1))).cast("int")
-    normal = (e + 1023).cast("long") * F.lit(1 << 52) + ((size / F.pow(two, e) - 1) * F.lit(2.0 ** 52)).cast("long")
-    tiny = (size * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("long")  # a subnormal is its fraction
-    bits = (F.when(size == 0, F.lit(0).cast("long")).when(size == F.lit(float("inf")), F.lit(0x7FF << 52))
-            .when(size < F.lit(2.0 ** -1022), tiny).otherwise(normal))
-    return F.when(x < 0, -bits).otherwise(bits)
-
+    steps = df.withColumn(f"{key}_g", guess).withColumn(f"{key}_q", size / F.pow(F.lit(2.0), g))
 
-def _long(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
-    """(by, _c, _x, _k): one row for each value that is not null or NaN."""
-    parts = ", ".join(f"{i}, CAST(`{c}` AS DOUBLE)" for i, c in enumerate(cols))
-    rows = df.select(*by, *{*cols} - {*by}).selectExpr(*[f"`{b}`" for b in by], f"stack({len(cols)}, {parts}) AS (_c, _x)")
+    def bits(exponent: Column, quotient: Column) -> Column:
+        return (exponent + 1023).cast("long") * F.lit(1 << 52) + ((quotient - 1) * F.lit(2.0 ** 52)).cast("long")
+    tiny = (size * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("long")  # a subnormal is its fraction
+    positive = (F.when(size == 0, F.lit(0).cast("long")).when(size == F.lit(float("inf")), F.lit(0x7FF << 52))
+                .when(size < F.lit(2.0 ** -1022), tiny).when(q < 1, bits(g - 1, q * 2)).when(q >= 2, bits(g + 1, q / 2))
+                .otherwise(bits(g, q)))
+    steps = steps.withColumn(f"{key}_p", positive)
+    # never null: a check for nulls would be pushed below these steps, with all of them written out in it
+    signed = F.coalesce(F.when(F.col(x) < 0, -F.col(f"{key}_p")).otherwise(F.col(f"{key}_p")), F.lit(0).cast("long"))
+    return steps.withColumn(key, signed).drop(f"{key}_g", f"{key}_q", f"{key}_p")
+
+
+def _long(df: DataFrame, cols: dict[int, str], by: list[str], within: dict[int, list[tuple]] | None = None) -> DataFrame:
+    """(by, _c, _x, _k): one row for each value that is not null or NaN; ``_c`` is the column's number.
+    ``within``: the ranges of values that are read; a bucket is a range, so others need no key."""
+    parts = ", ".join(f"{i}, CAST(`{c}` AS DOUBLE)" for i, c in cols.items())
+    rows = df.select(*by, *{*cols.values()} - {*by}).selectExpr(*[f"`{b}`" for b in by], f"stack({len(cols)}, {parts}) AS (_c, _x)")
     rows = rows.filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
     for b in by:
         rows = rows.filter(F.col(b).isNotNull())
-    return rows.withColumn("_k", order_key(F.col("_x")))
-
-
-def _keep(df: DataFrame, by: list[str]) -> DataFrame:
-    return stored(df, "ranks") if by else df.sparkSession.createDataFrame(df.collect(), df.schema)
+    if within is not None:
+        ranges = [(F.col("_c") == i) & F.col("_x").between(lo, hi) for i, some in within.items() for lo, hi in some]
+        rows = rows.filter(reduce(or_, ranges))
+    return with_order_key(rows, "_x", "_k")
 
 
 def _ranks(n: Column, probs: list[float]) -> Column:
@@ -68,46 +74,70 @@ def _ranks(n: Column, probs: list[float]) -> Column:
     return F.array_distinct(F.array(*[f(p).cast("long") for p in places for f in (F.floor, F.ceil)]))
 
 
-def select_ranks(df: DataFrame, cols: list[str], probs: list[float], by: list[str]) -> DataFrame:
-    """(by, _c, _n, _rank, _value): the values of the ranks that the quantiles need."""
-    rows = _long(df, cols, by)
-    own = [*by, "_c"]
-    found, open_, before = [], None, None
+def _hits(rows: DataFrame, shift: int, wanted: DataFrame | None, above: int | None, probs: list[float], by: list[str]) -> DataFrame:
+    """The buckets of a pass that hold wanted ranks: (by, _c, _n, _b, _base, _last, _lo, _hi, _ranks).
+
+    ``wanted``: the buckets of the pass before (their keys shifted by ``above``) that are read again."""
+    own, bucket = [*by, "_c"], F.shiftright("_k", shift).alias("_b")
+    facts = [F.count(F.lit(1)).alias("_m"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")]
+    if wanted is None:
+        counts = rows.groupBy(*own, bucket).agg(*facts)
+        counts = counts.withColumns({"_n": F.sum("_m").over(Window.partitionBy(*own)), "_base": F.lit(0).cast("long")})
+        counts = counts.withColumn("_ranks", _ranks(F.col("_n"), probs))
+        run = Window.partitionBy(*own)
+    else:
+        inside = rows.withColumn("_parent", F.shiftright("_k", above)).join(wanted, [*own, "_parent"])
+        counts = inside.groupBy(*own, "_parent", bucket).agg(*facts, *[F.first(c).alias(c) for c in ("_n", "_base", "_ranks")])
+        run = Window.partitionBy(*own, "_parent")
+    run = run.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumn("_first", F.col("_base") + F.sum("_m").over(run) - F.col("_m"))
+    last = F.col("_first") + F.col("_m") - 1
+    mine = F.filter("_ranks", lambda r: (r >= F.col("_first")) & (r <= last))
+    return placed.select(*own, "_n", "_b", F.col("_first").alias("_base"), last.alias("_last"), "_lo", "_hi", mine.alias("_ranks")) \
+        .filter(F.size("_ranks") > 0)
+
+
+def select_ranks(df: DataFrame, cols: list[str], probs: list[float]) -> tuple[dict[int, int], dict[tuple[int, int], float]]:
+    """The number of values of each column, and the values of the ranks that its quantiles need."""
+    size: dict[int, int] = {}
+    value: dict[tuple[int, int], float] = {}
+    left, within, wanted, above = dict(enumerate(cols)), None, None, None
     for shift in SHIFTS:
-        bucket = F.shiftright("_k", shift).alias("_b")
-        if open_ is None:
-            counts = rows.groupBy(*own, bucket).agg(F.count(F.lit(1)).alias("_m"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-            counts = counts.withColumns({"_n": F.sum("_m").over(Window.partitionBy(*own)), "_base": F.lit(0).cast("long")})
-            counts = counts.withColumn("_ranks", _ranks(F.col("_n"), probs))
-            run = Window.partitionBy(*own)
-        else:
-            # few rows, of known size: Spark sends them to the scan
-            wanted = open_.withColumnRenamed("_b", "_parent").select(*own, "_parent", "_n", "_base", "_ranks")
-            inside = rows.withColumn("_parent", F.shiftright("_k", before)).join(wanted, [*own, "_parent"])
-            counts = inside.groupBy(*own, "_parent", bucket).agg(
-                F.count(F.lit(1)).alias("_m"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.first("_n").alias("_n"),
-                F.first("_base").alias("_base"), F.first("_ranks").alias("_ranks"))
-            run = Window.partitionBy(*own, "_parent")
-        run = run.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        placed = counts.withColumn("_first", F.col("_base") + F.sum("_m").over(run) - F.col("_m"))
-        last = F.col("_first") + F.col("_m") - 1
-        mine = F.filter("_ranks", lambda r: (r >= F.col("_first")) & (r <= last))
-        hits = placed.withColumn("_ranks", mine).filter(F.size("_ranks") > 0)
-        hits = hits.select(*own, "_n", "_b", F.col("_first").alias("_base"), (F.col("_first") + F.col("_m") - 1).alias("_last"),
-                           "_lo", "_hi", "_ranks")
-        hits = _keep(hits, by)
+        again, ranges = [], {}
+        for h in _hits(_long(df, left, [], within), shift, wanted, above, probs, []).collect():
+            size[h["_c"]] = h["_n"]
+            for r in h["_ranks"]:
+                if r == h["_base"] or h["_lo"] == h["_hi"]:
+                    value[h["_c"], r] = h["_lo"]
+                elif r == h["_last"]:
+                    value[h["_c"], r] = h["_hi"]
+            inner = [r for r in h["_ranks"] if (h["_c"], r) not in value]
+            if inner:
+                ranges.setdefault(h["_c"], []).append((h["_lo"], h["_hi"]))
+                again.append(f"({h['_c']}, {h['_b']}L, {h['_n']}L, {h['_base']}L, array({', '.join(f'{r}L' for r in inner)}))")
+        if not again:
+            break
+        left, within, above = {i: left[i] for i in ranges}, ranges, shift
+        wanted = df.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(again)} AS t(_c, _parent, _n, _base, _ranks)")
+    return size, value
+
+
+def select_grouped_ranks(df: DataFrame, cols: list[str], probs: list[float], by: list[str]) -> DataFrame:
+    """(by, _c, _n, _rank, _value): the values of the ranks that the groups' quantiles need."""
+    rows, found, wanted, above = _long(df, dict(enumerate(cols)), by), None, None, None
+    for shift in SHIFTS:
+        hits = stored(_hits(rows, shift, wanted, above, probs, by), "ranks")
         one = F.col("_lo") == F.col("_hi")
-        edge = F.when(one | (F.col("_rank") == F.col("_base")), F.col("_lo")).when(F.col("_rank") == F.col("_last"), F.col("_hi"))
-        each = hits.select("*", F.explode("_ranks").alias("_rank")).withColumn("_value", edge)
-        found.append(each.filter(F.col("_value").isNotNull()).select(*own, "_n", "_rank", "_value"))
+        at = F.when(one | (F.col("_rank") == F.col("_base")), F.col("_lo")).when(F.col("_rank") == F.col("_last"), F.col("_hi"))
+        each = hits.select("*", F.explode("_ranks").alias("_rank")).withColumn("_value", at).filter(F.col("_value").isNotNull())
+        each = each.select(*by, "_c", "_n", "_rank", "_value")
+        found = each if found is None else found.unionByName(each)
         inner = F.filter("_ranks", lambda r: (r != F.col("_base")) & (r != F.col("_last")))
-        open_, before = hits.withColumn("_ranks", inner).filter(~one & (F.size("_ranks") > 0)), shift
-        if shift and open_.isEmpty():
+        again = hits.withColumn("_ranks", inner).filter(~one & (F.size("_ranks") > 0))
+        if not shift or again.isEmpty():
             break
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        wanted, above = again.withColumnRenamed("_b", "_parent").select(*by, "_c", "_parent", "_n", "_base", "_ranks"), shift
+    return found
 
 
 def _interpolated(probs: list[float]) -> Column:
@@ -126,7 +156,7 @@ def grouped_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: li
     """One row for each group: the ``by`` columns and an array of quantiles ``{col}__q`` for each column,
     null where a group has no value of it; rows with a null in ``by`` are left out."""
     at = F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_at")
-    q = select_ranks(df, cols, probs, by).groupBy(*by, "_c", "_n").agg(at).select(*by, "_c", _interpolated(probs).alias("_q"))
+    q = select_grouped_ranks(df, cols, probs, by).groupBy(*by, "_c", "_n").agg(at).select(*by, "_c", _interpolated(probs).alias("_q"))
     return q.groupBy(*by).agg(*[F.max(F.when(F.col("_c") == i, F.col("_q"))).alias(f"{c}__q") for i, c in enumerate(cols)])
 
 
@@ -137,9 +167,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int
         row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, accuracy).alias(c) for c in cols]).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in cols}
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    rows = select_ranks(df, cols, probs, []).collect()  # at most two for each column and probability
-    at = {(r["_c"], r["_rank"]): r["_value"] for r in rows}
-    n = {r["_c"]: r["_n"] for r in rows}
+    n, at = select_ranks(df, cols, probs)
     for i, c in enumerate(cols):
         for k, p in enumerate(probs if i in n else []):
             place = (n[i] - 1) * float(p)
