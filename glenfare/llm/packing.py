@@ -21,6 +21,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -38,7 +39,7 @@ from glenfare.llm.common import ship, small_batches, stored, table
 WINDOW, OPEN_WINDOWS, END_ID = 4096, 64, 2
 #: Tasks whose leftovers one task of the next level merges.
 FAN_IN = 16
-#: Distinct words whose ids a worker remembers, before it starts anew.
+#: Distinct words and runs whose ids a worker remembers, before it starts anew.
 CACHE_CHUNKS = 400_000
 
 #: A piece of a sequence, and (with ids and its window) one of an open window.
@@ -48,8 +49,10 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.
                    ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
                    ("task", pa.int64()), ("open_window", pa.int32()), ("ids", pa.binary())])
 
-#: In lower-case Latin words without apostrophes: runs of letters, of digits and of other characters.
+#: In lower-case Latin text without apostrophes: runs of letters, of digits and of other characters.
 RUNS = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
+#: Runs of ASCII marks but the apostrophe; symbols that could stand beside them in a run.
+MARKS, SYMBOLS = re.compile(r"[!-&(-/:-@\[-`{-~]+"), re.compile("[\xa1-\xbf\xd7\xf7]")
 WORDS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 LATIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\u024f]*\Z")
 
@@ -58,17 +61,18 @@ _encoders: dict[int, "ChunkEncoder"] = {}  # one for each worker process
 
 class ChunkEncoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes, put together from
-    the ids of words, which are remembered.
+    the ids of words or runs, which are remembered.
 
-    The tokenizer joins nothing across white space.  In plain Latin words it also
-    cuts between letters, digits and other characters, so such words share the ids of
-    their runs.  A run of letters has exactly one token with the word-end mark, its last, which
+    The tokenizer joins nothing across white space.  In plain Latin text it also
+    cuts between letters, digits and other characters, so such text is put together from
+    the ids of its runs.  A run of letters has exactly one token with the word-end mark, its last, which
     tells the ids of many runs apart when they are encoded as one text."""
 
     JOINED = 256
 
     def __init__(self, data: bytes):
         from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only wait for each other
         self.tokenizer = Tokenizer.from_str(data.decode())
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -92,10 +96,10 @@ class ChunkEncoder:
         for r, e in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False)):
             self.ids[r] = array("I", e.ids).tobytes()
 
-    def learn(self, words: set[str], plain: bool) -> None:
-        """Remember new words; ``plain``: they are lower-case Latin."""
-        runs = {w: RUNS.findall(w) if plain and "'" not in w else [w] for w in words if not w.isalpha()}
-        new = {r for rs in runs.values() for r in rs}.union(w for w in words if w not in runs)
+    def learn(self, words: set[str]) -> None:
+        """Remember new words, with the runs that make up the plain ones."""
+        runs = {w: RUNS.findall(w) for w in words if not w.isalpha() and "'" not in w and "<|" not in w and w == w.lower() and LATIN.match(w)}
+        new = {r for rs in runs.values() for r in rs}.union(words.difference(runs))
         self.learn_runs(list(new.difference(self.ids)))
         get = self.ids.__getitem__
         for w, rs in runs.items():
@@ -104,14 +108,22 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.ids) > CACHE_CHUNKS:
             self.ids.clear()
-        plain = [bool(LATIN.match(t)) and "<|" not in t for t in texts]
-        cut = [t.lower().split() if p else WORDS.findall(t) for t, p in zip(texts, plain)]
-        for kind in (True, False):
-            words = set().union(*[ws for ws, p in zip(cut, plain) if p is kind]).difference(self.ids)
-            if words:
-                self.learn(words, kind)
-        get = self.ids.__getitem__
-        return [b"".join(map(get, ws)) for ws in cut]
+        cut, out, get = [], [], self.ids.__getitem__
+        for t in texts:
+            if not LATIN.match(t) or "<|" in t:
+                cut.append(WORDS.findall(t))
+            elif "'" in t or not t.isascii() and SYMBOLS.search(t):
+                cut.append(t.lower().split())
+            else:  # fewer different words without their punctuation
+                cut.append(MARKS.sub(r" \g<0> ", t.lower()).split())
+            try:
+                out.append(b"".join(map(get, cut[-1])))
+            except KeyError:  # something new
+                out.append(None)
+        new = set().union(*[c for c, ids in zip(cut, out) if ids is None]).difference(self.ids)
+        if new:
+            self.learn(new)
+        return [b"".join(map(get, c)) if ids is None else ids for c, ids in zip(cut, out)]
 
 
 def encoder(data: bytes) -> ChunkEncoder:
