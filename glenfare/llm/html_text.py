@@ -9,6 +9,11 @@ edges of the page count as bad.  Inside an article (or main) element only good
 blocks and its own edges, which are good, are neighbours, so a share bar does not
 take the paragraph beside it along.
 
+Class words about a page's layout (sidebar, menu and the like) can stand on a
+wrapper around the article: where no other article or main element is to be seen, one inside such a
+wrapper is good all the same.  A page without articles whose words are hardly ever stop words is in a
+language that STOP_WORDS does not serve: there, long blocks with few links are good.
+
 A page is one row and needs no other, so this is one map over the table.
 
 Raw text (scripts, styles and the like) ends at its own end tag alone, whatever
@@ -25,6 +30,7 @@ ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -36,6 +42,8 @@ from glenfare.llm.common import ship, small_batches, table
 
 #: Parameters of the first pass.
 MAX_LINK_DENSITY, MIN_STOP_DENSITY, MIN_WORDS = 0.4, 0.12, 10
+#: A page with a smaller share of stop words is in another language; there, characters that count as MIN_WORDS words.
+MAX_FOREIGN, MIN_CHARS = 0.02, 60
 
 #: Frequent function words of the languages served.
 STOP_WORDS = frozenset("""
@@ -69,6 +77,10 @@ MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?
                    r"(?=$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
 
+#: Class words about a page's layout, which can also stand on a wrapper around its article.
+LAYOUT = re.compile(r"(?:banner|cookies?|consent|disclaimer|footer|gdpr|masthead|menu|modal|nav\w*|notices?|pager|pagination|popup|"
+                    r"share|sharing|sidebar|side-bar|skip|social|subscribe|tags|toolbar|widget\w*)\Z", re.I)
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)"
                  r"|<[/a-zA-Z][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -76,31 +88,41 @@ SPACE = re.compile(r"\s+")
 END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in SKIPPED}
 
 
-def marked(tag: str, attributes: str) -> bool:
-    """The start tag opens boilerplate, by its name, class, id, role or because it is hidden."""
+def marked(tag: str, attributes: str) -> bool | str:
+    """The start tag opens boilerplate, by its name, class, id, role or because it is hidden; "layout"
+    where only class words about the page's layout say so."""
     if tag in BOILERPLATE:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
+    found: bool | str = False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and MARKS.search(value):
-            return True
+        if name in ("class", "id") and (words := MARKS.findall(value)):
+            if not all(LAYOUT.match(w.strip(" \t\n\r\f_-")) for w in words):
+                return True
+            found = "layout"
         if name == "role" and value.lower() in ROLES or name == "hidden" or \
                 name == "aria-hidden" and value.lower() == "true" or \
                 name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-    return False
+    return found
 
 
 class Blocks:
-    """The blocks of a page: [text, characters of link text, bad, inside an article]."""
+    """The blocks of a page: [text, characters of link text, bad, inside an article].
 
-    def __init__(self, html: str):
+    ``open_layout``: an article or main element is good though class words of layout
+    mark a wrapper around it.  ``wrapped`` tells that there is one."""
+
+    def __init__(self, html: str, open_layout: bool = False):
+        self.open_layout, self.wrapped = open_layout, False
         self.blocks: list[tuple[str, int, bool, int]] = []
         self.parts: list[str] = []
         self.linked = 0
-        self.stack: list[tuple[str, bool]] = []  # open elements: name, boilerplate
+        self.stack: list[tuple[str, bool | str, list]] = []  # open elements: name, boilerplate, what it suspends
+        self.open: Counter[str] = Counter()  # how many of each name
+        self.layout = 0  # open elements that are bad by layout words
         self.bad = self.article = self.links = self.articles = 0
         at, next_at, skip, head = 0, 0, None, False
         unclosed: set[str] = set()  # names without a further end tag
@@ -174,17 +196,28 @@ class Blocks:
         if tag in BLOCKS or bad:
             if bad and tag not in BLOCKS:
                 self.flush()
-            self.stack.append((tag, bad))
-            self.bad += bad
+            held = []
             if tag in ("article", "main"):
+                if self.layout and self.layout == self.bad:
+                    self.wrapped = True
+                    if self.open_layout:
+                        held, self.bad, self.layout = [self.bad, self.layout], 0, 0
                 self.articles += self.article == 0
                 self.article += 1
+            self.stack.append((tag, bad, held))
+            self.open[tag] += 1
+            self.bad += bool(bad)
+            self.layout += bad == "layout"
         elif tag == "a":
             self.links = 1
 
     def pop(self) -> None:
-        tag, bad = self.stack.pop()
-        self.bad -= bad
+        tag, bad, held = self.stack.pop()
+        self.open[tag] -= 1
+        self.bad -= bool(bad)
+        self.layout -= bad == "layout"
+        if held:
+            self.bad, self.layout = held
         if tag in ("article", "main"):
             self.article -= 1
 
@@ -192,7 +225,7 @@ class Blocks:
         if tag == "a":
             self.links = 0
             return
-        if any(t == tag for t, _ in self.stack):
+        if self.open[tag]:
             self.flush()
             while self.stack[-1][0] != tag:
                 self.pop()
@@ -232,10 +265,23 @@ def decided(labels: list[bool | None], articles: list[int]) -> list[bool]:
             for own, (d1, a), (d2, b) in zip(labels, down, up)]
 
 
+def unserved(blocks: list[tuple], labels: list[bool | None]) -> list[bool | None]:
+    """Labels of a page without articles in a language that STOP_WORDS does not serve: there, blocks
+    that are long enough (by words, or by characters where a script has no spaces) are good."""
+    text = [w for b, own in zip(blocks, labels) if own is None for w in b[0].lower().split()]
+    if True in labels or any(b[3] for b in blocks) or sum(w in STOP_WORDS for w in text) > MAX_FOREIGN * len(text):
+        return labels
+    return [True if own is None and (len(b[0].split()) >= MIN_WORDS or len(b[0]) >= MIN_CHARS) else own
+            for b, own in zip(blocks, labels)]
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, one on each line."""
-    blocks = Blocks(html or "").blocks
-    labels = [first_label(*b[:3]) for b in blocks]
+    page = Blocks(html or "")
+    if page.wrapped and not any(article and not bad for _, _, bad, article in page.blocks):
+        page = Blocks(html or "", open_layout=True)  # else there is no article to be seen
+    blocks = page.blocks
+    labels = unserved(blocks, [first_label(*b[:3]) for b in blocks])
     keep = decided(labels, [b[3] for b in blocks])
     return "\n".join(b[0] for b, good in zip(blocks, keep) if good)
 

@@ -103,9 +103,10 @@ def base_places(flat: list[bytes], phrases: dict[str, str]) -> dict[str, list[in
     joined = b" " + b" ".join(flat) + b" "
     for phrase, label in phrases.items():
         p = b" " + phrase.encode() + b" "
-        at = joined.find(p)
+        at, counted, place = joined.find(p), 0, 0
         while at >= 0:
-            out.setdefault(label, []).append(joined.count(b" ", 0, at))
+            place, counted = place + joined.count(b" ", counted, at), at  # on from the last one
+            out.setdefault(label, []).append(place)
             at = joined.find(p, at + 1)
     return out
 

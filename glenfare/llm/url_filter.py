@@ -50,33 +50,35 @@ def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     return (spark.createDataFrame(rules, "verdict string, rule_host string, rule_path string")
             .withColumn("rule_host", F.translate("rule_host", AZ, LOWER_AZ))
             .select(F.concat("rule_host", "rule_path").alias("rule"), "verdict",
-                    F.length("rule_path").alias("path_chars"),
+                    F.length("rule_path").alias("path_chars"), F.size(F.split("rule_host", r"\.")).alias("host_labels"),
                     F.sha2(F.concat_ws("\n", "rule_host", "rule_path"), 256).alias("rule_digest"))
             .dropDuplicates(["rule_digest", "verdict"])
             .withColumn("short", F.substring("rule_digest", 1, PREFIX_HEX)))
 
 
-def expressions(urls: DataFrame, path_lengths: list[int]) -> DataFrame:
-    """(host, path, digest, short) for every expression of the distinct pairs."""
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                           lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+def expressions(urls: DataFrame, path_lengths: list[int], host_labels: list[int]) -> DataFrame:
+    """(host, path, digest, short) for every expression of the distinct pairs that some rule could be:
+    suffixes of as many labels, prefixes of as many characters, as a rule has."""
+    labels = F.col("labels")
+    suffixes = F.array(*[F.when(F.size(labels) >= k, F.array_join(F.slice(labels, -k, k), ".")) for k in host_labels])
     prefixes = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in path_lengths])
     return (urls.select("host", "path").distinct()
             .withColumn("prefix", F.explode(F.array_compact(prefixes)))
-            .withColumn("suffix", F.explode(suffixes))
+            .withColumn("labels", F.split("host", r"\."))
+            .withColumn("suffix", F.explode(F.array_compact(suffixes)))
             .withColumn("digest", F.sha2(F.concat_ws("\n", "suffix", "prefix"), 256))
             .select("host", "path", "digest", F.substring("digest", 1, PREFIX_HEX).alias("short")))
 
 
 def judge(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """(host, path) pairs that a rule fits, with the winning rule and verdict."""
-    # one row for each distinct length of a rule's path: at most as long as a URL
-    lengths = sorted(r[0] for r in rules.select("path_chars").distinct().collect())
+    # one row for each distinct length of a rule's path and number of its host's labels: at most as long as a URL
+    sizes = rules.select("path_chars", "host_labels").distinct().collect()
+    lengths, host_labels = (sorted({r[k] for r in sizes}) for k in (0, 1))
     if not lengths:
         return urls.select("host", "path").distinct().limit(0).withColumns(
             {"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    hits = (expressions(urls, lengths).join(rules, "short").filter(F.col("digest") == F.col("rule_digest")))
+    hits = (expressions(urls, lengths, host_labels).join(rules, "short").filter(F.col("digest") == F.col("rule_digest")))
     best = F.max(F.struct(F.length("rule").alias("n"), (F.col("verdict") == "block").alias("b"), "rule", "verdict"))
     return hits.groupBy("host", "path").agg(best.alias("best")).select("host", "path", "best.rule", "best.verdict")
 

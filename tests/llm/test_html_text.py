@@ -75,3 +75,31 @@ def test_skipped_elements_swallow_nothing():
 
 def test_many_unclosed_elements_stay_linear():
     assert H.main_text("<article><p>a" + "<button>" * 100_000 + "<svg>" * 100_000).startswith("a")
+
+
+def test_stray_end_tags_stay_linear():
+    import time
+    took = []
+    for n in (20_000, 80_000):
+        t0 = time.process_time()
+        assert H.main_text("<article>" + "<div>" * n + "</b>" * n + "the words of it and of that are in this for you to see") != ""
+        took.append(time.process_time() - t0)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_a_layout_word_never_hides_the_article():
+    prose = "It was the best of times and it was the worst of times for all of them."
+    page = '<body><div class="content has-sidebar"><nav><p>Home</p></nav><article><p>%s</p></article></div></body>' % prose
+    assert H.main_text(page) == prose
+    assert H.main_text(page.replace("article>", "main>")) == prose
+    # a comment in an article element stays out, and so do teasers beside an article that can be seen
+    assert H.main_text('<div class="comments"><article><p>%s</p></article></div>' % prose) == ""
+    both = '<article><p>%s</p></article><div class="widget-area"><article><p>It is the teaser of the day and of you.</p></article></div>' % prose
+    assert H.main_text(both) == prose
+
+
+def test_pages_in_other_languages():
+    ru = "Это длинный абзац на русском языке в котором больше десяти слов и нет ссылок вовсе."
+    ja = "これは日本語の長い段落であり空白を含まないが十分な数の文字を持っているので記事として扱われるべきものである。" * 2
+    for prose in (ru, ja):
+        assert H.main_text('<body><div class="menu"><p>%s</p></div><div><a href="#">Меню</a></div><div><p>%s</p></div></body>' % (prose, prose)) == prose

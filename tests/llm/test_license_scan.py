@@ -106,3 +106,16 @@ def test_wrapped_notices(spark, tmp_path):
     for k, (label, t) in enumerate(rows):
         assert label is None or label in got[k], t
         assert got[k] == paragraph_brute(t) | set(filter(None, brute(k, t)[5].split(","))), t
+
+
+def test_many_base_places_stay_linear():
+    import time
+    from glenfare.llm import license_scan
+    took = []
+    for n in (50_000, 200_000):  # the longer one is 4.6 MB
+        flat = b"x under the mit license y".split() * n
+        t0 = time.process_time()
+        found = license_scan.base_places(flat, {"under the mit license": "mit"})
+        took.append(time.process_time() - t0)
+        assert found == {"mit": list(range(1, 6 * n, 6))}
+    assert took[1] < 10 * took[0] + 0.5

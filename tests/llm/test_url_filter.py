@@ -49,3 +49,12 @@ def test_short_hash_collisions_and_ties(spark, monkeypatch):
 def test_no_python_on_the_main_path(spark):
     plan = U.op8_url_filter(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_a_host_of_many_labels(spark):
+    """Only the suffixes that a rule could have are built: a 5 MB host is one short row."""
+    from glenfare.llm import url_filter
+    host = "a." * 2_500_000 + "example.org"
+    pages = spark.createDataFrame([(1, f"https://{host}/es/x"), (2, "https://org/"), (3, "https://x.fr.com/fr/")], "page_id bigint, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.url_verdicts(pages, url_filter.rule_table(spark)).select("page_id", "rule", "verdict").collect()}
+    assert got == {1: ("example.org/es/", "block"), 2: ("org/", "allow"), 3: ("com/fr/", "allow")}
