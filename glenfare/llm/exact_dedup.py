@@ -70,8 +70,11 @@ def keyed_state(log: DataFrame, path: str, batch_bytes: int = BATCH_BYTES) -> Da
     with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB,
                   # many small stores: no disk is reserved ahead for their logs
                   spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
+                  # and together they hold little memory, which an executor gets back soon after the stream's end
                   spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
-                  spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="300"):
+                  spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="200",
+                  spark__sql__streaming__stateStore__rocksdb__writeBufferSizeMB="8",
+                  spark__sql__streaming__stateStore__maintenanceInterval="10s"):
         query = (state.writeStream.outputMode("update").foreachBatch(emit).trigger(availableNow=True)
                  .option("checkpointLocation", offsets).start())
         query.awaitTermination()
