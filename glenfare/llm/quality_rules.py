@@ -1,15 +1,18 @@
 """Quality rules (operator 3): thresholds that adapt to language and source.
 
-Every document gets four signals as whole numbers on a fixed grid (``SIGNALS``).
-The mergeable quantile sketch of a group is its histogram on that grid: counts
-add up, in any order, to the same sketch, and a quantile is known to one grid
-step.  Sketches of (lang, source) merge to those of a language and of the whole
-table; a group of fewer than ``MIN_GROUP`` documents uses the next wider one.
-A signal's upper threshold is q75 + SPREAD * spread; word length also has the
-lower one q25 - SPREAD * spread.  The spread is q75 - q25 or, where the quartiles
-are one value (most texts repeat nothing), the way from q75 to q90 of the
-narrowest group of ``TAIL_GROUP`` documents, and a small floor at least.  A
-document stays if all its signals keep to the thresholds of its group.
+Every document gets four signals as whole numbers on a fixed grid of ``STEPS``
+steps (``SIGNALS``).  The mergeable quantile sketch of a group is its histogram on
+that grid: STEPS + 1 counters at most, which add up, in any order, to the same
+sketch, and a quantile is known to one grid step.  Sketches of (lang, source) merge
+to those of a language and of the whole table.
+
+Word length has the thresholds q25 - SPREAD * (q75 - q25) and q75 + SPREAD * (q75 - q25)
+(a spread of one step at least), the other signals SPREAD steps above their tail quantile.
+Thresholds of a group are shrunk towards those of its language, and these towards
+those of the whole table, as if the wider one had been seen in PRIOR documents: a
+large source is judged by itself, one of a few documents nearly as its language,
+by the same rule at every size.  A document stays if all its signals keep to
+the thresholds of its group.
 
 All of it is column expressions, partial aggregation and joins on tables with
 one row for each group; a hot source costs one row for each task and grid step.
@@ -22,10 +25,14 @@ result; further columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glenfare.llm.common import let, rows_in, stored, table, text_key
+from glenfare.plans.joins import attach_scalars
 
 #: Fixed values of the contract.
 SPACE = " \t\n\x0b\x0c\r"
@@ -34,12 +41,15 @@ MIN_WORDS = 50
 #: Repeated windows up to which each is looked up; beyond, windows are sorted.
 LOOKUP_WINDOWS = 32
 
-#: Parameters of the adaptive rules: signal -> (grid steps for 1.0, least spread in steps: about what chance
-#: or one repeated phrase makes in a text of MIN_WORDS to a few hundred words).
-SIGNALS = {"word_len": (10, 3), "symbol_rate": (1000, 1), "dup_line_rate": (1000, 10), "repeat_rate": (1000, 10)}
+#: Steps of a signal's grid; what lies beyond the last counts as the last.
+STEPS = 1000
+#: Parameters of the adaptive rules: signal -> (grid steps for 1.0, percent of texts up to the tail quantile).
+#: Word length varies in every text: quartiles. Symbols come in junk only: what nine of ten texts have is
+#: common. Good texts repeat lines and words too, some of them much: only the last hundredth is odd.
+SIGNALS = {"word_len": (10, 75), "symbol_rate": (1000, 90), "dup_line_rate": (1000, 99), "repeat_rate": (1000, 99)}
 SPREAD = 4
-#: Documents a group needs for quartiles, and for q90.
-MIN_GROUP, TAIL_GROUP = 100, 400
+#: Documents that the wider group's thresholds count for.
+PRIOR = 100
 
 
 def words_of(text: Column) -> Column:
@@ -125,7 +135,7 @@ def base_signals(docs: DataFrame) -> DataFrame:
 def on_grid(df: DataFrame) -> DataFrame:
     """``df`` with ``g_<signal>``: each signal in whole grid steps, rounded down."""
     def ratio(a: str, b: str, signal: str) -> Column:
-        return F.coalesce(F.expr(f"{a} * {SIGNALS[signal][0]} div nullif({b}, 0)"), F.lit(0))
+        return F.coalesce(F.expr(f"least({a} * {SIGNALS[signal][0]} div nullif({b}, 0), {STEPS})"), F.lit(0))
     return df.withColumns({
         "g_word_len": ratio("word_chars", "n_words", "word_len"),
         "g_symbol_rate": ratio("n_symbols", "word_chars", "symbol_rate"),
@@ -144,48 +154,51 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "signal", "step").agg(F.sum("n").alias("n"))
 
 
-def quantiles(sketch: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    """One row for each group: ``<prefix>size`` and ``<prefix><signal>``, q25, q75 and q90 in steps
-    (q90 null in a group of fewer than TAIL_GROUP)."""
-    run = Window.partitionBy(*keys, "signal").orderBy("step")
-    whole = Window.partitionBy(*keys, "signal")
-    at = (sketch.withColumn("upto", F.sum("n").over(run)).withColumn("size", F.sum("n").over(whole)))
+def limits(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each group: the keys, ``size`` (documents) and its own thresholds ``t_<signal>`` and ``t_word_len_low``."""
+    by = [*keys, "signal"]
+    run = Window.partitionBy(*by).orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = sketch.withColumns({"upto": F.sum("n").over(run), "size": F.sum("n").over(Window.partitionBy(*by))})
 
     def reached(percent: int) -> Column:
         return F.min(F.when(100 * F.col("upto") >= percent * F.col("size"), F.col("step")))
-    q = at.groupBy(*keys, "signal").agg(F.first("size").alias("size"), reached(25).alias("q25"), reached(75).alias("q75"),
-                                        reached(90).alias("q90"))
-    own = F.struct("q25", "q75", F.when(F.col("size") >= TAIL_GROUP, F.col("q90")).alias("q90"))
-    return q.groupBy(*keys).agg(F.max("size").alias(f"{prefix}size"), *[
-        F.max(F.when(F.col("signal") == s, own)).alias(f"{prefix}{s}") for s in SIGNALS])
-
-
-def spread(signal: str) -> Column:
-    """The spread of a group, from its columns ``q_<signal>`` and ``tail_<signal>``."""
-    q25, q75 = F.col(f"q_{signal}.q25"), F.col(f"q_{signal}.q75")
-    return F.greatest(F.when(q75 > q25, q75 - q25).otherwise(F.col(f"tail_{signal}") - q75), F.lit(SIGNALS[signal][1]))
+    q = at.groupBy(*by).agg(F.first("size").alias("size"), *[
+        reached(p).alias(f"q{p}") for p in sorted({25, 75, *[tail for _, tail in SIGNALS.values()]})])
+    way = SPREAD * F.greatest(F.col("q75") - F.col("q25"), F.lit(1))
+    own = {f"t_{s}": F.when(F.col("signal") == s, F.col(f"q{tail}") + (way if s == "word_len" else SPREAD))
+           for s, (_, tail) in SIGNALS.items()}
+    own["t_word_len_low"] = F.when(F.col("signal") == "word_len", F.col("q25") - way)
+    return q.groupBy(*keys).agg(F.max("size").alias("size"), *[F.max(c).alias(t) for t, c in own.items()])
+
+
+def shrunk(narrow: DataFrame, wide: DataFrame, on: list[str]) -> DataFrame:
+    """``narrow`` with its thresholds drawn towards those of the wider group, PRIOR documents of it, rounded down."""
+    names = [c for c in wide.columns if c.startswith("t_")]
+    w = wide.select(*[F.col(k).alias(f"_{k}") for k in on], *[F.col(t).alias(f"_{t}") for t in names])
+    if on:
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in on]
+        both = narrow.join(w, reduce(and_, same))
+    else:
+        both = attach_scalars(narrow, w)
+    return both.select(*[c for c in narrow.columns if c not in names], *[
+        F.floor((F.col("size") * F.col(t) + PRIOR * F.col(f"_{t}")) / (F.col("size") + PRIOR)).alias(t) for t in names])
+
+
+def thresholds(df: DataFrame) -> DataFrame:
+    """(lang, source, size, thresholds): one row for each group with a document that passes the base rule."""
+    fine = stored(sketches(df), "quality-sketches")
+    lang_sketch = stored(merged(fine, ["lang"]), "quality-lang-sketches")
+    whole = limits(merged(lang_sketch.withColumn("one", F.lit(1)), ["one"]), ["one"]).drop("one")
+    by_lang = shrunk(limits(lang_sketch, ["lang"]), whole, [])
+    return stored(shrunk(limits(fine, ["lang", "source"]), by_lang, ["lang"]), "quality-thresholds")
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """The base columns, the threshold of each signal and ``kept``."""
+    """The base columns, the threshold of each signal (null in a group whose texts all fail the base rule) and ``kept``."""
     df = stored(on_grid(base_signals(docs)), "quality-signals")  # one narrow row for each document
-    fine = stored(sketches(df), "quality-sketches")
-    lang_sketch = merged(fine, ["lang"])
-    whole = quantiles(merged(lang_sketch.withColumn("_one", F.lit(1)), ["_one"]), ["_one"], "w_").drop("_one")
-    by_source = quantiles(fine, ["lang", "source"], "s_").withColumnsRenamed({"lang": "s_lang", "source": "s_source"})
-    by_lang = quantiles(lang_sketch, ["lang"], "l_").withColumnsRenamed({"lang": "l_lang"})
-    groups = (by_source.join(by_lang, F.col("s_lang").eqNullSafe(F.col("l_lang")))
-              .select("s_lang", "s_source", *[
-                  F.when(F.col("s_size") >= MIN_GROUP, F.col(f"s_{s}"))
-                  .when(F.col("l_size") >= MIN_GROUP, F.col(f"l_{s}")).alias(f"q_{s}") for s in SIGNALS],
-                  *[F.coalesce(f"s_{s}.q90", f"l_{s}.q90").alias(f"tail_{s}") for s in SIGNALS]))
+    groups = thresholds(df).drop("size").withColumnsRenamed({"lang": "s_lang", "source": "s_source"})
     joined = df.join(groups, F.col("lang").eqNullSafe(F.col("s_lang")) & F.col("source").eqNullSafe(F.col("s_source")),
                      "left").drop("s_lang", "s_source")
-    for s in SIGNALS:  # one row: a scalar subquery
-        w = whole.select(f"w_{s}").scalar()
-        joined = joined.withColumns({f"q_{s}": F.coalesce(f"q_{s}", w), f"tail_{s}": F.coalesce(f"tail_{s}", w["q90"])})
-    joined = joined.withColumns({f"t_{s}": F.col(f"q_{s}.q75") + SPREAD * spread(s) for s in SIGNALS} | {
-        "t_word_len_low": F.col("q_word_len.q25") - SPREAD * spread("word_len")})
     fits = ~F.col("base_failed") & (F.col("g_word_len") >= F.col("t_word_len_low"))
     for s in SIGNALS:
         fits = fits & (F.col(f"g_{s}") <= F.col(f"t_{s}"))
