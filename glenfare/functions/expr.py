@@ -141,8 +141,10 @@ def scottish_holiday_name(date) -> Column:
 
     Rule-based calendar, no lookup table: New Year (1 and 2 January), Good
     Friday, first Monday of May, last Monday of May, first Monday of August,
-    St Andrew's Day (30 November), Christmas and Boxing Day.  Weekend
-    substitute days are not generated.
+    St Andrew's Day (30 November), Christmas and Boxing Day.  A fixed day on a
+    weekend has a substitute on the next weekday that is no holiday itself: 3 and 4
+    January, 27 and 28 December and 1 or 2 December, where these are a Monday
+    or (second of two days in a row) a Tuesday.
     """
     d = col(date)
     mo, dom, wd = F.month(d), F.dayofmonth(d), F.weekday(d)
@@ -155,7 +157,12 @@ def scottish_holiday_name(date) -> Column:
              .when((mo == 8) & (wd == 0) & (dom <= 7), "Summer Bank Holiday")
              .when((mo == 11) & (dom == 30), "Saint Andrew's Day")
              .when((mo == 12) & (dom == 25), "Christmas Day")
-             .when((mo == 12) & (dom == 26), "Boxing Day"))
+             .when((mo == 12) & (dom == 26), "Boxing Day")
+             .when((mo == 1) & (dom == 3) & wd.isin(0, 1), "New Year's Day (substitute day)")
+             .when((mo == 1) & (dom == 4) & wd.isin(0, 1), "New Year Holiday (substitute day)")
+             .when((mo == 12) & dom.isin(1, 2) & (wd == 0), "Saint Andrew's Day (substitute day)")
+             .when((mo == 12) & (dom == 27) & wd.isin(0, 1), "Christmas Day (substitute day)")
+             .when((mo == 12) & (dom == 28) & wd.isin(0, 1), "Boxing Day (substitute day)"))
 
 
 def is_holiday(ts) -> Column:
@@ -170,6 +177,8 @@ def is_holiday(ts) -> Column:
     good_friday = F.element_at(F.transform(F.array(d), lambda x: F.date_sub(easter_sunday(F.year(x)), 2) == x), 1)
     rule = (((mo == 1) & (dom <= 2)) | ((mo == 5) & (wd == 0) & ((dom <= 7) | (dom >= 25)))
             | ((mo == 8) & (wd == 0) & (dom <= 7)) | ((mo == 11) & (dom == 30)) | ((mo == 12) & dom.isin(25, 26))
+            | (((mo == 1) & dom.isin(3, 4)) | ((mo == 12) & dom.isin(27, 28))) & wd.isin(0, 1)
+            | ((mo == 12) & (dom <= 2) & (wd == 0))
             | F.when(mo.isin(3, 4) & (wd == 4), good_friday).otherwise(False))
     return F.coalesce(rule, F.lit(False)).cast("int")
 

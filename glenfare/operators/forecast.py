@@ -192,6 +192,7 @@ def _all_forecasts(split: DataFrame) -> dict[str, tuple[DataFrame, object]]:
     finally:
         kept.unpersist()
     return {"Gradient Boosting": (gbt, gm, cols), "Random Forest": (rf, rm, cols),
+            "Seasonal AR": (S.forecast_seasonal_ar(split), None, cols),
             "Seasonal Naive": (S.forecast_seasonal_naive(split), None, cols),
             "Mean Baseline": (S.forecast_mean_baseline(split), None, cols)}
 

@@ -3,15 +3,18 @@
 
 Scale notes.  The series has one row per hour of the covered time span (per
 key when ``keys`` are given), not per trip: the trips are reduced by one
-grouped aggregate first.  Ordered windows (lags, rolling frames) therefore
-sort at most the hours of the span (about 8,800 per year) in a partition,
-and with ``keys`` each key's series is its own window partition.  The dense
-hour grid comes from ``sequence`` + ``explode`` of the span per key.
+grouped aggregate first.  Ordered windows (lags, rolling frames) run in buckets of
+BUCKET_HOURS hours; the rows that a bucket's first hours look back on are copied
+into it, so that each bucket of each key is a window partition of its own, however
+long the span.  The dense hour grid comes from ``sequence`` + ``explode`` of the
+span per key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from glenfare.functions import expr as X
@@ -20,6 +23,8 @@ from glenfare.plans.joins import attach_scalars
 
 LAGS = (1, 2, 3, 24)
 ROLLING = ((3, "mean"), (24, "mean"), (24, "std"))
+#: Hours in a window partition.
+BUCKET_HOURS = 4096
 
 # Weather thresholds (mm, degrees C) and calendar month sets.
 RAIN_MM, COLD_C, HOT_C = 5.0, 5.0, 20.0
@@ -37,9 +42,22 @@ FORECAST_FEATURES = [
 WEATHER_FEATURES = {"temperature", "precipitation", "is_rainy", "is_cold", "is_hot", "rainy_rush_hour", "cold_weekend"}
 
 
-def _w(keys, desc=False):
-    o = F.col("ts_hour").desc() if desc else F.col("ts_hour")
-    return Window.partitionBy(*keys).orderBy(o) if keys else Window.orderBy(o)
+def hour_number(ts) -> Column:
+    """Hours since 1970 of a zone-less timestamp."""
+    return F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long") * 24 + F.hour(ts)
+
+
+def with_history(series: DataFrame, keys: list[str], halo: int, columns: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+    """``series`` plus window columns that look back at most ``halo`` hours.
+
+    ``columns`` gets the window of a bucket of hours, ordered by hour number.  A row goes to its own bucket and to those
+    that begin within ``halo`` hours after it; there it is only looked back on, and leaves again."""
+    h = F.col("_hour_number")
+    own = F.floor(h / BUCKET_HOURS)
+    rows = series.withColumn("_hour_number", hour_number("ts_hour")).withColumn("_own_bucket", own)
+    rows = rows.withColumn("_bucket", F.explode(F.sequence("_own_bucket", F.floor((h + halo) / BUCKET_HOURS))))
+    out = rows.withColumns(columns(Window.partitionBy(*keys, "_bucket").orderBy("_hour_number")))
+    return out.filter(F.col("_bucket") == F.col("_own_bucket")).drop("_hour_number", "_own_bucket", "_bucket")
 
 
 def clock_hour(ts: str):
@@ -67,24 +85,38 @@ def hourly_series(features: DataFrame, keys: list[str] | None = None) -> DataFra
                     F.coalesce("trip_count", F.lit(0)).cast("bigint").alias("trip_count")))
 
 
+def _lag_columns(lags) -> Callable[[WindowSpec], dict[str, Column]]:
+    return lambda w: {f"lag_{k}": F.lag("trip_count", k).over(w) for k in lags}
+
+
+def _rolling_columns(windows) -> Callable[[WindowSpec], dict[str, Column]]:
+    def columns(w0):
+        out = {}
+        for n, fn in windows:
+            w = w0.rowsBetween(-n, -1)
+            full = F.count("trip_count").over(w) == n
+            v = F.avg("trip_count").over(w) if fn == "mean" else F.stddev_samp("trip_count").over(w)
+            out[f"rolling_{fn}_{n}"] = F.when(full, v)
+        return out
+    return columns
+
+
 def add_lags(series: DataFrame, keys: list[str] | None = None, lags=LAGS) -> DataFrame:
-    """lag_k = trip_count k hours earlier (WIN2)."""
-    w = _w(keys or [])
-    return series.withColumns({f"lag_{k}": F.lag("trip_count", k).over(w) for k in lags})
+    """lag_k = trip_count k hours earlier (WIN2); the series has every hour of its span."""
+    return with_history(series, keys or [], max(lags), _lag_columns(lags))
 
 
 def add_rolling(series: DataFrame, keys: list[str] | None = None, windows=ROLLING) -> DataFrame:
     """Rolling mean / sample std of the *previous* w hours, null until w
     hours exist (WIN3, D15): the frame ends one row before the current hour,
     so a feature never reads the hour it predicts."""
-    w0 = _w(keys or [])
-    out = {}
-    for n, fn in windows:
-        w = w0.rowsBetween(-n, -1)
-        full = F.count("trip_count").over(w) == n
-        v = F.avg("trip_count").over(w) if fn == "mean" else F.stddev_samp("trip_count").over(w)
-        out[f"rolling_{fn}_{n}"] = F.when(full, v)
-    return series.withColumns(out)
+    return with_history(series, keys or [], max(n for n, _ in windows), _rolling_columns(windows))
+
+
+def add_past(series: DataFrame, keys: list[str] | None = None, lags=LAGS, windows=ROLLING) -> DataFrame:
+    """Lags and rolling columns in one shuffle."""
+    return with_history(series, keys or [], max(*lags, *[n for n, _ in windows]),
+                        lambda w: _lag_columns(lags)(w) | _rolling_columns(windows)(w))
 
 
 def demand_lags(features: DataFrame) -> DataFrame:
@@ -199,7 +231,7 @@ def forecast_features(features: DataFrame, weather: DataFrame | None = None, hol
     Without a weather table the weather columns and their interactions are
     left out (the reference simulated them with random draws)."""
     keys = keys or []
-    s = add_rolling(add_lags(hourly_series(features, keys), keys), keys)
+    s = add_past(hourly_series(features, keys), keys)
     s = add_calendar(s, holidays, events, keys)
     feats = list(FORECAST_FEATURES)
     if weather is not None:
@@ -244,12 +276,103 @@ def forecast_seasonal_naive(split: DataFrame, keys: list[str] | None = None, per
                     F.round(F.col("_prev") + F.coalesce("_drift", F.lit(0.0)), 4).alias("prediction"))
 
 
+def _products(lags: list[int]) -> list[tuple[int, int]]:
+    return [(i, j) for i in lags for j in lags if i <= j]
+
+
+def ar_moments(split: DataFrame, keys: list[str] | None = None, period: int = 24) -> DataFrame:
+    """One row (for each key) for ``forecast_seasonal_ar``, from one aggregate.
+
+    ``n`` training rows whose hours 1, ``period`` and ``period`` + 1 before are known, the sums ``s{k}`` of the trips k
+    hours before and ``p{j}_{k}`` of products, exact; ``last`` training hour, ``ahead`` hours to the last test hour
+    and ``mean`` of all training rows."""
+    keys = keys or []
+    lags = [0, 1, period, period + 1]
+    s = with_history(split, keys, period + 1, lambda w: {
+        f"_y{k}": F.max("trip_count").over(w.rangeBetween(-k, -k)).cast("decimal(18,0)") for k in lags})
+    train = F.col("split") == "train"
+    known = train
+    for k in lags:
+        known = known & F.col(f"_y{k}").isNotNull()
+    zero = F.lit(0).cast("decimal(38,0)")
+
+    def total(c: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(known, c)).cast("decimal(38,0)"), zero).alias(name)
+    last = F.max(F.when(train, F.col("ts_hour")))
+    return s.groupBy(*keys).agg(
+        F.count_if(known).alias("n"), *[total(F.col(f"_y{k}"), f"s{k}") for k in lags],
+        *[total(F.col(f"_y{i}") * F.col(f"_y{j}"), f"p{i}_{j}") for i, j in _products(lags)], last.alias("last"),
+        (hour_number(F.max("ts_hour")) - hour_number(last)).alias("ahead"),
+        F.avg(F.when(train, F.col("trip_count"))).alias("mean"))
+
+
+def ar_coefficients(moments: DataFrame, period: int = 24) -> DataFrame:
+    """``moments`` plus ``b{k}`` for lags 1, ``period`` and ``period`` + 1 and the intercept ``b0``: the normal equations, solved
+    by elimination.  A lag that the others explain wholly (in a constant series, all) gets 0; without a usable row
+    the intercept is the mean."""
+    lags = [1, period, period + 1]
+
+    def exact(i: int, j: int) -> Column:  # n^2 times the covariance, subtracted before it becomes a double
+        return (F.col("n").cast("decimal(18,0)") * F.col(f"p{min(i, j)}_{max(i, j)}") - F.col(f"s{i}") * F.col(f"s{j}")).cast("double")
+    a = {(i, j): f"_a{i}_{j}" for i in lags for j in [*lags, 0] if j == 0 or i <= j}
+    m = moments.withColumns({name: exact(i, j) for (i, j), name in a.items()})
+    m = m.withColumns({f"_d{k}": F.col(a[k, k]) for k in lags})
+    for at, k in enumerate(lags):
+        usable = F.col(a[k, k]) > 1e-9 * F.col(f"_d{k}")
+        m = m.withColumn(f"_ok{k}", usable)
+        later = lags[at + 1:]
+        m = m.withColumns({a[i, j]: F.when(F.col(f"_ok{k}"), F.col(a[i, j]) - F.col(a[k, i]) * F.col(a[k, j]) / F.col(a[k, k]))
+                           .otherwise(F.col(a[i, j])) for i in later for j in [*later, 0] if (i, j) in a})
+    for at, k in reversed([*enumerate(lags)]):
+        rest = F.col(a[k, 0])
+        for j in lags[at + 1:]:
+            rest = rest - F.col(a[k, j]) * F.col(f"b{j}")
+        m = m.withColumn(f"b{k}", F.when(F.col(f"_ok{k}"), rest / F.col(a[k, k])).otherwise(F.lit(0.0)))
+    level = F.col("s0").cast("double")
+    for k in lags:
+        level = level - F.col(f"b{k}") * F.col(f"s{k}").cast("double")
+    m = m.withColumn("b0", F.when(F.col("n") > 0, level / F.nullif("n", F.lit(0))).otherwise(F.col("mean")))
+    return m.select(*moments.columns, "b0", *[f"b{k}" for k in lags])
+
+
+def forecast_seasonal_ar(split: DataFrame, keys: list[str] | None = None, period: int = 24) -> DataFrame:
+    """Seasonal autoregression (FOR4): trips from those 1, ``period`` and ``period`` + 1 hours before.
+
+    Fitted on the training rows, then carried on hour by hour through the hold-out from its own forecasts: no actual
+    hour of the hold-out is read.  Hours missing before the hold-out count as the mean of the training rows."""
+    keys = keys or []
+    fitted = ar_coefficients(ar_moments(split, keys, period), period).filter("last IS NOT NULL AND ahead > 0")
+    names = ["b0", "b1", f"b{period}", f"b{period + 1}"]
+    fitted = fitted.select(*keys, "last", "ahead", "mean", *names)
+    train = split.filter(F.col("split") == "train").select(*keys, "ts_hour", F.col("trip_count").cast("double").alias("_y"))
+    recent = train.join(fitted.select(*keys, "last"), keys) if keys else attach_scalars(train, fitted.select("last"))
+    back = hour_number("last") - hour_number("ts_hour")
+    recent = recent.filter(back <= period).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct(back.alias("back"), F.col("_y")))).alias("_recent"))
+    both = fitted.join(recent, keys) if keys else attach_scalars(fitted, recent)
+    start = F.transform(F.sequence(F.lit(period).cast("long"), F.lit(0).cast("long")),
+                        lambda k: F.coalesce(F.element_at("_recent", k), F.col("mean")))
+
+    def step(path: Column, _: Column) -> Column:
+        ahead = F.col("b0")
+        for k in (1, period, period + 1):
+            ahead = ahead + F.col(f"b{k}") * F.element_at(path, F.lit(-k))
+        return F.concat(path, F.array(ahead))
+    path = both.withColumn("_start", start).select(*keys, "last", F.posexplode(F.slice(F.aggregate(
+        F.sequence(F.lit(1).cast("long"), F.col("ahead")), F.col("_start"), step), period + 2, F.col("ahead").cast("int")))
+        .alias("_pos", "_p"))
+    path = path.select(*keys, (F.col("last") + F.make_dt_interval(hours=F.col("_pos") + 1)).alias("ts_hour"), "_p")
+    test = split.filter(F.col("split") == "test").select(*keys, "ts_hour", F.col("trip_count").alias("actual"))
+    return test.join(path, [*keys, "ts_hour"], "left").select(*keys, "ts_hour", "actual", F.round("_p", 4).alias("prediction"))
+
+
 def hourly_forecasts(features: DataFrame, weather: DataFrame | None = None) -> DataFrame:
-    """Both model-free forecasts of the last 24 hours beside the actual trips."""
+    """The forecasts without Spark ML of the last 24 hours beside the actual trips."""
     split = forecast_split(forecast_features(features, weather))
     mean = forecast_mean_baseline(split).withColumnRenamed("prediction", "mean_baseline")
     naive = forecast_seasonal_naive(split).select("ts_hour", F.col("prediction").alias("seasonal_naive"))
-    return mean.join(naive, "ts_hour")
+    auto = forecast_seasonal_ar(split).select("ts_hour", F.col("prediction").alias("seasonal_ar"))
+    return mean.join(naive, "ts_hour").join(auto, "ts_hour")
 
 
 # --- registered queries ------------------------------------------------------------------------
@@ -285,6 +408,15 @@ def _snaive_q(spark, sf_dir):
     return forecast_seasonal_naive(forecast_split(_matrix_q(spark, sf_dir)))
 
 
+def _sar_q(spark, sf_dir):
+    return forecast_seasonal_ar(forecast_split(_matrix_q(spark, sf_dir)))
+
+
+def _moments_q(spark, sf_dir):
+    m = ar_moments(forecast_split(_matrix_q(spark, sf_dir)))
+    return m.select("n", *[F.col(c).cast("long").alias(c) for c in m.columns if c[0] in "sp"], "last", "ahead")
+
+
 def _rounded_matrix(spark, sf_dir):
     m = _matrix_q(spark, sf_dir)
     return m.select(*[F.round(c, 6).alias(c) if c.startswith("rolling") else F.col(c) for c in m.columns])
@@ -339,6 +471,43 @@ _SPLIT = ("sp AS (SELECT m.*, CASE WHEN date_diff('hour', m.ts_hour, e.last) < 2
           "AS split FROM m, (SELECT max(ts_hour) AS last FROM m) e)")
 
 
+_AR = [0, 1, 24, 25]
+_AR_ROWS = ("ar AS (SELECT y0.trip_count AS y0, " + ", ".join(f"y{k}.trip_count AS y{k}" for k in _AR[1:]) + " FROM sp y0 " + " ".join(
+    f"JOIN sp y{k} ON y{k}.ts_hour = y0.ts_hour - INTERVAL {k} HOUR" for k in _AR[1:]) + " WHERE y0.split = 'train')")
+_AR_ENDS = ("ends AS (SELECT max(ts_hour) FILTER (split = 'train') AS last, "
+            "date_diff('hour', max(ts_hour) FILTER (split = 'train'), max(ts_hour)) AS ahead FROM sp)")
+_AR_SUMS = ("ms AS (SELECT count(*) AS n, " + ", ".join(f"CAST(sum(y{k}) AS BIGINT) AS s{k}" for k in _AR) + ", " + ", ".join(
+    f"CAST(sum(y{i} * y{j}) AS BIGINT) AS p{i}_{j}" for i, j in _products(_AR)) + " FROM ar)")
+
+
+def _ar_solution() -> list[str]:
+    """Cramer's rule on the covariances (the Spark side eliminates)."""
+    def c(i, j):
+        i, j = min(i, j), max(i, j)
+        return f"(CAST(n AS HUGEINT) * p{i}_{j} - CAST(s{i} AS HUGEINT) * s{j})::DOUBLE"
+    covs = "cv AS (SELECT *, " + ", ".join(f"{c(i, j)} AS c{i}_{j}" for i, j in _products(_AR)) + " FROM ms)"
+
+    def e(i, j):
+        return f"c{min(i, j)}_{max(i, j)}"
+
+    def det(cols):
+        (a, b, d) = [[f(r) for r in _AR[1:]] for f in cols]
+        return (f"({a[0]} * ({b[1]} * {d[2]} - {d[1]} * {b[2]}) - {b[0]} * ({a[1]} * {d[2]} - {d[1]} * {a[2]}) "
+                f"+ {d[0]} * ({a[1]} * {b[2]} - {b[1]} * {a[2]}))")
+    base = [lambda r, k=k: e(r, k) for k in _AR[1:]]
+    answer = lambda r: e(r, 0)
+    bs = ", ".join(f"{det([answer if i == at else f for i, f in enumerate(base)])} / {det(base)} AS b{k}" for at, k in enumerate(_AR[1:]))
+    return [covs, f"bs AS (SELECT n, s0, s1, s24, s25, {bs} FROM cv)",
+            "co AS (SELECT *, (s0 - b1 * s1 - b24 * s24 - b25 * s25) / n AS b0 FROM bs)"]
+
+
+_AR_PATH = """pa AS (WITH RECURSIVE r AS (
+    SELECT 0 AS i, (SELECT list(CAST(trip_count AS DOUBLE) ORDER BY ts_hour) FROM sp, ends
+                    WHERE split = 'train' AND ts_hour > last - INTERVAL 25 HOUR) AS acc
+    UNION ALL SELECT i + 1, list_append(acc, b0 + b1 * acc[-1] + b24 * acc[-24] + b25 * acc[-25]) FROM r, co, ends WHERE i < ahead)
+  SELECT last + to_hours(CAST(i AS INTEGER)) AS ts_hour, acc[-1] AS p FROM r, ends WHERE i > 0)"""
+
+
 def _m(body, *extra):
     return with_ctes(body, _SERIES, _SL, _CAL, _WEATHER, _WCOLS, _MATRIX, _SPLIT, *extra)
 
@@ -363,6 +532,10 @@ SQL = {
         AS prediction FROM p WHERE split = 'test'""",
                                   "p AS (SELECT a.*, b.trip_count AS prev FROM sp a LEFT JOIN sp b "
                                   "ON b.ts_hour = a.ts_hour - INTERVAL 24 HOUR)"),
+    "forecast_ar_moments": _m("SELECT n, " + ", ".join([*[f"s{k}" for k in _AR], *[f"p{i}_{j}" for i, j in _products(_AR)]])
+                              + ", last, ahead FROM ms, ends", _AR_ROWS, _AR_ENDS, _AR_SUMS),
+    "forecast_seasonal_ar": _m("""SELECT sp.ts_hour, trip_count AS actual, round(p, 4) AS prediction FROM sp LEFT JOIN pa
+      ON sp.ts_hour = pa.ts_hour WHERE split = 'test'""", _AR_ROWS, _AR_ENDS, _AR_SUMS, *_ar_solution(), _AR_PATH),
 }
 
 QUERIES = {
@@ -375,4 +548,6 @@ QUERIES = {
     "forecast_split": ("raw", _split_q),
     "forecast_mean_baseline": ("raw", _mean_q),
     "forecast_seasonal_naive": ("raw", _snaive_q),
+    "forecast_ar_moments": ("raw", _moments_q),
+    "forecast_seasonal_ar": ("raw", _sar_q),
 }

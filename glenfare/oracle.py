@@ -68,7 +68,12 @@ def holiday_case(d: str) -> str:
             f"WHEN {mo} = 8 AND {wd} = 0 AND {dom} <= 7 THEN 'Summer Bank Holiday' "
             f"WHEN {mo} = 11 AND {dom} = 30 THEN 'Saint Andrew''s Day' "
             f"WHEN {mo} = 12 AND {dom} = 25 THEN 'Christmas Day' "
-            f"WHEN {mo} = 12 AND {dom} = 26 THEN 'Boxing Day' END")
+            f"WHEN {mo} = 12 AND {dom} = 26 THEN 'Boxing Day' "
+            f"WHEN {mo} = 1 AND {dom} = 3 AND {wd} <= 1 THEN 'New Year''s Day (substitute day)' "
+            f"WHEN {mo} = 1 AND {dom} = 4 AND {wd} <= 1 THEN 'New Year Holiday (substitute day)' "
+            f"WHEN {mo} = 12 AND {dom} <= 2 AND {wd} = 0 THEN 'Saint Andrew''s Day (substitute day)' "
+            f"WHEN {mo} = 12 AND {dom} = 27 AND {wd} <= 1 THEN 'Christmas Day (substitute day)' "
+            f"WHEN {mo} = 12 AND {dom} = 28 AND {wd} <= 1 THEN 'Boxing Day (substitute day)' END")
 
 
 FEATURES_SQL = f"""

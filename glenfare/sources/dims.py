@@ -1,7 +1,7 @@
 """Dimension tables built by rule (no lookup files).
 
 ``holiday_dim`` lists the Scottish bank holidays of given years: nine rows a
-year, for the years that occur in the data and no others.
+year and one for each substitute day, for the years that occur in the data and no others.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ def holiday_dim(years: DataFrame) -> DataFrame:
     """``(date, name)`` for every Scottish bank holiday of the years in ``years``
     (one column; repeats and nulls do not matter).
 
-    One row per distinct year, exploded into that year's nine
-    holidays computed directly: the same calendar as
+    One row per distinct year, exploded into that year's
+    holidays computed directly, with the substitutes of those on a weekend: the same calendar as
     ``scottish_holiday_name`` (tested equal in ``tests/``).
     """
     y = F.col("year")
@@ -39,6 +39,15 @@ def holiday_dim(years: DataFrame) -> DataFrame:
         (F.make_date(y, F.lit(12), F.lit(25)), "Christmas Day"),
         (F.make_date(y, F.lit(12), F.lit(26)), "Boxing Day"),
     ]
-    arr = F.array(*[F.struct(d.alias("date"), F.lit(n).alias("name")) for d, n in days])
+    listed = [(F.lit(True), d, n) for d, n in days]
+    # a pair of days in a row, or one: the first on Saturday or Sunday moves on by 2 days, as the second on
+    # Saturday does; the second on Sunday by 2, St Andrew's Day to the Monday
+    for first, second in ((0, 1), (7, 8)):
+        (a, name_a), (b, name_b) = days[first], days[second]
+        listed += [(F.weekday(a) >= 5, F.date_add(a, 2), f"{name_a} (substitute day)"),
+                   (F.weekday(b) >= 5, F.date_add(b, 2), f"{name_b} (substitute day)")]
+    andrew, name = days[6]
+    listed.append((F.weekday(andrew) >= 5, F.date_add(andrew, F.lit(7) - F.weekday(andrew)), f"{name} (substitute day)"))
+    arr = F.array_compact(F.array(*[F.when(on, F.struct(d.alias("date"), F.lit(n).alias("name"))) for on, d, n in listed]))
     return (years.select(F.col(years.columns[0]).cast("int").alias("year")).filter("year IS NOT NULL").distinct()
             .select(F.explode(arr).alias("h")).select("h.date", "h.name"))

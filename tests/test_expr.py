@@ -70,13 +70,17 @@ def test_holiday_dim_equals_rule(spark):
     days = spark.range(1).select(F.explode(F.sequence(F.lit(dt.date(2020, 1, 1)), F.lit(dt.date(2026, 12, 31))))
                                  .alias("date"))
     rule = days.select("date", X.scottish_holiday_name("date").alias("name")).filter("name IS NOT NULL")
-    assert dim.count() == 63
+    moved = [(2020, 12, 28), (2021, 1, 4), (2021, 12, 27), (2021, 12, 28), (2022, 1, 3), (2022, 1, 4), (2022, 12, 27),
+             (2023, 1, 3), (2024, 12, 2), (2025, 12, 1), (2026, 12, 28)]
+    substitutes = dim.filter("name LIKE '%(substitute day)'").select("date").collect()
+    assert sorted(r.date for r in substitutes) == [dt.date(*d) for d in moved]
+    assert dim.count() == 63 + len(moved)
     assert rule.exceptAll(dim).count() == 0 and dim.exceptAll(rule).count() == 0
     names = {r.name for r in dim.filter(F.year("date") == 2024).collect()}
     assert "Good Friday" in names and "Saint Andrew's Day" in names
     assert dim.filter(F.col("date") == dt.date(2024, 3, 29)).first().name == "Good Friday"
     flags = days.filter(X.is_holiday("date") == 1).select("date")
-    assert flags.exceptAll(dim.select("date")).count() == 0 and flags.count() == 63
+    assert flags.exceptAll(dim.select("date")).count() == 0 and flags.count() == 63 + len(moved)
 
 
 def test_holidays_have_no_last_year(spark):
