@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from glenfare.functions import expr as X
 from glenfare.plans.quantiles import quantiles
 from glenfare.sources.dims import holiday_dim
-from glenfare.sources.schema import TRIP_COLUMNS, read_trips_csv, write_trips_csv
+from glenfare.sources.schema import TRIP_COLUMNS, read_trips_csv, rejected_cells, write_trips_csv
 
 COUNTRY = "United Kingdom"
 
@@ -226,6 +226,18 @@ def csv_roundtrip(trips: DataFrame, path: str | None = None) -> DataFrame:
     return read_trips_csv(spark, path)
 
 
+def rejected_trip_cells(trips: DataFrame) -> DataFrame:
+    """Missing and rejected cells by column (SRC1) of the trips as text, in which a fare of three passengers has a
+    currency sign, two passengers are a word, and a trip without passengers has no time."""
+    n = F.col("passenger_count")
+    text = trips.withColumns({c: F.col(c).cast("string") for c in TRIP_COLUMNS})
+    text = text.select(*[c for c in trips.columns if c not in ("fare_amount", "passenger_count", "ts")], *[
+        F.when(n == 3, F.concat(F.lit("£"), "fare_amount")).otherwise(F.col("fare_amount")).alias("fare_amount"),
+        F.when(n == 2, "two").otherwise(n).alias("passenger_count"),
+        F.when(n.isNull(), F.lit("")).otherwise(F.col("ts")).alias("ts")])
+    return rejected_cells(text)
+
+
 def sample_trips(trips: DataFrame, n: int = 2000, seed: int = 42) -> DataFrame:
     """Deterministic bounded sample (FIL6): the n rows with the smallest
     seeded hash of all columns.  Opt-in only: operators run on all rows.
@@ -282,6 +294,13 @@ def _sql():
           FROM trips WHERE duration_min >= 1"""),
         "sample_rows": with_ctes(f"SELECT * FROM trips ORDER BY {', '.join(c + ' NULLS FIRST' for c in TRIP_COLUMNS)} LIMIT 10"),
         "csv_roundtrip": with_ctes(f"SELECT {tc} FROM trips"),
+        "rejected_cells": with_ctes(" UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, count(*) AS cells, count(*) FILTER ({missing}) AS missing, "
+            f"count(*) FILTER ({rejected}) AS rejected FROM trips" for c, missing, rejected in [
+                ("ts", "ts IS NULL OR passenger_count IS NULL", "false"),
+                *[(c, f"{c} IS NULL OR isnan({c})", "false") for c in ("distance_km", "duration_min", "tip_amount", "total_amount")],
+                ("fare_amount", "fare_amount IS NULL", "passenger_count = 3 AND fare_amount IS NOT NULL"),
+                ("passenger_count", "passenger_count IS NULL", "passenger_count = 2")])),
     }
 
 
@@ -310,5 +329,6 @@ QUERIES = {
     "processed_shape": ("trips", processed_shape),
     "sample_rows": ("trips", sample_rows),
     "csv_roundtrip": ("trips", csv_roundtrip),
+    "rejected_cells": ("trips", rejected_trip_cells),
     "sample_trips": ("trips", sample_trips),
 }

@@ -8,7 +8,7 @@ instead of failing under ANSI mode.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glenfare.functions import expr as X
@@ -136,6 +136,19 @@ def geo_revenue(features: DataFrame, areas: DataFrame | None = None) -> DataFram
     return rev.join(dim, "pickup_area", "left")
 
 
+def areas_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ``areas`` dimension derived from the driver's ``nation`` (test fixture): one named area for each of its rows."""
+    k = F.col("n_nationkey")
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(
+        F.concat(F.lit("G"), (k + 1).cast("string")).alias("area"), F.col("n_name").alias("name"),
+        (F.lit(55.0) + k.cast("double") / 100).alias("lat"), (F.lit(-4.0) - k.cast("double") / 100).alias("lon"))
+
+
+def _geo_areas_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glenfare.plans.registry import features
+    return geo_revenue(features(spark, sf_dir), areas_fixture(spark, sf_dir))
+
+
 def distance_revenue_bins(features: DataFrame, distance_width: float = 5.0,
                           revenue_width: float = 10.0) -> DataFrame:
     """2-D binned counts of (distance, total) pairs: the scatter at scale (REV9)."""
@@ -398,3 +411,9 @@ SQL = {
 }
 
 QUERIES = {name: ("features", globals()[name]) for name in SQL}
+
+SQL["geo_revenue_areas"] = with_ctes("""SELECT r.*, n_name AS name, 55.0::DOUBLE + n_nationkey::DOUBLE / 100 AS lat,
+  -4.0::DOUBLE - n_nationkey::DOUBLE / 100 AS lon
+  FROM (SELECT pickup_area, round(sum(total_amount), 2) AS revenue, count(*) AS trip_count FROM f
+        WHERE pickup_area IS NOT NULL GROUP BY 1) r LEFT JOIN nation ON pickup_area = 'G' || (n_nationkey + 1)""")
+QUERIES["geo_revenue_areas"] = ("raw", _geo_areas_q)

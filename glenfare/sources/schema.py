@@ -63,26 +63,44 @@ def _nan_to_null(c: str) -> Column:
     return F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c)
 
 
+def _coerced(df: DataFrame, field: T.StructField) -> Column:
+    """The column of ``field`` in its type; null where the cell does not fit."""
+    c = F.col(field.name)
+    if df.schema[field.name].dataType != field.dataType:
+        if isinstance(field.dataType, T.TimestampNTZType):
+            c = F.expr(f"try_cast(`{field.name}` as timestamp_ntz)")
+        else:
+            c = F.expr(f"try_cast(`{field.name}` as {field.dataType.simpleString()})")
+    if isinstance(field.dataType, T.DoubleType):
+        c = F.nanvl(c, F.lit(None).cast("double"))
+    return c
+
+
+def rejected_cells(df: DataFrame) -> DataFrame:
+    """One row for each number and time column: ``cells``, those ``missing`` (null, blank or NaN) and those ``rejected``,
+    which hold something that ``normalize`` reads as null.  Frame as scanned, before ``normalize``; one pass."""
+    require_columns(df, TRIP_COLUMNS)
+    fields = [f for f in TRIP_SCHEMA.fields if not isinstance(f.dataType, T.StringType)]
+    counts = [F.count(F.lit(1)).alias("cells")]
+    for f in fields:
+        text = F.lower(F.trim(F.col(f.name).cast("string")))
+        missing = text.isNull() | text.isin("", "nan")
+        counts += [F.count_if(missing).alias(f"{f.name}__missing"),
+                   F.count_if(~missing & _coerced(df, f).isNull()).alias(f"{f.name}__rejected")]
+    parts = ", ".join(f"'{f.name}', `{f.name}__missing`, `{f.name}__rejected`" for f in fields)
+    return df.agg(*counts).selectExpr("cells", f"stack({len(fields)}, {parts}) AS (column_name, missing, rejected)") \
+        .select("column_name", "cells", "missing", "rejected")
+
+
 def normalize(df: DataFrame) -> DataFrame:
     """Cast an arbitrary trips frame onto TRIP_SCHEMA with ANSI-safe casts.
 
-    Bad numbers and timestamps become null (they are counted by the quality
-    operators instead of failing the job).  Columns outside the schema are
+    Bad numbers and timestamps become null instead of failing the job;
+    ``rejected_cells`` counts them.  Columns outside the schema are
     kept unchanged after the schema columns.
     """
     require_columns(df, TRIP_COLUMNS)
-    out = []
-    for field in TRIP_SCHEMA.fields:
-        c = F.col(field.name)
-        src_type = df.schema[field.name].dataType
-        if src_type != field.dataType:
-            if isinstance(field.dataType, T.TimestampNTZType):
-                c = F.expr(f"try_cast(`{field.name}` as timestamp_ntz)")
-            else:
-                c = F.expr(f"try_cast(`{field.name}` as {field.dataType.simpleString()})")
-        if isinstance(field.dataType, T.DoubleType):
-            c = F.nanvl(c, F.lit(None).cast("double"))
-        out.append(c.alias(field.name))
+    out = [_coerced(df, field).alias(field.name) for field in TRIP_SCHEMA.fields]
     extra = [F.col(c) for c in df.columns if c not in TRIP_COLUMNS]
     return df.select(*out, *extra)
 
@@ -94,13 +112,18 @@ def read_trips_csv(spark: SparkSession, path: str, reference_headers: bool = Tru
     malformed cell is a null rather than a failed task; permissive mode keeps
     short rows.
     """
+    return normalize(scan_trips_csv(spark, path, reference_headers))
+
+
+def scan_trips_csv(spark: SparkSession, path: str, reference_headers: bool = True) -> DataFrame:
+    """The cells of a trips CSV as text, for ``normalize`` and ``rejected_cells``."""
     reader = (spark.read.option("header", True).option("mode", "PERMISSIVE")
               .option("nullValue", "").option("encoding", "UTF-8"))
     raw = reader.csv(path)
     if reference_headers:
         rename = {v: k for k, v in REFERENCE_HEADERS.items()}
         raw = raw.select(*[F.col(f"`{c}`").alias(rename.get(c, c)) for c in raw.columns])
-    return normalize(raw)
+    return raw
 
 
 def load(spark: SparkSession, source: DataFrame | str | None = None, reference_headers: bool = True) -> DataFrame:

@@ -197,6 +197,20 @@ def test_load(spark):
     assert all(x.outlier_pct is not None for x in stats.outliers_iqr(with_features(frame)).collect())
 
 
+def test_rejected_cells_of_a_file(spark, tmp_path):
+    from glenfare.sources import schema
+    header = ",".join(schema.REFERENCE_HEADERS[c] for c in schema.TRIP_COLUMNS)
+    lines = ["2024-01-01 10:00:00,G1 1AA,G2 2BB,3.5,10,8,10%,0.8,8.8,Card,1",
+             "not a time,G1 1AA,,far,10,NaN,10%,,8.8,Card,two", ",,,,,,,,,,", "2024-01-01 11:00:00,G1 1AA,G2 2BB,1"]
+    (tmp_path / "t.csv").write_text("\n".join([header, *lines]), encoding="utf-8")
+    raw = schema.scan_trips_csv(spark, str(tmp_path / "t.csv"))
+    got = {r.column_name: (r.cells, r.missing, r.rejected) for r in schema.rejected_cells(raw).collect()}
+    assert got == {"ts": (4, 1, 1), "distance_km": (4, 1, 1), "duration_min": (4, 2, 0), "fare_amount": (4, 3, 0),
+                   "tip_amount": (4, 3, 0), "total_amount": (4, 2, 0), "passenger_count": (4, 2, 1)}
+    none = schema.rejected_cells(raw.limit(0)).collect()
+    assert len(none) == 7 and all((r.cells, r.missing, r.rejected) == (0, 0, 0) for r in none)
+
+
 @pytest.mark.parametrize("zone", ["UTC", "Europe/London"])
 def test_series_does_not_read_the_session_zone(spark, zone):
     before = spark.conf.get("spark.sql.session.timeZone")
