@@ -2,7 +2,8 @@
 license templates.
 
 A block is a line, or, of a line of over ``BLOCK_WORDS`` words, each window of
-that many words, starting every half window.  ``wrapped`` (as the query has it)
+that many words, starting every half window.  With a template of over half as many
+words, windows have twice its words, so that a run of its length is always whole in one.  ``wrapped`` (as the query has it)
 cuts each paragraph, lines up to one without words, in the same way beside its
 lines, as notices are wrapped.  A block meets a template when it
 contains at least ``CONTAINMENT`` of the template's distinct words.  Words are
@@ -84,17 +85,22 @@ def blocks(line: list[bytes], size: int = BLOCK_WORDS) -> Iterator[list[bytes]]:
         yield line[lo:lo + size]
 
 
-def text_blocks(lines: list[list[bytes]], wrapped: bool) -> Iterator[list[bytes]]:
+def window_words(templates: list[tuple[str, str]]) -> int:
+    """Words of a window: twice those of the longest template, BLOCK_WORDS at least."""
+    return max(BLOCK_WORDS, 2 * max((len(words(t)) for _, t in templates), default=0))
+
+
+def text_blocks(lines: list[list[bytes]], wrapped: bool, size: int = BLOCK_WORDS) -> Iterator[list[bytes]]:
     """The blocks of a text, given as the words of its lines."""
     for worded, group in groupby(lines, bool):
         paragraph = list(group)
         if wrapped and worded and len(paragraph) > 1:
             whole = [w for line in paragraph for w in line]
-            yield from blocks(whole)
-            if len(whole) <= BLOCK_WORDS:  # holds the lines
+            yield from blocks(whole, size)
+            if len(whole) <= size:  # holds the lines
                 continue
         for line in paragraph:
-            yield from blocks(line)
+            yield from blocks(line, size)
 
 
 def base_places(flat: list[bytes], phrases: dict[str, str]) -> dict[str, list[int]]:
@@ -134,12 +140,13 @@ class Templates:
         return None
 
 
-def count_words(batches: Iterator[pa.RecordBatch], vocabulary: frozenset[bytes], wrapped: bool) -> Iterator[pa.RecordBatch]:
+def count_words(batches: Iterator[pa.RecordBatch], vocabulary: frozenset[bytes], wrapped: bool,
+                size: int = BLOCK_WORDS) -> Iterator[pa.RecordBatch]:
     """(word, n): blocks of this task that hold each template word."""
     n: Counter = Counter()
     for b in batches:
         for t in b.column("text"):
-            for block in text_blocks(word_lines(t.as_py()), wrapped):
+            for block in text_blocks(word_lines(t.as_py()), wrapped, size):
                 n.update(vocabulary.intersection(block))
     yield pa.RecordBatch.from_pydict({"word": pa.array([w.decode() for w in n], pa.string()),
                                       "n": pa.array(n.values(), pa.int64())})
@@ -153,7 +160,7 @@ ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.i
 
 
 def scan(batches: Iterator[pa.RecordBatch], templates: Templates, phrases: dict[str, str],
-         wrapped: bool) -> Iterator[pa.RecordBatch]:
+         wrapped: bool, size: int = BLOCK_WORDS) -> Iterator[pa.RecordBatch]:
     """The base scan of every row, and its candidate blocks."""
     row = TaskContext.get().partitionId() << 40
     for b in batches:
@@ -163,7 +170,7 @@ def scan(batches: Iterator[pa.RecordBatch], templates: Templates, phrases: dict[
             flat = [w for line in lines for w in line]
             places = base_places(flat, phrases)
             starts = [x for xs in places.values() for x in xs]
-            found = {tuple(c) for block in text_blocks(lines, wrapped) if (c := templates.candidate(block))}
+            found = {tuple(c) for block in text_blocks(lines, wrapped, size) if (c := templates.candidate(block))}
             out.append((row, doc_id, len(flat), len(starts), min(starts, default=None), max(starts, default=None),
                         sorted(places), sorted(found)))
             row += 1
@@ -193,13 +200,14 @@ def license_rows(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, containm
     ship(__name__)
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    vocabulary = frozenset(w for _, t in templates for w in words(t))
+    vocabulary, size = frozenset(w for _, t in templates for w in words(t)), window_words(templates)
     # one row for each word of the templates
     frequency = {r["word"]: r["n"] for r in rows.select("text").mapInArrow(
-        partial(count_words, vocabulary=vocabulary, wrapped=wrapped), "word string, n bigint").groupBy("word").agg(
+        partial(count_words, vocabulary=vocabulary, wrapped=wrapped, size=size), "word string, n bigint").groupBy("word").agg(
         F.sum("n").alias("n")).collect()}
     ordered = Templates(templates, frequency, containment)
-    scanned = stored(rows.mapInArrow(partial(scan, templates=ordered, phrases=phrases, wrapped=wrapped), SCANNED), "license-scan")
+    scanned = stored(rows.mapInArrow(partial(scan, templates=ordered, phrases=phrases, wrapped=wrapped, size=size), SCANNED),
+                     "license-scan")
     found = template_links(scanned, ordered).groupBy("row").agg(
         F.collect_set("label").alias("found"), F.max("containment").alias("best"))
     cols = ["doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels")]

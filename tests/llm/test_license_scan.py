@@ -88,6 +88,15 @@ def paragraph_brute(text):
             if any(len(own & p) >= math.ceil(S.CONTAINMENT * len(own) - 1e-9) for p in parts)}
 
 
+def test_a_long_template_is_met_at_every_offset(spark):
+    notice = " ".join(f"clause{k}" for k in range(90))
+    rows = [(k, "filler " * k + notice + " filler" * 300) for k in range(0, 200, 7)] + [(1000, " ".join(notice.split()[:80]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["labels"] for r in S.license_rows(docs, [("long", notice), ("mit", "released under the MIT License")]).collect()}
+    assert got == {k: "long" if k < 1000 else "" for k, _ in rows}
+    assert S.window_words(S.TEMPLATES) == S.BLOCK_WORDS and S.window_words([]) == S.BLOCK_WORDS
+
+
 def test_wrapped_notices(spark, tmp_path):
     rnd = random.Random(9)
     wrap = lambda t, n: "\n".join(" ".join(t.split()[i:i + n]) for i in range(0, len(t.split()), n))
