@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from glenfare.functions import expr as X
 from glenfare.oracle import with_ctes
-from glenfare.plans.joins import attach_scalars
+from glenfare.plans.rollup import at, cells, levels, total
 
 # Weekday names Monday-first and short month names.
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
@@ -205,19 +205,19 @@ def weekday_pattern(features: DataFrame) -> DataFrame:
 def fleet_summary(features: DataFrame, top_n: int = 5) -> DataFrame:
     """Peak share, weekend share, mean trips per (hour, weekday) cell, and
     the revenue share of the top areas among trips with a known area (DEM15)."""
-    glob = features.agg(
-        F.count(F.lit(1)).alias("total_trips"),
-        F.count_distinct("hour").alias("_nh"),
-        F.count_distinct("day_of_week").alias("_nd"),
-        F.count_if(F.col("hour").isin(7, 8, 9, 17, 18, 19)).alias("_peak"),
-        F.count_if(F.col("is_weekend") == 1).alias("_wkend"))
-    area = (features.filter(F.col("pickup_area").isNotNull())
-            .groupBy("pickup_area").agg(F.sum("total_amount").alias("rev")))
-    w = Window.orderBy(F.desc("rev"), F.asc("pickup_area"))
-    top = (area.withColumn("_rn", F.row_number().over(w))
-           .agg(F.sum(F.when(F.col("_rn") <= top_n, F.col("rev"))).alias("_top"),
-                F.sum("rev").alias("_all")))
-    return attach_scalars(glob, top).select(
+    dims = ["hour", "day_of_week", "pickup_area"]
+    lev = levels(cells(features, dims, ("total_amount",),
+                       peak=F.count_if(F.col("hour").isin(7, 8, 9, 17, 18, 19)),
+                       weekend=F.count_if(F.col("is_weekend") == 1)), dims)
+    rev = F.when(at("pickup_area"), F.col("total_amount_sum"))
+    w = Window.partitionBy(at("pickup_area")).orderBy(F.desc("total_amount_sum"), F.asc("pickup_area"))
+    row = lev.withColumn("_rn", F.row_number().over(w)).agg(
+        F.coalesce(total("trips", "hour"), F.lit(0)).alias("total_trips"),
+        F.count_if(at("hour")).alias("_nh"), F.count_if(at("day_of_week")).alias("_nd"),
+        F.coalesce(total("peak", "hour"), F.lit(0)).alias("_peak"),
+        F.coalesce(total("weekend", "hour"), F.lit(0)).alias("_wkend"),
+        F.sum(F.when(F.col("_rn") <= top_n, rev)).alias("_top"), F.sum(rev).alias("_all"))
+    return row.select(
         "total_trips",
         F.round(F.try_divide(F.col("total_trips"), F.col("_nh") * F.col("_nd")), 4).alias("avg_trips_per_cell"),
         F.round(F.try_divide(F.col("_peak"), F.col("total_trips")), 6).alias("peak_demand_ratio"),

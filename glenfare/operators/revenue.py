@@ -1,20 +1,20 @@
 """Revenue and executive KPIs (REV1-REV9, EXE1-EXE9).
 
 KPI rows are single global aggregates (partial aggregation per task, one
-final row); area tables are grouped aggregates over a bounded number of
+final row), or rollups of one grouped scan (``plans/rollup.py``); area tables are grouped aggregates over a bounded number of
 districts.  Ratios use ``try_divide`` so empty or zero denominators give null
 instead of failing under ANSI mode.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glenfare.functions import expr as X
 from glenfare.oracle import with_ctes
-from glenfare.plans.joins import attach_scalars
 from glenfare.plans.quantiles import quantiles
+from glenfare.plans.rollup import at, cells, first_by, levels, total
 
 
 def _r(c, n=4):
@@ -98,23 +98,17 @@ def passenger_distribution(features: DataFrame) -> DataFrame:
 
 def business_insights(features: DataFrame) -> DataFrame:
     """One KPI row composed of the demand, revenue and share aggregates (REV7)."""
-    glob = features.agg(F.count(F.lit(1)).alias("total_trips"),
-                        _r(F.sum("total_amount"), 2).alias("total_revenue"),
-                        _r(F.avg("fare_amount")).alias("avg_fare"),
-                        F.avg("total_amount").alias("_rpt"))
-    hourly = (features.filter(F.col("hour").isNotNull()).groupBy("hour")
-              .agg(F.count(F.lit(1)).alias("n"), F.avg("total_amount").alias("rev")))
-    hrow = hourly.agg(
-        F.min_by("hour", F.struct(-F.col("n"), F.col("hour"))).alias("peak_hour"),
-        F.min_by("hour", F.struct(F.col("n"), F.col("hour"))).alias("off_peak_hour"),
-        F.min_by("hour", F.struct(-F.col("rev"), F.col("hour"))).alias("best_revenue_hour"),
-        F.min_by("hour", F.struct(F.col("rev"), F.col("hour"))).alias("worst_revenue_hour"))
-    pay = (features.filter(F.col("payment_type").isNotNull()).groupBy("payment_type").count()
-           .agg(F.min_by("payment_type", F.struct(-F.col("count"), F.col("payment_type"))).alias("dominant_payment")))
-    pas = (features.filter(F.col("passenger_count").isNotNull()).groupBy("passenger_count").count()
-           .agg(F.min_by("passenger_count", F.struct(-F.col("count"), F.col("passenger_count")))
-                .alias("most_common_passengers")))
-    row = attach_scalars(attach_scalars(attach_scalars(glob, hrow), pay), pas)
+    dims = ["hour", "payment_type", "passenger_count"]
+    n, mean = F.col("trips"), F.try_divide(F.col("total_amount_sum"), F.col("total_amount_n"))
+    row = levels(cells(features, dims, ("total_amount", "fare_amount")), dims).agg(
+        F.coalesce(total("trips", "hour"), F.lit(0)).alias("total_trips"),
+        _r(total("total_amount_sum", "hour"), 2).alias("total_revenue"),
+        _r(F.try_divide(total("fare_amount_sum", "hour"), total("fare_amount_n", "hour"))).alias("avg_fare"),
+        F.try_divide(total("total_amount_sum", "hour"), total("total_amount_n", "hour")).alias("_rpt"),
+        first_by("hour", -n).alias("peak_hour"), first_by("hour", n).alias("off_peak_hour"),
+        first_by("hour", -mean).alias("best_revenue_hour"), first_by("hour", mean).alias("worst_revenue_hour"),
+        first_by("payment_type", -n).alias("dominant_payment"),
+        first_by("passenger_count", -n).alias("most_common_passengers"))
     rpt = F.col("_rpt")
     # Performance bands of revenue per trip.
     return row.select(
@@ -194,14 +188,16 @@ def exec_area_revenue(features: DataFrame, n: int = 10) -> DataFrame:
 def exec_concentration(features: DataFrame, big: float = 10000.0) -> DataFrame:
     """Top area, its share of all revenue (null-area trips included in the
     denominator, D20) and the number of areas above ``big`` (EXE2)."""
-    ar = _area_rev(features).agg(
-        F.min_by("pickup_area", F.struct(-F.col("_rev"), F.col("pickup_area"))).alias("top_area"),
-        F.max("_rev").alias("_top"), F.count_if(F.col("_rev") > big).alias("areas_over_threshold"))
-    tot = features.agg(F.sum("total_amount").alias("_all"))
-    return attach_scalars(ar, tot).select(
-        "top_area", _r(F.col("_top"), 2).alias("top_revenue"),
-        _r(F.try_divide(F.col("_top"), F.col("_all")) * 100).alias("concentration_pct"),
-        "areas_over_threshold")
+    # One scan: the trips without an area are a group as well, and only the total reads it.
+    area, rev = F.col("pickup_area"), F.col("_rev")
+    known = area.isNotNull()
+    return features.groupBy("pickup_area").agg(F.sum("total_amount").alias("_rev")).agg(
+        F.min_by("pickup_area", F.when(known, F.struct(-rev, area))).alias("top_area"),
+        F.max(F.when(known, rev)).alias("_top"), F.count_if(known & (rev > big)).alias("areas_over_threshold"),
+        F.sum("_rev").alias("_all")) \
+        .select("top_area", _r(F.col("_top"), 2).alias("top_revenue"),
+                _r(F.try_divide(F.col("_top"), F.col("_all")) * 100).alias("concentration_pct"),
+                "areas_over_threshold")
 
 
 def exec_peak_hours(features: DataFrame, n: int = 3) -> DataFrame:
@@ -230,11 +226,10 @@ def exec_top_fare(features: DataFrame, n: int = 8) -> DataFrame:
             .select("pickup_area", _r(F.col("_m")).alias("avg_total")))
 
 
-def _weekend_parts(features: DataFrame) -> DataFrame:
+def _weekend_parts() -> dict[str, Column]:
     wk, wd = F.col("is_weekend") == 1, F.col("is_weekend") == 0
-    return features.agg(
-        F.sum(F.when(wk, F.col("total_amount"))).alias("_wr"), F.count_if(wk).alias("_wn"),
-        F.sum(F.when(wd, F.col("total_amount"))).alias("_dr"), F.count_if(wd).alias("_dn"))
+    return {"_wr": F.sum(F.when(wk, F.col("total_amount"))), "_wn": F.count_if(wk),
+            "_dr": F.sum(F.when(wd, F.col("total_amount"))), "_dn": F.count_if(wd)}
 
 
 def _premium():
@@ -243,7 +238,7 @@ def _premium():
 
 def weekend_premium(features: DataFrame) -> DataFrame:
     """Weekend and weekday revenue and the per-trip weekend premium % (EXE5)."""
-    return _weekend_parts(features).select(
+    return features.agg(*[e.alias(name) for name, e in _weekend_parts().items()]).select(
         _r(F.col("_wr"), 2).alias("weekend_revenue"), _r(F.col("_dr"), 2).alias("weekday_revenue"),
         _r(_premium()).alias("weekend_premium_pct"))
 
@@ -269,10 +264,14 @@ def time_efficiency(features: DataFrame) -> DataFrame:
 
 def risk_flags(features: DataFrame, share_cut: float = 20.0, peak_factor: float = 2.0) -> DataFrame:
     """Revenue-concentration and peak-capacity risks (EXE8)."""
-    conc = exec_concentration(features)
-    h = features.filter(F.col("hour").isNotNull()).groupBy("hour").agg(F.count(F.lit(1)).alias("n"))
-    peak = h.agg(F.max("n").alias("peak_hour_trips"), F.avg("n").alias("_mean"))
-    return attach_scalars(conc, peak).select(
+    dims = ["pickup_area", "hour"]
+    rev, n = F.col("total_amount_sum"), F.col("trips")
+    row = levels(cells(features, dims, ("total_amount",)), dims).agg(
+        first_by("pickup_area", -rev).alias("top_area"), F.max(F.when(at("pickup_area"), rev)).alias("_top"),
+        total("total_amount_sum", "pickup_area").alias("_all"),
+        F.max(F.when(at("hour"), n)).alias("peak_hour_trips"), F.avg(F.when(at("hour"), n)).alias("_mean"))
+    row = row.withColumn("concentration_pct", _r(F.try_divide(F.col("_top"), F.col("_all")) * 100))
+    return row.select(
         "top_area", "concentration_pct", (F.col("concentration_pct") > share_cut).alias("concentration_risk"),
         "peak_hour_trips", _r(F.try_divide(F.col("peak_hour_trips"), F.col("_mean"))).alias("peak_to_mean"),
         (F.col("peak_hour_trips") > F.col("_mean") * peak_factor).alias("peak_capacity_risk"))
@@ -280,10 +279,13 @@ def risk_flags(features: DataFrame, share_cut: float = 20.0, peak_factor: float
 
 def exec_metrics(features: DataFrame) -> DataFrame:
     """The six-metric performance table in long form (EXE9)."""
-    a = features.agg(F.sum("total_amount").alias("_rev"), F.count(F.lit(1)).alias("_n"),
-                     F.avg("total_amount").alias("_avg"))
-    h = features.filter(F.col("hour").isNotNull()).groupBy("hour").agg(F.count(F.lit(1)).alias("n"))
-    row = attach_scalars(attach_scalars(a, h.agg(F.max("n").alias("_peak"))), _weekend_parts(features))
+    parts = _weekend_parts()
+    hourly = cells(features, ["hour"], ("total_amount",), **parts)
+    row = hourly.agg(
+        F.sum("total_amount_sum").alias("_rev"), F.coalesce(F.sum("trips"), F.lit(0)).alias("_n"),
+        F.try_divide(F.sum("total_amount_sum"), F.sum("total_amount_n")).alias("_avg"),
+        F.max(F.when(F.col("hour").isNotNull(), F.col("trips"))).alias("_peak"),
+        *[F.sum(name).alias(name) for name in parts])
     row = row.select(
         _r(F.col("_rev"), 2).alias("m1"), F.col("_n").cast("double").alias("m2"), _r(F.col("_avg")).alias("m3"),
         _r(F.try_divide(F.col("_rev"), F.col("_n"))).alias("m4"), F.col("_peak").cast("double").alias("m5"),

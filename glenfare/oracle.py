@@ -111,7 +111,7 @@ def all_sql() -> dict[str, str]:
     import importlib
     out: dict[str, str] = {}
     for modname in ["features", "quality", "demand", "revenue", "pricing", "stats", "series",
-                    "segment", "forecast"]:
+                    "segment", "forecast", "cuboid"]:
         mod = importlib.import_module(f"glenfare.operators.{modname}")
         out.update(getattr(mod, "SQL", {}))
     from glenfare.plans.report import summary_sql

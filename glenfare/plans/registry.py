@@ -51,7 +51,7 @@ def _extend(q: dict[str, Query]) -> None:
     """The other operator families."""
     import importlib
     for modname in ["features", "quality", "revenue", "pricing", "stats", "series",
-                    "segment", "forecast"]:
+                    "segment", "forecast", "cuboid"]:
         mod = importlib.import_module(f"glenfare.operators.{modname}")
         for name, spec in getattr(mod, "QUERIES", {}).items():
             kind, fn = spec

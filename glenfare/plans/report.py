@@ -20,6 +20,7 @@ from glenfare.operators import demand, features as feat, forecast, pricing, qual
 from glenfare.operators.features import with_features
 from glenfare.oracle import with_ctes
 from glenfare.plans.joins import attach_scalars
+from glenfare.plans.rollup import cells, first_by, levels, total
 
 #: Section -> parts that read the raw trips, the raw features, or the imputed features.
 SECTIONS: dict[str, tuple[list[Callable], list[Callable], list[Callable]]] = {
@@ -71,19 +72,22 @@ def report_summary(trips: DataFrame) -> DataFrame:
     """One row of headline findings: trips, revenue, peak hour, busiest
     weekday, top pickup area, completeness and outlier-quality labels."""
     f = with_features(trips)
-    peak = demand.peak_hours(f).select(F.col("peak_hour"))
-    busiest = demand.weekday_pattern(f).select(F.col("busiest_day"))
-    top = demand.top_pickup_areas(f, 1).select(F.col("area").alias("top_pickup_area"))
+    dims = ["hour", "day_of_week", "pickup_area"]
+    lev = levels(cells(f, dims, ("total_amount",)), dims)
+    n = F.col("trips")
+    names = F.array(*[F.lit(d) for d in demand.WEEKDAYS])
+    out = lev.agg(
+        F.coalesce(total("trips", "hour"), F.lit(0)).alias("total_trips"),
+        F.round(total("total_amount_sum", "hour"), 2).alias("total_revenue"), first_by("hour", -n).alias("peak_hour"),
+        F.get(names, first_by("day_of_week", -n)).alias("busiest_day"),
+        first_by("pickup_area", -n).alias("top_pickup_area"))
     comp = quality.completeness_score(trips).select("completeness_pct", "completeness_band")
     outq = stats.outlier_quality(f).select(F.col("quality").alias("outlier_quality"))
-    base = f.agg(F.count(F.lit(1)).alias("total_trips"), F.round(F.sum("total_amount"), 2).alias("total_revenue"))
-    out = base
-    for part in (peak, busiest, top, comp, outq):
+    for part in (comp, outq):
         out = attach_scalars(out, part)
     return out
 
 
-
 def summary_sql() -> str:
     from glenfare.operators.demand import SQL as DS
     from glenfare.operators.quality import SQL as QS

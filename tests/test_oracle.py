@@ -24,7 +24,7 @@ SUBSET = ["hourly_demand", "daily_demand", "top_routes", "pareto_pickup", "weekl
           "engineered_features", "holiday_flag", "sample_rows", "csv_roundtrip", "trimmed_trips",
           "price_by_distance_bin", "outliers_iqr", "hourly_box_stats", "tip_histogram", "correlation_spearman",
           "strong_correlations", "anova_fare_hour", "hourly_series", "demand_rolling", "forecast_features",
-          "forecast_seasonal_naive", "standardized_features", "zone_features"]
+          "forecast_seasonal_naive", "standardized_features", "zone_features", "kpi_board", "risk_flags", "fleet_summary"]
 SQL = E.oracle_sql()
 NAMES = sorted(SQL) if os.environ.get("GLENFARE_FULL_ORACLE") else SUBSET
 
