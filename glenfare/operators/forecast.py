@@ -6,6 +6,9 @@
 * Models are ``pyspark.ml`` estimators; metrics are plain aggregates over
   the prediction frame (one pass, partial aggregation), so nothing is
   collected except the fitted model and the k-row importance vectors.
+* A model is fitted once for given rows and parameters and kept in the shared
+  folder (``plans/models.py``): metrics, importances, assessment and
+  comparison read the fit of the forecast itself.
 * The gradient-boosted model (``GBTRegressor``) stands for both boosting
   libraries of the reference; the seasonal model is the seasonal-naive
   forecast of ``series``.
@@ -15,11 +18,13 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel,
+                                   RandomForestRegressionModel, RandomForestRegressor)
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glenfare.operators import series as S
+from glenfare.plans.models import fit_once, key_of, version
 
 FARE_FEATURES = ["distance_km", "duration_min", "passenger_count", "hour"]
 FARE_TARGET = "fare_amount"
@@ -27,6 +32,8 @@ FARE_TARGET = "fare_amount"
 #: level, at most 30 of them, so depth is time: at sf0.01 the demand forest took
 #: minutes with 15 levels.  Pass ``max_depth`` for deeper trees.
 MAX_DEPTH = 10
+MODELS = {LinearRegression: LinearRegressionModel, RandomForestRegressor: RandomForestRegressionModel,
+          GBTRegressor: GBTRegressionModel}
 
 
 def _r(c, n=4):
@@ -47,11 +54,18 @@ def _fare_data(features: DataFrame) -> DataFrame:
 
 
 def _fit(estimator, data: DataFrame):
-    train = data.filter(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return estimator.fit(train)
-    finally:
-        train.unpersist()
+    """``estimator`` fitted on the train rows, once for these rows and parameters."""
+    train = data.filter(F.col("split") == "train")
+
+    def fit():
+        kept = train.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return estimator.fit(kept), None
+        finally:
+            kept.unpersist()
+
+    seen = version(train, [c for c in train.columns if c not in ("features", "split")])
+    return fit_once(data.sparkSession, key_of(estimator, seen), fit, MODELS[type(estimator)])[0]
 
 
 def _forest(label: str, trees: int = 100, seed: int = 42, max_depth: int = MAX_DEPTH) -> RandomForestRegressor:

@@ -1,7 +1,8 @@
 """K-Means segmentation (CLU1-CLU10).
 
 All fits use every row (the reference samples 2,000-3,000 rows first), with
-population-sigma scaling and the best of ``n_init`` seeds.  Summaries are
+population-sigma scaling and the best of ``n_init`` seeds; a fit is kept in
+the shared folder, so clusters, profiles, highlights and the elbow read one.  Summaries are
 grouped aggregates over the clustered rows (k groups, so partial
 aggregation leaves one row per cluster and task), and the labels are
 ``F.when`` chains over those summaries.  Only ``zone_features`` (an area
@@ -11,6 +12,7 @@ labels depend on the fitted model.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from glenfare.functions import expr as X
 from glenfare.oracle import with_ctes
 from glenfare.plans import ml
 from glenfare.plans.joins import attach_scalars
+from glenfare.plans.models import version
 from glenfare.plans.quantiles import quantiles
 
 REPORT_FEATURES = ["distance_km", "duration_min", "fare_amount", "total_amount"]
@@ -59,11 +62,12 @@ def standardized_features(features: DataFrame) -> DataFrame:
 
 def elbow(df: DataFrame, cols: list[str], ks, n_init: int = 10) -> DataFrame:
     """Inertia of K-Means on the scaled ``cols`` for each k (CLU2)."""
-    s = ml.scale(df.dropna(subset=cols).select(*cols), cols)
-    from pyspark import StorageLevel
+    data = df.dropna(subset=cols).select(*cols)
+    s = ml.scale(data, cols)
+    seen = version(data, cols)
     s.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rows = ml.kmeans_elbow(s, ks, n_init)
+        rows = ml.kmeans_elbow(s, seen, ks, n_init)
     finally:
         s.unpersist()
     # The k values and their inertias are k numbers (bounded by the k range).

@@ -6,6 +6,7 @@
   seeds; the fit with the lowest training cost wins.  Fits are Spark jobs;
   they are submitted from a small driver thread pool so the scheduler can
   overlap their stages.  The input is persisted for the duration.
+* ``kept_kmeans``: the same, fitted once for given rows and parameters (``plans/models.py``).
 * ``relabel``: K-Means cluster ids are arbitrary; clusters are renumbered
   0..k-1 by ascending centre (first feature, then the next), so results are
   reproducible and comparable across runs.
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glenfare.plans.joins import attach_scalars
+from glenfare.plans.models import fit_once, key_of, version
 
 
 def scale(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
@@ -34,9 +36,13 @@ def scale(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol=out).transform(s)
 
 
-def _fit(df: DataFrame, k: int, seed: int, max_iter: int, tol: float) -> KMeansModel:
+def _kmeans(k: int, seed: int, max_iter: int = 300, tol: float = 1e-2) -> KMeans:
     return KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol / k ** 0.5, featuresCol="features",
-                  predictionCol="cluster_raw").fit(df)
+                  predictionCol="cluster_raw")
+
+
+def _fit(df: DataFrame, k: int, seed: int, max_iter: int, tol: float) -> KMeansModel:
+    return _kmeans(k, seed, max_iter, tol).fit(df)
 
 
 def best_kmeans(df: DataFrame, k: int, n_init: int = 10, seed: int = 42, max_iter: int = 300,
@@ -53,7 +59,25 @@ def best_kmeans(df: DataFrame, k: int, n_init: int = 10, seed: int = 42, max_ite
     return min(models, key=lambda m: (m.summary.trainingCost, seeds[models.index(m)]))
 
 
-def kmeans_elbow(scaled: DataFrame, ks, n_init: int = 10, seed: int = 42) -> list[tuple[int, float]]:
+def kept_kmeans(scaled: DataFrame, seen: str, k: int, n_init: int = 10, seed: int = 42) -> tuple[KMeansModel, float]:
+    """``best_kmeans`` and its cost, fitted once for the rows of version ``seen``.  ``scaled`` is cached
+    only while the model is fitted (K-Means iterates over it), unless the caller holds it already."""
+
+    def fit():
+        held = scaled.is_cached
+        if not held:
+            scaled.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            m = best_kmeans(scaled, k, n_init, seed)
+            return m, float(m.summary.trainingCost)
+        finally:
+            if not held:
+                scaled.unpersist()
+
+    return fit_once(scaled.sparkSession, key_of(_kmeans(k, seed), n_init, seen), fit, KMeansModel)
+
+
+def kmeans_elbow(scaled: DataFrame, seen: str, ks, n_init: int = 10, seed: int = 42) -> list[tuple[int, float]]:
     """(k, inertia) for each k.  k = 1 is closed-form: the total squared
     deviation from the mean, i.e. the sum of squared standardised values."""
     out = []
@@ -63,7 +87,7 @@ def kmeans_elbow(scaled: DataFrame, ks, n_init: int = 10, seed: int = 42) -> lis
             tot = scaled.agg(F.sum(sum((F.col(c) * F.col(c) for c in zcols), F.lit(0.0)))).first()[0]
             out.append((1, float(tot or 0.0)))
         else:
-            out.append((k, float(best_kmeans(scaled, k, n_init, seed).summary.trainingCost)))
+            out.append((k, kept_kmeans(scaled, seen, k, n_init, seed)[1]))
     return out
 
 
@@ -79,13 +103,7 @@ def cluster(df: DataFrame, cols: list[str], k: int, n_init: int = 10, seed: int
     if k == 1:
         pred = s.withColumn("cluster", F.lit(0))
     else:
-        # Cached only while the model is fitted (K-Means iterates over it);
-        # the returned frame is a lazy plan that recomputes the scaling.
-        s.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            model = best_kmeans(s, k, n_init, seed)
-        finally:
-            s.unpersist()
+        model, _ = kept_kmeans(s, version(data, cols), k, n_init, seed)
         pred = relabel(model.transform(s), model)
     return pred.drop("features", *[f"z_{c}" for c in cols])
 
