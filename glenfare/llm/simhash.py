@@ -5,11 +5,14 @@ fingerprints form a binary trie; the self-join walks pairs of trie nodes down
 together, adds up the bits in which they differ and drops a pair once it has
 more than ``max_bits``.
 
-On the cluster the trie's upper ``depth`` levels deal out the work: the node
-pairs within the error budget at that depth are the cells, and each cell walks
-its two subtrees in one task.  ``depth`` grows with the logarithm of the number of
-fingerprints, so that a subtree holds about ``NODE_FINGERPRINTS``; a subtree
-is split further, by more bits, where it holds more.  A cell returns a spanning
+On the cluster the trie's upper levels deal out the work: pairs of nodes within
+the error budget are the cells, and each cell walks its two subtrees in one task.
+The first ``depth`` levels grow with the logarithm of the number of
+fingerprints, so that a node holds about ``NODE_FINGERPRINTS``.  Nodes are counted first: a pair is
+a cell only if both of its nodes hold something, and a pair that holds more than
+``CELL_FINGERPRINTS`` goes ``SPLIT_BITS`` levels further down, with what is left of its
+budget, again and again (crowded subtrees come from many texts that
+share most of their words).  A cell returns a spanning
 forest of its links and not the pairs, so a family of n near copies costs n
 rows.  Components then come from repeated minimum-label joins over the forest
 edges, with their tables in the shared folder.
@@ -25,18 +28,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glenfare.llm.common import rows_in, ship, small_batches, stored, table, text_key
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 3, 42
 NODE_FINGERPRINTS = 1 << 16
+#: A pair of nodes with more fingerprints is split, by so many levels at a time, down to the last level of a signed path.
+CELL_FINGERPRINTS, SPLIT_BITS, LAST_LEVEL = 4 * NODE_FINGERPRINTS, 4, 62
 #: Stands for the id of a fingerprint whose rows all have a null doc_id: it sorts last.
 NO_ID = (1 << 63) - 1
 #: Least depth, so that even a small table is dealt over many tasks.
@@ -179,8 +185,9 @@ def _masks(depth: int, max_bits: int) -> set[int]:
     return out
 
 
-def cell_links(pdf: pd.DataFrame, depth: int, max_bits: int) -> pd.DataFrame:
-    """Forest edges (id, fp, root_id, root_fp) of one cell: a node with itself or two nodes."""
+def cell_links(pdf: pd.DataFrame, max_bits: int) -> pd.DataFrame:
+    """Forest edges (id, fp, root_id, root_fp) of one cell: a node with itself or two nodes, paths of ``depth`` bits."""
+    depth = int(pdf["depth"].iloc[0])
     value = pdf["fp"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(value)
     value, ids = value[order], pdf["id"].to_numpy(np.int64)[order]
@@ -196,22 +203,71 @@ def cell_links(pdf: pd.DataFrame, depth: int, max_bits: int) -> pd.DataFrame:
     return pd.DataFrame({"id": ids[moved], "fp": fp[moved], "root_id": ids[to], "root_fp": fp[to]})
 
 
-def trie_links(distinct: DataFrame, n: int, max_bits: int = MAX_BITS, depth: int | None = None) -> DataFrame:
+def path_at(depth: int) -> Column:
+    return F.shiftrightunsigned("fp", 64 - depth)
+
+
+def node_pairs(distinct: DataFrame, depth: int, max_bits: int = MAX_BITS,
+               limit: int = CELL_FINGERPRINTS) -> list[tuple[int, DataFrame]]:
+    """(depth, pairs (lo, hi)): the pairs of nodes that hold fingerprints and may hold links, each pair at
+    the first level where it holds at most ``limit`` of them.  Counts are added up in each task; the tables
+    here have a row a node or pair, not a fingerprint."""
+
+    def counted(rows: DataFrame, level: int) -> DataFrame:
+        return stored(rows.groupBy(path_at(level).alias("lo")).agg(F.count(F.lit(1)).alias("n")), "simhash-nodes")
+
+    def both(half: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Pairs whose other node holds something, with the fingerprints of the two."""
+        other = nodes.select(F.col("lo").alias("hi"), F.col("n").alias("m"))
+        size = F.col("n") + F.when(F.col("lo") == F.col("hi"), 0).otherwise(F.col("m"))
+        return stored(half.filter(F.col("lo") <= F.col("hi")).join(other, "hi").select("lo", "hi", size.alias("size")),
+                      "simhash-pairs")
+
+    def masks(bits: int) -> Column:
+        return F.array(*[F.lit(m).cast("long") for m in near_masks(bits, max_bits)])
+
+    nodes = counted(distinct, depth)
+    pairs = both(nodes.withColumn("mask", F.explode(masks(depth)))
+                 .select("lo", F.col("lo").bitwiseXOR(F.col("mask")).alias("hi"), "n"), nodes)
+    out = []
+    while True:
+        crowded = pairs.filter(F.col("size") > limit)
+        if depth + SPLIT_BITS > LAST_LEVEL or crowded.isEmpty():
+            return [*out, (depth, pairs.select("lo", "hi"))]
+        out.append((depth, pairs.filter(F.col("size") <= limit).select("lo", "hi")))
+        inside = crowded.select(F.explode(F.array("lo", "hi")).alias("path")).distinct()
+        nodes = counted(distinct.join(inside, path_at(depth) == F.col("path"), "left_semi"), depth + SPLIT_BITS)
+        spent = F.col("up_lo").bitwiseXOR(F.col("up_hi"))
+        near = F.filter(masks(SPLIT_BITS), lambda m: F.bit_count(m) <= max_bits - F.bit_count(spent))
+        half = (nodes.withColumn("up_lo", F.shiftright("lo", SPLIT_BITS))
+                .join(crowded.select(F.col("lo").alias("up_lo"), F.col("hi").alias("up_hi")), "up_lo")
+                .withColumn("mask", F.explode(near))
+                .select("lo", F.col("lo").bitwiseXOR(F.shiftleft(spent, SPLIT_BITS)).bitwiseXOR(F.col("mask")).alias("hi"),
+                        "n"))
+        depth += SPLIT_BITS
+        pairs = both(half, nodes)
+
+
+def trie_links(distinct: DataFrame, n: int, max_bits: int = MAX_BITS, depth: int | None = None,
+               limit: int = CELL_FINGERPRINTS) -> DataFrame:
     """(v, u): forest edges that connect all fingerprints within ``max_bits``.  A
     vertex is (id, fp): the least doc_id of the fingerprint goes along, so that
     the least vertex of a component names it."""
     ship(__name__)
     depth = depth or max(MIN_DEPTH, math.ceil(math.log2(max(1, n / NODE_FINGERPRINTS))))
-    masks = F.array(*[F.lit(m).cast("long") for m in near_masks(depth, max_bits)])
-    path = F.shiftrightunsigned("fp", 64 - depth)
-    cells = (distinct.select("id", "fp", path.alias("path")).withColumn("mask", F.explode(masks))
-             .select("id", "fp", F.least("path", F.col("path").bitwiseXOR(F.col("mask"))).alias("lo"),
-                     F.greatest("path", F.col("path").bitwiseXOR(F.col("mask"))).alias("hi")))
+    dealt = []
+    for level, pairs in node_pairs(distinct, depth, max_bits, limit):
+        pair = F.struct("lo", "hi")
+        sides = (pairs.select(F.col("lo").alias("path"), pair.alias("pair"))
+                 .union(pairs.filter(F.col("lo") < F.col("hi")).select(F.col("hi").alias("path"), pair.alias("pair"))))
+        dealt.append(distinct.select("id", "fp", path_at(level).alias("path")).join(sides, "path")
+                     .select("id", "fp", F.lit(level).alias("depth"), "pair.lo", "pair.hi"))
+    cells = reduce(DataFrame.union, dealt)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        return cell_links(pdf, depth, max_bits)
+        return cell_links(pdf, max_bits)
 
-    return (cells.groupBy("lo", "hi").applyInPandas(walk, "id bigint, fp bigint, root_id bigint, root_fp bigint")
+    return (cells.groupBy("depth", "lo", "hi").applyInPandas(walk, "id bigint, fp bigint, root_id bigint, root_fp bigint")
             .select(F.struct("id", "fp").alias("v"), F.struct(F.col("root_id").alias("id"), F.col("root_fp").alias("fp")).alias("u")))
 
 

@@ -98,6 +98,38 @@ def test_dense_family_and_depths(spark):
         assert labels.select("label").distinct().count() == 1 and labels.count() == len(v)
 
 
+def test_crowded_subtrees_are_split(spark):
+    """Most fingerprints share their first bits: their cells go down until they are small, and no link is lost."""
+    rng = np.random.default_rng(5)
+    low = rng.integers(0, 1 << 40, 1500, dtype=np.uint64)  # crowded: 24 equal leading bits, spread below
+    low[::3] = low[0] ^ (np.uint64(1) << rng.integers(0, 40, 500).astype(np.uint64))
+    family = np.uint64(0xABCDEF) << np.uint64(40) | low
+    far = rng.integers(0, 2**63, 300, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    top = family[:200] ^ (np.uint64(1) << np.uint64(63))  # a link that crosses the very first bit
+    v = np.unique(np.concatenate([family, far, top]))
+    root = list(range(len(v)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(v)):
+        for j in np.flatnonzero(np.bitwise_count(v[i + 1:] ^ v[i]) <= 3) + i + 1:
+            a, b = sorted((find(i), find(int(j))))
+            root[b] = a
+    exp = {k: find(k) for k in range(len(v)) if any(find(j) == find(k) for j in range(len(v)) if j != k)}
+    df = spark.createDataFrame([(k, int(x)) for k, x in enumerate(v.view(np.int64))], "id bigint, fp bigint")
+    levels = S.node_pairs(df, 2, limit=100)
+    assert len(levels) > 6  # past the 24 equal bits
+    sizes = {x: c for d, p in levels for x, c in [(d, p.count())]}
+    assert all(c for d, c in sizes.items() if d > 26)
+    got = S.components(S.trie_links(df, len(v), depth=2, limit=100))
+    assert {r["v"]["id"]: r["label"]["id"] for r in got.collect()} == exp
+    whole = S.components(S.trie_links(df, len(v), depth=2))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, got.collect()))
+
+
 def test_long_chain_components(spark):
     rnd = random.Random(4)
     ids = list(range(200))
