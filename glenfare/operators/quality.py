@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glenfare.oracle import with_ctes
+from glenfare.plans.heavy import heavy_hitters
 from glenfare.plans.quantiles import quantiles
 from glenfare.sources.schema import NUMERIC_MEASURES, TRIP_COLUMNS
 
@@ -197,6 +198,16 @@ def categorical_top5(trips: DataFrame, cols: list[str] | None = None, k: int = 5
             .select("column_name", "rank", "value", F.col("n").alias("count"), "share_pct"))
 
 
+def with_route(trips: DataFrame) -> DataFrame:
+    """``trips`` plus ``route``, both postcodes: a string with far more values than either."""
+    return trips.withColumn("route", F.concat("pickup_postcode", F.lit(" > "), "dropoff_postcode"))
+
+
+def frequent_values(trips: DataFrame, cols: list[str] | None = None, k: int = 5) -> DataFrame:
+    """Top-k values of strings with many values, from candidates that are proven or else counted in full (PRO9, PRO16)."""
+    return heavy_hitters(with_route(trips), cols or [*STRING_COLUMNS, "route"], k)
+
+
 def business_benchmarks(features: DataFrame) -> DataFrame:
     """Revenue, fare, tip, distance, duration and per-unit revenue (PRO10)."""
     a = features.agg(F.sum("total_amount").alias("_rev"), F.avg("fare_amount").alias("_fare"),
@@ -416,6 +427,13 @@ SQL = {
       arg_min(value, (-n, value)) AS most_common, round(max(n) / sum(n) * 100, 4) AS most_common_pct,
       arg_max(value, (-n, value)) AS least_common, round(min(n) / sum(n) * 100, 4) AS least_common_pct
       FROM ({_vc_sql(STRING_COLUMNS)}) GROUP BY column_name"""),
+    "frequent_values": with_ctes(
+        "SELECT column_name, rank, value, count, share_pct FROM ("
+        "SELECT column_name, value, count(*) AS count, round(count(*) / sum(count(*)) OVER (PARTITION BY column_name) "
+        "* 100, 4) AS share_pct, row_number() OVER (PARTITION BY column_name ORDER BY count(*) DESC, value) AS rank FROM ("
+        + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {e} AS value FROM trips" for c, e in [
+            *[(c, c) for c in STRING_COLUMNS], ("route", "pickup_postcode || ' > ' || dropoff_postcode")])
+        + ") WHERE value IS NOT NULL GROUP BY column_name, value) WHERE rank <= 5"),
     "categorical_top5": with_ctes(f"""SELECT column_name, rank, value, count, share_pct FROM (
       SELECT column_name, value, n AS count, round(n / sum(n) OVER (PARTITION BY column_name) * 100, 4) AS share_pct,
         row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rank
@@ -468,7 +486,7 @@ SQL = {
 
 QUERIES = {
     **{n: ("trips", globals()[n]) for n in
-       ["dataset_overview", "column_info", "dtype_summary", "quick_stats", "categorical_stats", "categorical_top5",
+       ["dataset_overview", "column_info", "dtype_summary", "quick_stats", "categorical_stats", "categorical_top5", "frequent_values",
         "missing_by_column", "missing_recommendations", "missing_patterns", "completeness_score", "duplicate_rows",
         "impute_median"]},
     **{n: ("features", globals()[n]) for n in
