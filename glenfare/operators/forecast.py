@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from glenfare.operators import series as S
 from glenfare.plans.models import fit_once, key_of, version
+from glenfare.plans.stages import stored
 
 FARE_FEATURES = ["distance_km", "duration_min", "passenger_count", "hour"]
 FARE_TARGET = "fare_amount"
@@ -163,7 +164,8 @@ def fare_model_assessment(features: DataFrame) -> DataFrame:
 def _forecast_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glenfare.plans.registry import features
     m = S.forecast_features(features(spark, sf_dir), weather=S.weather_fixture(spark, sf_dir))
-    return S.forecast_split(m)
+    # a row for each hour of the span: stored, it is built from the trips once, and the plan of the trees' stages is short
+    return stored(S.forecast_split(m), "forecast-matrix")
 
 
 def _assembled(split: DataFrame) -> tuple[DataFrame, list[str]]:
