@@ -16,6 +16,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel,
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glenfare.operators import series as S
-from glenfare.plans.models import fit_once, key_of, version
+from glenfare.plans.models import fit_once, key_of, versioned
 from glenfare.plans.stages import stored
 
 FARE_FEATURES = ["distance_km", "duration_min", "passenger_count", "hour"]
@@ -33,6 +35,8 @@ FARE_TARGET = "fare_amount"
 #: level, at most 30 of them, so depth is time: at sf0.01 the demand forest took
 #: minutes with 15 levels.  Pass ``max_depth`` for deeper trees.
 MAX_DEPTH = 10
+#: Train rows that are fitted in the partitions that they come in, and the most in a partition of more.
+FEW_ROWS, MOST_ROWS = 100_000, 1_000_000
 MODELS = {LinearRegression: LinearRegressionModel, RandomForestRegressor: RandomForestRegressionModel,
           GBTRegressor: GBTRegressionModel}
 
@@ -54,18 +58,31 @@ def _fare_data(features: DataFrame) -> DataFrame:
     return hash_split(a, FARE_FEATURES + [FARE_TARGET])
 
 
+def _dealt(train: DataFrame, n: int) -> DataFrame:
+    """``train`` in as many equal partitions as there are cores, or a multiple of that from ``MOST_ROWS`` in each on.
+
+    A file's row groups are few and uneven, and a tree's levels wait for the largest partition; more partitions than needed
+    would each send statistics of every node.  Up to ``FEW_ROWS`` the rows stay as they are."""
+    if n <= FEW_ROWS:
+        return train
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    parts = cores * math.ceil(n / (cores * MOST_ROWS))
+    return train.repartition(parts).sortWithinPartitions(*[c for c in train.columns if c != "features"])
+
+
 def _fit(estimator, data: DataFrame):
     """``estimator`` fitted on the train rows, once for these rows and parameters."""
-    train = data.filter(F.col("split") == "train")
+    train = data.filter(F.col("split") == "train").drop("split")
+    seen, facts = versioned(train, [c for c in train.columns if c != "features"])
 
     def fit():
-        kept = train.persist(StorageLevel.MEMORY_AND_DISK)
+        label = estimator.getLabelCol()
+        kept = _dealt(train, facts[0]).select("features", label).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             return estimator.fit(kept), None
         finally:
             kept.unpersist()
 
-    seen = version(train, [c for c in train.columns if c not in ("features", "split")])
     return fit_once(data.sparkSession, key_of(estimator, seen), fit, MODELS[type(estimator)])[0]
 
 

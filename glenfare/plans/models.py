@@ -2,8 +2,8 @@
 
 ``fit_once`` looks a model up by what it was fitted on and how: the version of the
 rows, the estimator's class and all of its parameters.  The version is taken from the
-rows themselves in one scan (their number, and the sum and the exclusive or of two
-hashes of each row), so it does not depend on their order, their partitions
+rows themselves in one scan (their number, sums of both ends of one hash of each row
+and the exclusive or of another), so it does not depend on their order, their partitions
 or the plan that makes them, and changed rows never meet an old model.
 
 A model is saved under a name of its own; the entry that points to it is written
@@ -20,7 +20,7 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.ml.base import Estimator, Model
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from glenfare.session import checkpoint_dir
@@ -28,13 +28,20 @@ from glenfare.session import checkpoint_dir
 ENTRY = "path string, cost double"
 
 
+def versioned(df: DataFrame, cols: list[str], *facts: Column) -> tuple[str, Row]:
+    """``version`` and, from the same scan, the aggregates ``facts``."""
+    known = [F.col(c).isNull() for c in cols]  # null and '' differ
+    a, b = F.xxhash64(F.lit(1), *cols, *known), F.xxhash64(F.lit(2), *cols, *known)
+    # 24 bits at each end: as longs, their sums hold half a billion times a thousand rows
+    low, high = a.bitwiseAND(F.lit((1 << 24) - 1)), F.shiftright(a, 40)
+    row = df.agg(F.count(F.lit(1)), F.sum(low), F.sum(high), F.bit_xor(b), *facts).first()
+    types = ",".join(f"{c} {t}" for c, t in df.select(*cols).dtypes)
+    return f"{types};{';'.join(map(str, row[:4]))}", row
+
+
 def version(df: DataFrame, cols: list[str]) -> str:
     """Names the values of ``cols`` in the rows of ``df``, repeated rows counted, whatever their order."""
-    row = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
-    known = [F.col(c).isNull() for c in cols]  # null and '' differ
-    a, b = F.xxhash64(F.lit(1), *row, *known), F.xxhash64(F.lit(2), *row, *known)
-    n, total, odd = df.agg(F.count(F.lit(1)), F.sum(a.cast("decimal(38,0)")), F.bit_xor(b)).first()
-    return f"{','.join(cols)};{n};{total};{odd}"
+    return versioned(df, cols)[0]
 
 
 def key_of(estimator: Estimator, *parts) -> str:
