@@ -1,8 +1,9 @@
 """K-Means segmentation (CLU1-CLU10).
 
 All fits use every row (the reference samples 2,000-3,000 rows first), with
-population-sigma scaling and the best of ``n_init`` seeds; a fit is kept in
-the shared folder, so clusters, profiles, highlights and the elbow read one.  Summaries are
+population-sigma scaling and the best of ``n_init`` seeds (``plans/ml.py``); a fit is kept in
+the shared folder, so clusters, profiles, highlights and the elbow read one.  Rows that
+several passes read are cached while the frame is built.  Summaries are
 grouped aggregates over the clustered rows (k groups, so partial
 aggregation leaves one row per cluster and task), and the labels are
 ``F.when`` chains over those summaries.  Only ``zone_features`` (an area
@@ -12,7 +13,6 @@ labels depend on the fitted model.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +20,8 @@ from glenfare.functions import expr as X
 from glenfare.oracle import with_ctes
 from glenfare.plans import ml
 from glenfare.plans.joins import attach_scalars
-from glenfare.plans.models import version
 from glenfare.plans.quantiles import quantiles
+from glenfare.plans.stages import stored
 
 REPORT_FEATURES = ["distance_km", "duration_min", "fare_amount", "total_amount"]
 PATTERN_FEATURES = ["duration_min", "fare_amount", "distance_km"]
@@ -49,6 +49,12 @@ def _summary(clustered: DataFrame, cols: list[str], stats=("mean", "std")) -> Da
     return g.withColumn("pct", _r(F.col("size") / F.sum("size").over(Window.partitionBy()) * 100))
 
 
+def _overall(c: str):
+    """The mean of ``c`` over all rows, from the sizes and means of the clusters (k rows, no null in ``c``)."""
+    w = Window.partitionBy()
+    return F.sum(F.col(f"_m_{c}") * F.col("size")).over(w) / F.sum("size").over(w)
+
+
 def _with_peak(df: DataFrame) -> DataFrame:
     return df.withColumn("is_peak_hour", X.is_peak("hour").cast("int"))
 
@@ -62,14 +68,7 @@ def standardized_features(features: DataFrame) -> DataFrame:
 
 def elbow(df: DataFrame, cols: list[str], ks, n_init: int = 10) -> DataFrame:
     """Inertia of K-Means on the scaled ``cols`` for each k (CLU2)."""
-    data = df.dropna(subset=cols).select(*cols)
-    s = ml.scale(data, cols)
-    seen = version(data, cols)
-    s.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        rows = ml.kmeans_elbow(s, seen, ks, n_init)
-    finally:
-        s.unpersist()
+    rows = ml.kmeans_elbow(df.dropna(subset=cols).select(*cols), cols, ks, n_init)
     # The k values and their inertias are k numbers (bounded by the k range).
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")
 
@@ -126,9 +125,9 @@ def trip_patterns(features: DataFrame, n_init: int = 10) -> DataFrame:
     """k = 5 on duration, fare, distance with trip-type labels against the
     overall means and the best cluster per minute and per km (CLU5)."""
     c = ml.cluster(features.select(*PATTERN_FEATURES), PATTERN_FEATURES, 5, n_init)
-    s = _summary(c, PATTERN_FEATURES, stats=("mean", "std", "min", "max"))
-    overall = c.agg(*[F.avg(x).alias(f"_o_{x}") for x in PATTERN_FEATURES])
-    s = attach_scalars(s, overall)
+    # one scan of the trips; all that follows reads the five rows
+    s = stored(_summary(c, PATTERN_FEATURES, stats=("mean", "std", "min", "max")), "trip-patterns")
+    s = s.withColumns({f"_o_{x}": _overall(x) for x in PATTERN_FEATURES})
     du, fa, di = (F.col(f"_m_{x}") for x in PATTERN_FEATURES)
     odu, ofa, odi = (F.col(f"_o_{x}") for x in PATTERN_FEATURES)
     # Trip-type factors against the overall means.
@@ -152,6 +151,16 @@ def _clustering_data(features: DataFrame) -> DataFrame:
     return _with_peak(price_trimmed(features))
 
 
+def _price_fit(features: DataFrame, cols: list[str], k: int, n_init: int, probs: list[float]) -> tuple[DataFrame, list[float | None]]:
+    """The clustered rows (a lazy plan) and the quantiles of the trimmed price per km.  The trim's passes, the fit's and the
+    quantiles' read the same priced rows: their few columns are cached until the plan is made."""
+    from glenfare.operators.pricing import priced, trim
+    with ml.held(_with_peak(priced(features)).select(*{*cols, "price_per_km"})) as rows:
+        d = trim(rows, "price_per_km")
+        q = quantiles(d, ["price_per_km"], probs)["price_per_km"] if probs else []
+        return ml.cluster(d.select(*cols), cols, k, n_init, cached=True), q
+
+
 def zone_features(features: DataFrame) -> DataFrame:
     """Per pickup area: mean and sum of total, trips, mean / std distance (CLU6)."""
     z = _clustering_data(features).dropna(subset=["pickup_area", "dropoff_area", "total_amount", "distance_km"])
@@ -164,7 +173,7 @@ def zone_features(features: DataFrame) -> DataFrame:
 def zone_clusters(features: DataFrame, n_init: int = 10) -> DataFrame:
     """K-Means (k = min(5, areas)) over the area aggregates; summary and
     value label per zone cluster (CLU6).  The input is one row per area."""
-    zf = zone_features(features)
+    zf = stored(zone_features(features), "zones")  # one row for each area, read by every pass of the fit
     c = ml.cluster(zf, ZONE_FEATURES, 5, n_init)
     overall = zf.agg(F.avg("avg_fare").alias("_o"))
     g = c.groupBy("cluster").agg(F.count(F.lit(1)).alias("zone_count"), _r(F.avg("avg_fare")).alias("avg_fare"),
@@ -177,11 +186,8 @@ def zone_clusters(features: DataFrame, n_init: int = 10) -> DataFrame:
 
 def price_clusters(features: DataFrame, n_init: int = 10) -> DataFrame:
     """k = 4 on total, price/km, tip rate, distance; pricing label (CLU7)."""
-    d = _clustering_data(features)
-    c = ml.cluster(d.select(*PRICE_FEATURES), PRICE_FEATURES, 4, n_init)
-    s = _summary(c, PRICE_FEATURES)
-    q25, = quantiles(d, ["price_per_km"], [0.25])["price_per_km"]
-    s = attach_scalars(s, c.agg(F.avg("price_per_km").alias("_avg"))).withColumn("_q25", F.lit(q25).cast("double"))
+    c, (q25,) = _price_fit(features, PRICE_FEATURES, 4, n_init, [0.25])
+    s = _summary(c, PRICE_FEATURES).withColumns({"_avg": _overall("price_per_km"), "_q25": F.lit(q25).cast("double")})
     p = F.col("_m_price_per_km")
     # Price labels.
     lab = F.when(p > F.col("_avg"), "Premium pricing").when(p < F.col("_q25"), "Budget pricing").otherwise("Standard pricing")
@@ -190,8 +196,7 @@ def price_clusters(features: DataFrame, n_init: int = 10) -> DataFrame:
 
 def time_clusters(features: DataFrame, n_init: int = 10) -> DataFrame:
     """k = 4 on hour, weekend, peak, total, distance; demand label (CLU8)."""
-    d = _clustering_data(features)
-    c = ml.cluster(d.select(*TIME_FEATURES), TIME_FEATURES, 4, n_init)
+    c, _ = _price_fit(features, TIME_FEATURES, 4, n_init, [])
     s = _summary(c, TIME_FEATURES)
     h, wk, pk = F.col("_m_hour"), F.col("_m_is_weekend"), F.col("_m_is_peak_hour")
     # Time labels and their cuts.
@@ -202,10 +207,9 @@ def time_clusters(features: DataFrame, n_init: int = 10) -> DataFrame:
 
 def comprehensive_clusters(features: DataFrame, n_init: int = 10) -> DataFrame:
     """k = 5 on eight features; distance and pricing labels (CLU9)."""
-    d = _clustering_data(features)
-    c = ml.cluster(d.select(*COMPREHENSIVE_FEATURES), COMPREHENSIVE_FEATURES, 5, n_init)
+    c, q = _price_fit(features, COMPREHENSIVE_FEATURES, 5, n_init, [0.25, 0.75])
     s = _summary(c, COMPREHENSIVE_FEATURES)
-    q1, q3 = (F.lit(v).cast("double") for v in quantiles(d, ["price_per_km"], [0.25, 0.75])["price_per_km"])
+    q1, q3 = (F.lit(v).cast("double") for v in q)
     dist, p = F.col("_m_distance_km"), F.col("_m_price_per_km")
     return s.withColumns({
         # Trip types by km, pricing types by quartile.
