@@ -281,3 +281,38 @@ def test_report_has_every_section(spark, tiny):
                           ("fleet_optimization", "fleet_summary"), ("geospatial_map", "geo_revenue"), ("business", "summary"),
                           ("postcode_demand", "pareto_pickup"), ("demand_forecast", "hourly_forecasts")]:
         assert parts[section][name]().count() >= 0, (section, name)
+
+
+def test_numeric_stats_runs_as_generated_code(spark):
+    """Spark leaves generated code for an aggregate of more fields than its limit: all moments of seven columns were 127."""
+    def widest(plan):
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            return widest(plan.inputPlan())
+        own = plan.output().size() if "Aggregate" in plan.nodeName() else 0
+        return max([own, *[widest(plan.children().apply(k)) for k in range(plan.children().size())]])
+    df = spark.createDataFrame([tuple(float(k * j) for j in range(7)) for k in range(9)], [f"c{j}" for j in range(7)])
+    plan = quality.numeric_stats(df, df.columns)._jdf.queryExecution().executedPlan()
+    assert 0 < widest(plan) <= int(spark.conf.get("spark.sql.codegen.maxFields"))
+
+
+def test_numeric_stats_of_columns_with_nulls_and_without_rows(spark):
+    rnd = random.Random(8)
+    rows = [(None if k % 5 == 0 else rnd.gauss(3, 2), k % 4, None, 1e6 if k == 7 else float(k), 0.1) for k in range(60)]
+    df = spark.createDataFrame(rows, "a double, b int, c double, d double, e double").repartition(4)
+    got = quality.numeric_stats(df, list("abcde")).collect()
+    assert [r.column_name for r in got] == list("abcde")
+    for r, c in zip(got, zip(*rows)):
+        s = pd.Series([math.nan if v is None else float(v) for v in c])
+        if s.count() == 0:
+            assert r.mean is r.std is r["min"] is r.skewness is r.lower_bound is None and (r.outlier_count, r.outlier_pct) == (0.0, 0.0)
+            continue
+        lo, hi = (s.quantile(p) + k * (s.quantile(0.75) - s.quantile(0.25)) for p, k in ((0.25, -1.5), (0.75, 1.5)))
+        out = int(((s < lo) | (s > hi)).sum())
+        assert [r.mean, r.std, r["min"], r["max"]] == pytest.approx([s.mean(), s.std(), s.min(), s.max()], abs=6e-5)
+        assert (r.outlier_count, r.outlier_pct) == (out, round(out / 60 * 100, 4))
+        if s.nunique() == 1:
+            assert r.skewness is r.kurtosis is None
+        else:
+            assert (r.skewness, r.kurtosis) == pytest.approx((s.skew(), s.kurt()), abs=6e-5)
+    none = quality.numeric_stats(df.filter("b > 9"), list("abc")).collect()
+    assert [(r.column_name, r.outlier_count, r.outlier_pct, r.mean) for r in none] == [(c, 0.0, None, None) for c in "abc"]
