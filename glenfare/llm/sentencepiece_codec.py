@@ -7,8 +7,10 @@ BPE model stand for) and byte fallback.
 
 No piece runs over the start of a metaspace run (this is checked when the model is built),
 so a text's ids are those of its chunks, each a run of markers and what follows.
-Distinct chunks are encoded in batches on several threads, and each one is proven on the
+Distinct chunks are encoded in batches, and each one is proven on the
 spot: against the sentencepiece library (parity) and by decoding it (round trip).
+A worker process keeps one codec for all tasks of a job, and takes on a bounded
+number of texts, bytes and new chunks at once.
 
 Edge cases: null and empty text have no ids and pass both checks; a text without
 spaces is one chunk, however long; repeated rows each get their answer; a null doc_id
@@ -17,16 +19,18 @@ is kept; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +38,8 @@ from glenfare.llm.common import ship, small_batches, table
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Distinct chunks that a worker remembers, and texts it encodes at once.
-CACHE_CHUNKS, SLICE = 300_000, 250
+#: Distinct chunks that a worker remembers; texts it encodes at once, their bytes (a longer text goes alone), and new chunks.
+CACHE_CHUNKS, SLICE, SLICE_BYTES, LEARN = 300_000, 250, 1 << 20, 4096
 
 #: Fixed values of the file format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -162,8 +166,8 @@ class Codec:
 
     def __init__(self, data: bytes, verify: bool = True):
         from tokenizers import normalizers as N, pre_tokenizers
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only take more memory
         self.model = Model.parse(data)
-        self.tokenizer = build(self.model)
         self.by_chunk = build(self.model, text_only=True)  # for single chunks of normal form
         self.by_chunk.normalizer = N.Sequence([])
         self.by_chunk.pre_tokenizer = pre_tokenizers.Sequence([])
@@ -181,6 +185,11 @@ class Codec:
         self.unlike: set[str] = set()
         self.unrestored: set[str] = set()
 
+    @cached_property
+    def tokenizer(self):
+        """For whole texts: decoding and character maps need it."""
+        return build(self.model)
+
     def normal(self, text: str) -> str:
         m = self.model
         if m.charsmap:
@@ -227,8 +236,8 @@ class Codec:
             for cache in (self.known, self.unlike, self.unrestored):
                 cache.clear()
         new = list({c for chunks in cut for c in chunks}.difference(self.known))
-        if new:
-            self.learn(new)
+        for lo in range(0, len(new), LEARN):
+            self.learn(new[lo:lo + LEARN])
         get = self.known.__getitem__
         return ([b"".join(map(get, chunks)) for chunks in cut], [self.unlike.isdisjoint(chunks) for chunks in cut],
                 [self.unrestored.isdisjoint(chunks) for chunks in cut])
@@ -237,14 +246,12 @@ class Codec:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
-_codecs: dict[int, Codec] = {}  # one for each worker process
-
-
-def codec(data: bytes) -> Codec:
-    key = zlib.crc32(data)
-    if key not in _codecs:
-        _codecs[key] = Codec(data)
-    return _codecs[key]
+def codec(held: dict) -> Codec:
+    """The codec of a worker process, kept in its copy of the broadcast value, which outlives a
+    task.  Globals of this module do not: it is shipped by value, so each task has its own."""
+    if "codec" not in held:
+        held["codec"] = Codec(held["file"])
+    return held["codec"]
 
 
 # ---- on tables -------------------------------------------------------------------------------
@@ -252,11 +259,23 @@ def codec(data: bytes) -> Codec:
 ENCODED = "doc_id bigint, n_tokens bigint, ids_crc32 bigint, parity boolean, round_trip boolean, ids array<int>"
 
 
+def spans(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of at most SLICE texts and SLICE_BYTES bytes, or of one text."""
+    lo = total = 0
+    for k, size in enumerate(sizes):
+        if k > lo and (k - lo == SLICE or total + size > SLICE_BYTES):
+            yield lo, k
+            lo, total = k, 0
+        total += size
+    if sizes:
+        yield lo, len(sizes)
+
+
 def encode_rows(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     own = codec(model.value)
     for b in batches:
-        for lo in range(0, b.num_rows, SLICE):
-            part = b.slice(lo, SLICE)
+        for lo, hi in spans(pc.binary_length(b.column("text")).fill_null(0).to_pylist()):
+            part = b.slice(lo, hi - lo)
             ids, parity, trip = own.encode([t or "" for t in part.column("text").to_pylist()])
             n = np.array([len(x) // 4 for x in ids], np.int64)
             offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
@@ -275,9 +294,9 @@ def decode_rows(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordB
 
 
 def model_file(spark: SparkSession, path: str):
-    """The model's bytes for the executors: one vocabulary, of a size its file bounds."""
+    """The model's bytes for the executors: one vocabulary, of a size its file bounds.  See ``codec``."""
     with open(path, "rb") as f:
-        return spark.sparkContext.broadcast(f.read())
+        return spark.sparkContext.broadcast({"file": f.read()})
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

@@ -1,7 +1,11 @@
+import os
 import struct
+import uuid
 import zlib
 from array import array
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 from glenfare.llm import sentencepiece_codec as C
@@ -79,3 +83,33 @@ def test_query_and_edges(spark):
     back = as_rows(C.decode(out, C.default_model()), "doc_id", "text")
     assert back == as_rows(docs.fillna({"text": ""}), "doc_id", "text")
     assert C.encode(empty_docs(spark), C.default_model()).count() == 0
+
+
+def test_one_codec_a_worker(spark, tmp_path, monkeypatch):
+    class Told(C.Codec):
+        def __init__(self, data):
+            super().__init__(data)
+            (tmp_path / uuid.uuid4().hex).write_text(str(os.getpid()))
+
+    monkeypatch.setattr(C, "Codec", Told)
+    tasks = 2 * spark.sparkContext.defaultParallelism + 1
+    docs = spark.range(0, 4 * tasks, numPartitions=tasks).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    assert all(r["ids"] for r in C.encode(docs, C.default_model()).collect())
+    workers = [p.read_text() for p in tmp_path.iterdir()]
+    assert workers and len(workers) == len(set(workers))
+
+
+def test_work_at_once_is_bounded(monkeypatch):
+    for name, value in (("SLICE", 3), ("SLICE_BYTES", 10), ("LEARN", 2)):
+        monkeypatch.setattr(C, name, value)
+    assert list(C.spans([])) == []
+    assert list(C.spans([4, 4, 4, 0, 0, 0, 99, 1])) == [(0, 2), (2, 5), (5, 6), (6, 7), (7, 8)]
+    own, texts, learnt = C.Codec(DATA), ["a b", None, "c d e f g h i j", "", "k", "é" * 6, "l", "m", None, "n"], []
+    learn, encode, seen = own.learn, own.encode, []
+    monkeypatch.setattr(own, "learn", lambda new: (learnt.append(len(new)), learn(new)))
+    monkeypatch.setattr(own, "encode", lambda part: (seen.append(part), encode(part))[1])
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts, pa.string())})
+    out = pa.Table.from_batches(C.encode_rows(iter([batch]), SimpleNamespace(value={"codec": own})))
+    assert out.column("doc_id").to_pylist() == list(range(len(texts)))
+    assert out.column("ids").to_pylist() == [own.peer.encode(t or "") for t in texts]
+    assert all(len(p) <= 3 and (len(p) == 1 or sum(len(t.encode()) for t in p) <= 10) for p in seen) and max(learnt) == 2
