@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glenfare.operators import series as S
+from glenfare.plans import forest
 from glenfare.plans.models import fit_once, key_of, versioned
 from glenfare.plans.stages import stored
 
@@ -70,12 +71,21 @@ def _dealt(train: DataFrame, n: int) -> DataFrame:
     return train.repartition(parts).sortWithinPartitions(*[c for c in train.columns if c != "features"])
 
 
-def _fit(estimator, data: DataFrame):
-    """``estimator`` fitted on the train rows, once for these rows and parameters."""
+def _train(data: DataFrame) -> tuple[DataFrame, tuple]:
+    """The train rows, and their version and number."""
     train = data.filter(F.col("split") == "train").drop("split")
-    seen, facts = versioned(train, [c for c in train.columns if c != "features"])
+    return train, versioned(train, [c for c in train.columns if c != "features"])
+
+
+def _fit(estimator, data: DataFrame, inputs: list[str] | None = None, known: tuple | None = None):
+    """``estimator`` fitted on the train rows, once for these rows and parameters.  ``inputs``: the columns that ``features`` holds;
+    a forest over few of them reads more than ``FEW_ROWS`` rows once (``plans/forest.py``).  ``known``: ``_train(data)``, where
+    the caller has it."""
+    train, (seen, facts) = known or _train(data)
 
     def fit():
+        if inputs and facts[0] > FEW_ROWS and forest.serves(estimator, len(inputs)):
+            return forest.fit(estimator, train, inputs, facts[0]), None
         label = estimator.getLabelCol()
         kept = _dealt(train, facts[0]).select("features", label).persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -92,8 +102,10 @@ def _forest(label: str, trees: int = 100, seed: int = 42, max_depth: int = MAX_D
 
 def _fare_models(features: DataFrame, trees: int = 100, seed: int = 42, max_depth: int = MAX_DEPTH):
     data = _fare_data(features)
-    lr = _fit(LinearRegression(featuresCol="features", labelCol=FARE_TARGET, regParam=0.0), data)
-    return data, {"Linear Regression": lr, "Random Forest": _fit(_forest(FARE_TARGET, trees, seed, max_depth), data)}
+    known = _train(data)
+    lr = _fit(LinearRegression(featuresCol="features", labelCol=FARE_TARGET, regParam=0.0), data, known=known)
+    rf = _fit(_forest(FARE_TARGET, trees, seed, max_depth), data, FARE_FEATURES, known)
+    return data, {"Linear Regression": lr, "Random Forest": rf}
 
 
 def regression_metrics(pred: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
