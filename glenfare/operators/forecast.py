@@ -130,7 +130,7 @@ def fare_linear_regression(features: DataFrame) -> DataFrame:
 def fare_random_forest(features: DataFrame, trees: int = 100, seed: int = 42, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Random-forest fare predictions on the hold-out rows (MOD3)."""
     data = _fare_data(features)
-    m = _fit(_forest(FARE_TARGET, trees, seed, max_depth), data)
+    m = _fit(_forest(FARE_TARGET, trees, seed, max_depth), data, FARE_FEATURES)
     return m.transform(data.filter(F.col("split") == "test")).select(*FARE_FEATURES, FARE_TARGET, "prediction")
 
 
