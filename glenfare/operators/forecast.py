@@ -163,7 +163,7 @@ def _importances(spark: SparkSession, names: list[str], values) -> DataFrame:
 def fare_feature_importance(features: DataFrame) -> DataFrame:
     """Random-forest importances, ranked, with business labels (MOD5)."""
     data = _fare_data(features)
-    m = _fit(_forest(FARE_TARGET), data)
+    m = _fit(_forest(FARE_TARGET), data, FARE_FEATURES)
     imp = _importances(features.sparkSession, FARE_FEATURES, m.featureImportances)
     lab = None
     for f, (cut, hi, lo) in IMPORTANCE_LABELS.items():
